@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 
 def jaro_of(a: str, b: str) -> float:
@@ -36,25 +37,25 @@ def _recall(a, b) -> float:
     return sum(max(jaro_of(w, x) for x in long) for w in short) / len(short) if len(short) else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def word_recall(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean over the shorter list's words of the best Jaro in the longer; 0 with an empty list."""
     return pd.Series([0.0 if x is None or y is None else _recall(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def directed_recall(wanted: pd.Series, found: pd.Series) -> pd.Series:
     """Mean over ``wanted`` words of the best Jaro among ``found``."""
     rows = ((list(w), list(f)) for w, f in zip(wanted, found, strict=True))
     return pd.Series([sum(max(jaro_of(x, y) for y in f) for x in w) / len(w) if w and f else 0.0 for w, f in rows], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def same_by_position(a: pd.Series, b: pd.Series) -> pd.Series:
     """Phonetic name words: first words sound alike (0.9), and all of the shorter rest is in the longer's rest."""
     alike = lambda x, y: jaro_of(x, y) >= 0.9
