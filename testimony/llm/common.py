@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,7 +148,12 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     lengths halve. Labels and links stay distributed; each round is settled in the shared folder.
     Nodes without links are not returned. Raises if ``rounds`` do not suffice.
     """
-    both = links.where("a <> b").select("a", "b")
+    down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # A node's links to lesser nodes become one link to the least, and links from there to the others:
+    # many of those are the same, so a dense group shrinks to about its size before the rounds.
+    low = F.min("b").over(Window.partitionBy("a"))
+    star = down.select("a", "b", low.alias("m"))
+    both = star.select("a", F.col("m").alias("b")).union(star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
     both = settle(both.union(both.select("b", "a")).distinct())
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(rounds):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from testimony.llm.common import Forest, broadcast_if_small, components, hashed_words, mix, runs_of, settle, utf8
+from testimony.llm.common import broadcast_if_small, components, hashed_words, mix, runs_of, settle, utf8
 
 BANDS, ROWS, BITS = 40, 5, 2
 #: Members of a bucket or family that meet in one block.
@@ -98,25 +98,26 @@ def _sign(size: int, bands: int, rows: int, bits: int):
     return sign
 
 
-def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal keys from batches of sorted rows; a group may go over batches."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches cut between groups of equal keys, each with where its groups start and the end."""
+    held = None
+    for pdf in _and_end(batches):
+        if pdf is not None:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if held is None or not len(held):
             continue
-        k = pdf[keys].to_numpy()
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        if held and (held[-1][keys].to_numpy()[-1] != k[0]).any():
-            yield pd.concat(held) if len(held) > 1 else held[0]
-            held = []
-        edges = [0, *cuts.tolist(), len(pdf)]
-        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            held.append(pdf.iloc[a:b])
-            if i < len(edges) - 2:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        k = held[keys].to_numpy()
+        starts = np.append(0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)
+        cut = len(held) if pdf is None else int(starts[-1])
+        if cut:
+            inside = starts[starts < cut]
+            yield held.iloc[:cut], np.append(inside, cut)
+            held = held.iloc[cut:].reset_index(drop=True)
+
+
+def _and_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from (b for b in batches if len(b))
+    yield None
 
 
 def _reach(n: int, split: int, near) -> list[tuple[int, int]]:
@@ -140,46 +141,90 @@ def _reach(n: int, split: int, near) -> list[tuple[int, int]]:
     return edges
 
 
+class Spanning:
+    """Edges of a task that join sets not yet joined in it: at most one less than its nodes."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = up[p] if p in up else p
+            x = p
+        return x
+
+    def new(self, pairs) -> pd.DataFrame:
+        kept = []
+        for a, b in pairs:
+            x, y = self.root(a), self.root(b)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                kept.append((a, b))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+
 def _similar(bits: int, n: int, cut: float):
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups_of(batches, ["bucket", "bi", "bj"]):
-            g = g.sort_values("block", kind="stable")
-            sig = np.frombuffer(b"".join(g["signature"]), np.uint8).reshape(len(g), -1)
-            split = int((g["block"].to_numpy() == g["bi"].iloc[0]).sum()) if g["bi"].iloc[0] != g["bj"].iloc[0] else 0
-            node = g["node"].to_numpy()
-            edges = _reach(len(g), split, lambda i, o, sig=sig: agreement(sig[i], sig[o], bits, n) >= cut)
-            if edges:
-                yield pd.DataFrame({"a": [node[i] for i, _ in edges], "b": [node[j] for _, j in edges]})
+        spanning = Spanning()
+        for pdf, starts in whole_groups(batches, ["bucket", "bi", "bj"]):
+            sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
+            node, block, bi, bj = (pdf[c].to_numpy() for c in ("node", "block", "bi", "bj"))
+            sizes = np.diff(starts)
+            # All members against their group's first at once; only groups where that leaves some open go on.
+            root = np.repeat(starts[:-1], sizes)
+            near = agreement(sig[root], sig, bits, n) >= cut
+            near &= bi == bj
+            near[starts[:-1]] = True
+            pairs = [(node[root[near]], node[near])]
+            missed = sizes - np.add.reduceat(near.astype(np.int64), starts[:-1])
+            for g in np.flatnonzero((missed > 0) & ((sizes > 2) | (bi != bj)[starts[:-1]])).tolist():
+                a, e = starts[g], starts[g + 1]
+                split = int((block[a:e] == bi[a]).sum()) if bi[a] != bj[a] else 0
+                edges = _reach(e - a, split, lambda i, o, own=sig[a:e]: agreement(own[i], own[o], bits, n) >= cut)
+                if edges:
+                    i, j = np.array(edges).T
+                    pairs.append((node[a:e][i], node[a:e][j]))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            yield spanning.new(zip(a[a != b].tolist(), b[a != b].tolist(), strict=True))
 
     return similar
 
 
 def _confirm(size: int, percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups_of(batches, ["bucket", "bi", "bj"]):
-            g = g.sort_values("block", kind="stable")
-            sets = list(shingle_sets(utf8(g["text"]), size))
-            counts = np.array([len(s) for s in sets])
-            split = int((g["block"].to_numpy() == g["bi"].iloc[0]).sum()) if g["bi"].iloc[0] != g["bj"].iloc[0] else 0
-            # Postings: for a row, the others' shared counts are one bincount over its shingles' owners.
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-
-            def near(i: int, o: np.ndarray, flat=flat, owner=owner, sets=sets, counts=counts) -> np.ndarray:
-                lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-                width = hi - lo
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
-                both = np.bincount(owner[at], minlength=len(sets))[o]
-                return 100 * both >= percent * (counts[i] + counts[o] - both)
-
-            node = g["node"].to_numpy()
-            if edges := _reach(len(g), split, near):
-                yield pd.DataFrame({"a": [node[i] for i, _ in edges], "b": [node[j] for _, j in edges]})
+        spanning = Spanning()
+        for pdf, starts in whole_groups(batches, ["bucket", "bi", "bj"]):
+            every = list(shingle_sets(utf8(pdf["text"]), size))
+            node, block, bi, bj = (pdf[c].to_numpy() for c in ("node", "block", "bi", "bj"))
+            for a, e in zip(starts, starts[1:], strict=False):
+                edges = _reach(e - a, int((block[a:e] == bi[a]).sum()) if bi[a] != bj[a] else 0, _sharing(every[a:e], percent))
+                yield spanning.new((int(node[a + i]), int(node[a + j])) for i, j in edges)
 
     return confirm
 
 
+def _sharing(sets: list[np.ndarray], percent: int):
+    """Test of a set against others: 100 * intersection >= percent * union.
+
+    The sets' elements are sorted once with their owners, so a set's shared counts with all others are
+    one bincount over the owners of its elements.
+    """
+    counts = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def near(i: int, o: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        width = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+        both = np.bincount(owner[at], minlength=len(sets))[o]
+        return 100 * both >= percent * (counts[i] + counts[o] - both)
+
+    return near
+
+
 def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Members (bucket, n, node, ...) of buckets, once for each pair of blocks (bi <= bj) they meet in.
 
@@ -228,12 +273,13 @@ def near_duplicates(
     node = F.shiftrightunsigned(F.xxhash64("set_key"), 1)
     classes = settle(classes.select(node.alias("node"), "set_key", "f.doc_id", "f.text_key", "signature", "bands"))
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    sizes = settle(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = settle(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
     members = banded.join(broadcast_if_small(sizes), "bucket").join(classes.select("node", "signature"), "node")
     similarity = percent / 100
     error = np.sqrt(similarity * (1 - similarity) / n + 2.0**-bits / (1 - 2.0**-bits) * (1 - similarity) / n)
     cut = float(similarity - errors * error)
-    blocks = in_blocks(members).repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    # Buckets with one least member hold mostly the same documents: in one task, an edge found in many bands is one row.
+    blocks = in_blocks(members).repartition("least", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", F.col("block") != F.col("bi"), "node")
     likely = settle(blocks.mapInPandas(_similar(bits, n, cut), "a long, b long").distinct())
     families = settle(components(likely).select("node", F.col("component").alias("bucket")))
     wanted = families.join(broadcast_if_small(families.groupBy("bucket").agg(F.count("*").alias("n"))), "bucket")
@@ -241,7 +287,7 @@ def near_duplicates(
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))
     # A class may stand for repeated rows; one text of each is enough.
     texts = plain.join(wanted, same).select("bucket", "n", "node", "text").dropDuplicates(["bucket", "node"])
-    met = in_blocks(texts).repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "node")
+    met = in_blocks(texts).repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", F.col("block") != F.col("bi"), "node")
     links = settle(met.mapInPandas(_confirm(shingle, percent), "a long, b long").distinct())
     joined = components(links)
     named = classes.join(broadcast_if_small(joined), "node", "left").select("set_key", F.coalesce("component", "node").alias("_c"), "doc_id", "text_key")
