@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A column whose rows are broadcast is at most this large, by a count made before.
 BROADCAST_ROWS = 500_000
+#: Rows of one Arrow batch of texts.
+BATCH_ROWS = 500
 _own_dir: list[str] = []
 
 
@@ -45,6 +47,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of at most BATCH_ROWS rows, which bounds a worker's memory.
+
+    A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves it small; else as it is, for a shuffle join."""
     n = df.count() if rows is None else rows

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm.common import utf8
+from testimony.llm.common import bounded_batches, utf8
 
 #: Bytes of item text in one automaton. More items make further automata, each scanning once.
 ITEM_BYTES_PER_AUTOMATON = 16 << 20
@@ -116,6 +116,7 @@ def decontaminate(
     one by one. No items: all clean. No documents: an empty result. Names that exist already in
     ``docs`` are replaced by the added ones.
     """
+    bounded_batches(docs.sparkSession)
     spark: SparkSession = docs.sparkSession
     named = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
     size = named.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from testimony.llm.common import broadcast_if_small, components, hashed_words, mix, runs_of, settle, utf8
+from testimony.llm.common import bounded_batches, broadcast_if_small, components, hashed_words, mix, runs_of, settle, utf8
 
 BANDS, ROWS, BITS = 40, 5, 2
 #: Members of a bucket or family that meet in one block.
@@ -263,6 +263,7 @@ def near_duplicates(
     with kept null, and sort last. Repeated rows are equal documents and get equal results.
     Very long texts are hashed whole. An empty table gives an empty result. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     n = bands * rows
     key = F.xxhash64(F.col(text_col))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("text_key"))

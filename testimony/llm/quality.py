@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testimony.llm.common import hashed_words, runs_of, utf8
+from testimony.llm.common import bounded_batches, hashed_words, runs_of, utf8
 
 _CLASSES = 20
 _MARKS = b"!|*#$%&.,"
@@ -140,6 +140,7 @@ def score_quality(
     as 0. Repeated rows are scored one by one. An empty table gives an empty result. Names that
     exist already in ``docs`` are replaced by the added ones.
     """
+    bounded_batches(docs.sparkSession)
     fold = lambda c: F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     model = fit(docs, labels.where(fold(F.col(id_col)) != 0), rows_per_label=rows_per_label, id_col=id_col, text_col=text_col, label_col=label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)

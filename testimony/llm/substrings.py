@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testimony.llm.common import hashed_words, mix, runs_of, settle, utf8
+from testimony.llm.common import bounded_batches, hashed_words, mix, runs_of, settle, utf8
 
 #: log2 of the bits of the bitmap of repeated half-windows: 32 MB, whatever the table's size.
 BITMAP_BITS = 28
@@ -178,6 +178,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
     last. Rows with equal id and text are one document and get equal results. Very long texts are
     hashed whole. An empty table gives an empty result. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     key = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("ord"), key.alias("text_key"), F.col(text_col).alias("text"))
