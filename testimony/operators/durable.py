@@ -5,18 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast up to this many rows, by a count.
+BROADCAST_ROWS = 500_000
 
 _own: list[str] = []
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` in the shared folder (spark.checkpoint.dir, or one of our own where unset) and read it back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder: spark.checkpoint.dir, or one of our own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="testimony-"))
         base = _own[0]
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    return f"{base}/{kind}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves it small; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -6,9 +6,14 @@ re-runs the slices it touches.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from testimony.operators.durable import shared_path
+
 
 def stream_posts(posts: DataFrame, at: str, keys: list[str], late: str = "1 day") -> DataFrame:
     """Posts once each: a re-found post changes nothing while the watermark remembers it."""
@@ -37,3 +42,44 @@ def touched_slices(late_rows: DataFrame, at: str, seconds: int, anchor: str) ->
     start = F.unix_seconds(F.lit(anchor).cast("timestamp"))
     k = F.floor((F.unix_seconds(at) - start) / seconds)
     return late_rows.select(F.timestamp_seconds(start + k * seconds).alias("slice_start")).distinct()
+
+
+CURRENT = "scope string, version long, slot string, id string, at timestamp, none boolean"
+
+
+def stream_current_answer(log: DataFrame, scope: str, slot: str, at: str, id_col: str, none: str) -> DataFrame:
+    """Current answers of a scope after each batch that touches it, as rows of one ``version``; the highest version holds.
+
+    State per scope is the last answer of each slot and the last 'nothing there': an answer is current if no
+    later 'nothing there' closed it, and the reverse. Only latest ones count, so the order of arrival does not matter.
+    """
+
+    def step(key, frames, state):
+        version, held = state.get if state.exists else (0, "{}")
+        last = json.loads(held)
+        for pdf in frames:
+            for s, when, i, n in zip(pdf["slot"], pdf["at"], pdf["id"], pdf["none"], strict=True):
+                place = "none" if n else f"slot {s}"
+                seen = [int(when.value), str(i), None if n else s]
+                if place not in last or (seen[0], len(seen[1]), seen[1]) > (last[place][0], len(last[place][1]), last[place][1]):
+                    last[place] = seen
+        state.update((version + 1, json.dumps(last)))
+        order = lambda v: (v[0], len(v[1]), v[1])
+        closed = last.get("none")
+        real = [v for p, v in last.items() if p != "none" and (closed is None or order(v) > order(closed))]
+        rows = real or ([closed] if closed else [])
+        yield pd.DataFrame({"scope": key[0], "version": version + 1, "slot": [v[2] for v in rows], "id": [v[1] for v in rows], "at": [pd.Timestamp(v[0]) for v in rows], "none": not real})
+
+    rows = log.select(F.col(scope).cast("string").alias("scope"), F.col(slot).cast("string").alias("slot"), F.col(at).alias("at"), F.col(id_col).cast("string").alias("id"), F.col(none).alias("none"))
+    return rows.groupBy("scope").applyInPandasWithState(step, CURRENT, "version long, held string", "append", "NoTimeout")
+
+
+def settle_stream(stream: DataFrame) -> DataFrame:
+    """What a stream appends until its source is used up, written to the shared folder and read as a table.
+
+    The query keeps its offsets and state there too, so a restart goes on where it was.
+    """
+    out, marks = shared_path(stream.sparkSession, "stream"), shared_path(stream.sparkSession, "offsets")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
