@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,17 +95,24 @@ def numbered_questions(queues: list[DataFrame], order: list[Column | str]) -> Da
     return out.withColumn("number", F.row_number().over(w)).drop("_q")
 
 
-def rivals(forms: DataFrame, names: DataFrame, closure: DataFrame, prefix: int = 3) -> DataFrame:
-    """(form, linked_id, rival_id): other places of the same name; without one, places whose name begins with the form
-    and that are not beneath the linked place. Prefix candidates meet on their first characters.
+def rivals(forms: DataFrame, names: DataFrame, closure: DataFrame, prefix: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """(by, form, linked_id, rival_id): other places of the same name; without one, places whose name begins with the form
+    and that are not beneath the linked place. Prefix candidates meet on their first characters. ``by``: columns
+    that forms and names share, such as the event.
     """
-    same = forms.join(names.select(F.col("name").alias("form"), F.col("place_id").alias("rival_id")), "form").where("rival_id <> linked_id")
-    rest = forms.join(same.select("form", "linked_id").distinct(), ["form", "linked_id"], "left_anti").where(F.length("form") >= prefix)
-    cut = lambda c: F.left(F.col(c), F.lit(prefix))
-    longer = rest.withColumn("_p", cut("form")).join(names.select(F.col("place_id").alias("rival_id"), "name").withColumn("_p", cut("name")), "_p")
-    longer = longer.where(F.expr("startswith(name, form)") & (F.col("name") != F.col("form")) & (F.col("rival_id") != F.col("linked_id")))
+    out = [*by, "form", "linked_id", "rival_id"]
+    same = forms.join(names.select(*by, F.col("name").alias("form"), F.col("place_id").alias("rival_id")), [*by, "form"]).where("rival_id <> linked_id")
+    rest = forms.join(same.select(*by, "form", "linked_id").distinct(), [*by, "form", "linked_id"], "left_anti")
+    # Forms shorter than the prefix are few and meet on what they have.
     beneath = closure.select(F.col("ancestor").alias("linked_id"), F.col("descendant").alias("rival_id"))
-    return same.select("form", "linked_id", "rival_id").unionByName(longer.join(beneath, ["linked_id", "rival_id"], "left_anti").select("form", "linked_id", "rival_id")).distinct()
+    found = same.select(*out)
+    for n in range(1, prefix + 1):
+        mine = rest.where(F.length("form") >= n if n == prefix else F.length("form") == n)
+        cut = lambda c, n=n: F.left(F.col(c), F.lit(n))
+        longer = mine.withColumn("_p", cut("form")).join(names.select(*by, F.col("place_id").alias("rival_id"), "name").withColumn("_p", cut("name")), [*by, "_p"])
+        longer = longer.where(F.expr("startswith(name, form)") & (F.col("name") != F.col("form")) & (F.col("rival_id") != F.col("linked_id")))
+        found = found.unionByName(longer.join(beneath, ["linked_id", "rival_id"], "left_anti").select(*out))
+    return found.distinct()
 
 
 def act_trail(acts: DataFrame, actors: DataFrame, targets: DataFrame) -> DataFrame:
