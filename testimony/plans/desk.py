@@ -8,6 +8,7 @@ from testimony.functions import text as T
 from testimony.operators import acquisition, beats, curation, decisions, duplicates, fitness, history, questions, report, resolution, trees
 from testimony.plans.queries import _ANSWERS, _CLAIMS, _PLACES, SQL, World, query
 from testimony.plans.record import _events
+from testimony.sources import corpus
 from testimony.streaming import streams
 
 # --- decisions ----------------------------------------------------------------------------------------
@@ -388,3 +389,53 @@ def resolve_summary(spark, sf):
     from testimony.plans.record import resolve_places
 
     return resolution.resolve_summary(resolve_places(spark, sf))
+
+
+# --- reading and the rest -------------------------------------------------------------------------------
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_extendedprice, case when l_returnflag = 'A' then 'settled' when l_linestatus <> 'F' then 'search_not_asking' end as refused, case when l_quantity > 25 then l_shipdate when l_returnflag <> 'A' and l_linestatus = 'F' then timestamp '2030-01-01' end as started_at from lineitem""")
+def settled_query_guard(spark, sf):
+    at = lambda rule: F.when(F.expr(rule), F.col("l_shipdate"))
+    rows = World(spark, sf).lineitem.withColumns({"completed_at": at("l_returnflag = 'A'"), "discarded_at": F.lit(None).cast("timestamp"), "started_at": at("l_quantity > 25").cast("timestamp"), "search_status": F.when(F.col("l_linestatus") == "F", "active").otherwise("paused")})
+    told = acquisition.settled_query_guard(rows, "start", F.lit("2030-01-01").cast("timestamp"))
+    return told.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "refused", "started_at")
+
+
+@query("""with p as (select event_id, ts, user_id, event_type, value from events), inside as (select s_suppkey from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1))
+select event_id as id, user_id as author_id, 'user ' || user_id as handle from p where user_id % 100 in (select s_suppkey from inside) and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' and contains(lower(event_type), 'e')""")
+def read_corpus(spark, sf):
+    w = World(spark, sf)
+    posts = w.events.select(F.col("event_id").alias("post_id"), F.col("user_id").alias("author_id"), F.col("ts").cast("timestamp").alias("posted_at"), F.col("event_type").alias("text"))
+    at = w.events.select(F.col("event_id").alias("post_id"), F.concat(F.lit("S"), (F.col("user_id") % 100).cast("string")).alias("place_id"), F.lit(None).cast("timestamp").alias("superseded_at"))
+    authors = w.events.select(F.col("user_id").alias("author_id"), F.concat(F.lit("user "), "user_id").alias("handle")).distinct()
+    return corpus.read_corpus(posts, at, w.closure(), authors, "R1", "2024-01-05", "2024-01-20", match="E").select(F.col("post_id").alias("id"), "author_id", "handle")
+
+
+@query(f"""with p as (select p_partkey as id, p_brand as e, p_partkey % 7 as at, {_HEARD} as w from part), a as (select distinct l_partkey as id, l_suppkey as place from lineitem),
+t as (select distinct l_partkey as id, o_orderdate as at from lineitem join orders on o_orderkey = l_orderkey),
+m as (select distinct x.id as x, y.id as y from a x join a y on x.place = y.place and x.id < y.id),
+b as (select u.id as a, v.id as b from m join p x on x.id = m.x join p y on y.id = m.y and x.e = y.e join p u on u.id = case when (x.at, x.id) < (y.at, y.id) then x.id else y.id end join p v on v.id = x.id + y.id - u.id
+  where len(list_filter(flatten([[jaro_similarity(i, j) for j in string_split(v.w, ' ')] for i in string_split(u.w, ' ') if length(i) >= 4]), lambda s: s >= 0.86)) > 0)
+select a, b from b where exists (select 1 from t i join t j on i.id = a and j.id = b and abs(epoch(i.at) - epoch(j.at)) < 25 * 3600)""")
+def person_context_edges(spark, sf):
+    w = World(spark, sf)
+    people = w.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("event_id"), F.col("p_name").alias("full_name"), (F.col("p_partkey") % 7).alias("inserted_at"))
+    item = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id")
+    arcs = w.lineitem.join(w.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("person_id"), item, F.col("o_orderdate").cast("timestamp").alias("at"))
+    return duplicates.person_context_edges(people, arcs, w.lineitem.select(item, F.col("l_suppkey").alias("place_id")))
+
+
+@query("""select s_suppkey, s_name from supplier where s_suppkey not in (select c_custkey % 50 from customer)""")
+def skip_held(spark, sf):
+    w = World(spark, sf)
+    return corpus.skip_held(w.supplier.select("s_suppkey", "s_name"), w.customer.select((F.col("c_custkey") % 50).alias("s_suppkey")), "s_suppkey")
+
+
+@query("""select l_orderkey as conv, s_name, (row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_extendedprice) - 1)::int as position from lineitem join supplier on s_suppkey = l_suppkey""")
+def order_by_ids(spark, sf):
+    w = World(spark, sf)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))), lambda x: F.struct(x.l_suppkey.alias("s_suppkey"), F.col("l_orderkey").alias("conv")))
+    ids = w.lineitem.groupBy("l_orderkey").agg(listed.alias("ids"))
+    rows = w.lineitem.select("l_suppkey", "l_orderkey").distinct().join(w.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.struct("s_suppkey", F.col("l_orderkey").alias("conv")).alias("id"), "s_name")
+    return trees.order_by_ids(rows, ids).select(F.col("id.conv").alias("conv"), "s_name", "position")
