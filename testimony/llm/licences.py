@@ -1,16 +1,19 @@
-"""Licence scans: lines compared to licence templates by Dice coefficient over word bigrams.
+"""Licence scans: passages compared to licence templates by Dice coefficient over word bigrams.
 
-A text is normalised and cut into lines. Dice >= t bounds the number of bigrams of a line that a
-template of known size can match, so a line is looked at only against templates inside its bounds,
-and only against those that share a bigram with it. Runs where the texts are read; nothing is shuffled.
+A passage is a window of words of the whole text, across line ends. Dice >= t bounds the number of bigrams of a
+window that a template of known size can match: a text is looked at only for templates of which it
+holds enough bigrams, and windows of it only from one of the template's bigrams to another, as a window loses nothing by
+shedding others at its ends. Runs where the texts are read; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,68 +32,138 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-_SPLIT = re.compile(r"[^0-9a-z\x80-\U0010FFFF]+")
+_WORD = re.compile(r"[0-9a-z\x80-\U0010FFFF]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licences and their file headers, by SPDX id (the file's name up to .header or .txt)."""
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return tuple((f.name.removesuffix(".txt").removesuffix(".header"), f.read_text("utf-8")) for f in files)
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.translate(_LOWER))
+
+
 def bigrams(line: str) -> set[tuple[str, str]]:
-    words = [w for w in _SPLIT.split(line.translate(_LOWER)) if w]
+    words = words_of(line)
     return set(zip(words, words[1:], strict=False))
 
 
 class Templates:
-    """Templates with their bigrams, an index from bigram to templates, and size bounds."""
+    """Templates with their bigrams, which template has which bigram, and size bounds."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], least: float):
-        self.least, self.grams = least, [(name, bigrams(text)) for name, text in templates]
-        self.grams = [(n, g) for n, g in self.grams if g]
-        self.index: dict[tuple[str, str], list[int]] = defaultdict(list)
-        for i, (_, g) in enumerate(self.grams):
-            for x in g:
-                self.index[x].append(i)
+        named = [(n, g) for n, text in templates if (g := bigrams(text))]
+        self.least, self.names, self.sizes = least, [n for n, _ in named], [len(g) for _, g in named]
         ratio = least / (2 - least)
-        self.bounds = [(len(g) * ratio, len(g) / ratio) for _, g in self.grams]
-        # A line of n characters has fewer than n / 2 bigrams; a template's least number needs so many.
-        self.least_chars = min((2 * lo for lo, _ in self.bounds), default=float("inf"))
-
-    def match(self, line: str) -> list[tuple[str, float]]:
-        if len(line) < self.least_chars:
+        # A match shares at least so many bigrams with its template, and has at most so many itself.
+        self.needs = np.array([max(1, math.ceil(n * ratio - 1e-9)) for n in self.sizes], np.int64)
+        self.most = [math.floor(n / ratio + 1e-9) for n in self.sizes]
+        self.ids = {w: i for i, w in enumerate(sorted({w for _, g in named for x in g for w in x}))}
+        code = {x: self.ids[x[0]] * len(self.ids) + self.ids[x[1]] for _, g in named for x in g}
+        self.codes = np.array(sorted(code.values()), np.int64)
+        self.has = np.zeros((len(self.codes) + 1, len(named)), bool)  # the last row is for bigrams of no template
+        for k, (_, g) in enumerate(named):
+            self.has[np.searchsorted(self.codes, [code[x] for x in g]), k] = True
+
+    def match(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(name, Dice, first word, last word) of the passages of ``text``.
+
+        Of each template's windows with Dice >= least the best is a passage (on ties the shortest, then the first), then the
+        best of those that share no word with it, and so on.
+        """
+        words = words_of(text)
+        if len(words) < 2 or not self.names:
+            return []
+        ids = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
+        code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * len(self.ids) + ids[1:], -1)
+        gram = np.searchsorted(self.codes, code)
+        gram[self.codes[np.minimum(gram, len(self.codes) - 1)] != code] = len(self.codes)
+        present = np.unique(gram)
+        likely = np.flatnonzero(self.has[present].sum(0) >= self.needs)
+        if not len(likely):
             return []
-        own = bigrams(line)
-        shared = Counter(i for x in own if x in self.index for i in self.index[x] if self.bounds[i][0] <= len(own) <= self.bounds[i][1])
-        dice = ((self.grams[i][0], 2 * n / (len(own) + len(self.grams[i][1]))) for i, n in shared.items())
-        return [(name, d) for name, d in dice if d >= self.least]
+        number = {}
+        own = np.fromiter((number.setdefault(x, len(number)) for x in zip(words, words[1:], strict=False)), np.int64, len(gram))
+        order = np.argsort(own, kind="stable")
+        same = own[order[1:]] == own[order[:-1]]
+        before, after = np.full(len(own), -1), np.full(len(own), len(own))
+        before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+        return [(self.names[k], *p) for k in likely.tolist() for p in self._passages(k, self.has[gram, k], before, after)]
+
+    def _passages(self, k: int, hit: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[float, int, int]]:
+        """``hit``: bigrams of template k; ``before`` and ``after``: where each bigram stands last and next."""
+        size, need, most = self.sizes[k], int(self.needs[k]), self.most[k]
+        upto = np.concatenate(([0], np.cumsum(hit)))
+        found = []
+        # A window whose first or last bigram stands in it twice is no better than the one without it.
+        for i in np.flatnonzero(hit).tolist():
+            limit, width = int(after[i]), 2 * most + 64
+            if upto[limit] - upto[i] < need:
+                continue
+            while True:
+                end = min(i + width, limit)
+                new = before[i:end] < i
+                own = np.cumsum(new)
+                if end == limit or own[-1] > most:
+                    break
+                width *= 2
+            new &= hit[i:end]
+            shared = np.cumsum(new)
+            at = np.flatnonzero(new & (shared >= need) & (own <= most))
+            dice = 2 * shared[at] / (own[at] + size)
+            at, dice = at[dice >= self.least], dice[dice >= self.least]
+            if len(at):
+                found.append((dice, np.full(len(at), i), at + i + 1))
+        passages = []
+        if found:
+            dice, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((first, last - first, -dice))
+            dice, first, last = dice[order], first[order], last[order]
+            while len(dice):
+                a, b = int(first[0]), int(last[0])
+                passages.append((float(dice[0]), a, b))
+                apart = (first > b) | (last < a)
+                dice, first, last = dice[apart], first[apart], last[apart]
+        return passages
 
 
 def scan_licences(
     docs: DataFrame,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[tuple[str, str]] | None = None,
     *,
     least: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row a document: doc_id, licences (sorted names), n_lines (matching lines), best (Dice or null).
+    """One row a document: doc_id, licences (sorted names), n_lines (lines with words of a passage), best (Dice or null).
 
-    Lines end at newlines. A line matches a template when twice the shared distinct word bigrams is at
-    least ``least`` times the sum of both counts. Words are runs of a-z (A-Z lower-cased), 0-9 and
-    characters beyond ASCII.
+    Templates are TEMPLATES and ``full_texts()`` unless given. A passage is a window of any length, in one line or over several, where
+    twice the shared distinct word bigrams is at least ``least`` times the sum of both counts (``Templates.match`` says which
+    of overlapping windows count). Words are runs of a-z (A-Z lower-cased), 0-9 and characters beyond ASCII; lines end at newlines.
 
-    Null and empty texts, and lines of under two words, match nothing: empty list, 0, null. A line may
+    Null and empty texts, and texts of under two words, match nothing: empty list, 0, null. A passage may
     match several templates; all are named. Repeated rows are scanned one by one. No documents or no
     templates give no rows or no matches. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    known = Templates(templates, least)
+    known = Templates((*TEMPLATES, *full_texts()) if templates is None else templates, least)
+
+    def judged(text: str) -> tuple[list[str], int, float | None]:
+        hits = known.match(text)
+        if not hits:
+            return [], 0, None
+        counts = [len(words_of(line)) for line in text.split("\n")]
+        line = np.repeat(np.arange(len(counts)), counts)
+        on = {n for _, _, a, b in hits for n in np.unique(line[a : b + 1]).tolist()}
+        return sorted({h[0] for h in hits}), len(on), max(h[1] for h in hits)
 
     @F.pandas_udf("licences array<string>, n_lines long, best double")
     def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in texts:
-            rows = []
-            for t in column:
-                hits = [m for line in t.split("\n") if (m := known.match(line))] if isinstance(t, str) else []
-                flat = [x for m in hits for x in m]
-                rows.append((sorted({n for n, _ in flat}), len(hits), max((d for _, d in flat), default=None)))
+            rows = [judged(t) if isinstance(t, str) else ([], 0, None) for t in column]
             yield pd.DataFrame(rows, columns=["licences", "n_lines", "best"])
 
     found = docs.select(F.col(id_col).alias("doc_id"), look.asNondeterministic()(F.col(text_col)).alias("f"))

@@ -276,3 +276,45 @@ def test_licences(spark):
     rows = [(1, "x\nLicensed under the APACHE licence, version 2.0\nmore", "s"), (2, "Released under the MIT License.", "s"), (3, "the license", "s")]
     got = {r.doc_id: r.licences for r in licences.scan_licences(frame(spark, rows), least=0.6).collect()}
     assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: []}
+
+
+def test_licence_passages_inside_lines_and_across_them(spark):
+    whole = dict(licences.full_texts())
+    rows = [
+        (1, "This package is Released under the MIT License. See file for details.", "s"),
+        (2, "some words\nLicensed under\nCC BY-NC\n4.0. Other words follow here", "s"),
+        (3, "word " * 400 + "Released under the MIT License. " + "word " * 400, "s"),
+        (4, "# file\nCopyright 2020 A Person\n" + whole["MIT"] + "import os\n", "s"),
+        (5, whole["BSD-3-Clause"].replace("\n", " "), "s"),
+        (6, "x y z\n" + whole["Apache-2.0"], "s"),
+        (7, "Released under the same terms as the license of MIT", "s"),
+    ]
+    got = {r.doc_id: (r.licences, r.n_lines) for r in licences.scan_licences(frame(spark, rows)).collect()}
+    # The last line's one bigram, "the software", stands before too, so the shortest best window ends a line earlier.
+    assert got[1] == got[3] == (["MIT"], 1) and got[2] == (["CC-BY-NC-4.0"], 3) and got[4] == (["MIT"], 14) and got[5] == (["BSD-3-Clause"], 1) and got[7] == ([], 0)
+    assert "Apache-2.0" in got[6][0]
+
+
+def test_licence_passages_against_brute_force():
+    rng = np.random.default_rng(5)
+    templates = [("a", "p q r s t"), ("b", "q r q s p r t t s"), ("c", "u v"), ("d", "p p p q q")]
+    for least in (0.5, 0.8):
+        known = licences.Templates(templates, least)
+        for n in range(150):
+            ws = rng.choice(list("pqrstuvx"[: 4 + n % 5]), 2 + n % 45).tolist()
+            ws = ws + "p q r s t".split() * (n % 3) + ws[: n % 7]
+            expected = []
+            for name, text in templates:
+                grams, found = licences.bigrams(text), []
+                for i in range(len(ws)):
+                    for j in range(i + 1, len(ws)):
+                        own = set(zip(ws[i:j], ws[i + 1 : j + 1]))
+                        dice = 2 * len(own & grams) / (len(own) + len(grams))
+                        if dice >= least:
+                            found.append((-dice, j - i, i, j))
+                taken = []
+                for d, _, i, j in sorted(found):
+                    if all(i > y or j < x for _, x, y in taken):
+                        taken.append((-d, i, j))
+                expected += [(name, *x) for x in taken]
+            assert known.match(" ".join(ws)) == expected
