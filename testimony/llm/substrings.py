@@ -14,19 +14,24 @@ only sends some windows on for nothing.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from testimony.llm.common import hashed_words, mix, runs_of, settle, utf8
+from testimony.llm.common import broadcast_if_small, hashed_words, mix, runs_of, settle, utf8
 
 #: log2 of the bits of the bitmap of repeated half-windows: 32 MB, whatever the table's size.
 BITMAP_BITS = 28
 #: Parts over which the occurrences of one half-window are spread before they meet.
 SALTS = 16
+#: Pieces of one half-window in one salt beyond which it is hot: its windows then meet by their own hashes.
+HOT_PIECES = 256
+#: Windows that a task remembers of one half-window in one salt before it starts anew; those it forgot meet later.
+REMEMBERED = 1 << 17
 _NULL_ID = (1 << 63) - 1
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,27 +121,51 @@ def _windows(length: int, bitmap, bits: int):
     return windows
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Split sorted pieces into runs of windows seen earlier under their half (windows null) and the rest."""
-    current, seen = None, {}
+def _mark(hot_pieces: float, remembered: float):
+    """Split sorted pieces into runs of windows seen earlier under their half (windows null) and the rest.
+
+    Once under each half with more than ``hot_pieces`` pieces a row with n = -1 says so.
+    """
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, seen, met = None, {}, 0
+        for pdf in batches:
+            out = []
+            for half, doc, key, first, data in zip(pdf["half"].tolist(), pdf["ord"].tolist(), pdf["text_key"].tolist(), pdf["first"].tolist(), pdf["windows"], strict=True):
+                if half != current:
+                    current, seen, met = half, {}, 0
+                met += 1
+                if met == hot_pieces + 1:
+                    out.append((half, doc, key, first, -1, None))
+                if met > hot_pieces and len(seen) >= remembered:
+                    seen = {}
+                start, state = 0, None
+                hashes = memoryview(data).cast("q").tolist()
+                for i, h in enumerate(hashes):
+                    here = (doc, key, first + i)
+                    late = seen.setdefault(h, here) != here
+                    if state is not None and late != state:
+                        out.append((half, doc, key, first + start, i - start, None if state else data[8 * start : 8 * i]))
+                        start = i
+                    state = late
+                if hashes:
+                    out.append((half, doc, key, first + start, len(hashes) - start, None if state else data[8 * start :]))
+            if out:
+                yield pd.DataFrame(out, columns=["half", "ord", "text_key", "first", "n", "windows"])
+
+    return mark
+
+
+def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces as one row a window."""
     for pdf in batches:
-        out = []
-        for half, doc, key, first, data in zip(pdf["half"].tolist(), pdf["ord"].tolist(), pdf["text_key"].tolist(), pdf["first"].tolist(), pdf["windows"], strict=True):
-            if half != current:
-                current, seen = half, {}
-            start, state = 0, None
-            hashes = memoryview(data).cast("q").tolist()
-            for i, h in enumerate(hashes):
-                here = (doc, key, first + i)
-                late = seen.setdefault(h, here) != here
-                if state is not None and late != state:
-                    out.append((half, doc, key, first + start, i - start, None if state else data[8 * start : 8 * i]))
-                    start = i
-                state = late
-            if hashes:
-                out.append((half, doc, key, first + start, len(hashes) - start, None if state else data[8 * start :]))
-        if out:
-            yield pd.DataFrame(out, columns=["half", "ord", "text_key", "first", "n", "windows"])
+        counts = pdf["windows"].map(len).to_numpy(np.int64) // 8
+        if len(counts):
+            at = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+            rows = pdf[["half", "ord", "text_key", "first"]].take(at).reset_index(drop=True)
+            rows["first"] += place.astype(np.int32)
+            yield rows.assign(window=np.frombuffer(b"".join(pdf["windows"]), np.int64))[["half", "window", "ord", "text_key", "first"]]
 
 
 _PIECE = "half long, ord long, text_key long, first int, n int, windows binary"
@@ -166,7 +195,7 @@ def _cut(length: int):
     return cut
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS, hot_pieces: int = HOT_PIECES, remembered: int = REMEMBERED) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256, spans (half-open ranges of removed words).
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. A word is removed when a window
@@ -191,11 +220,20 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(bytes(bitmap))
     order = ["half", "ord", "text_key", "first"]
     found = texts.mapInPandas(_windows(length, shared, bitmap_bits), "half long, ord long, text_key long, first int, windows binary")
-    # Occurrences of one half-window meet in SALTS parts first; what is late there is settled, the rest meets again.
+    # Occurrences of one half-window meet in SALTS parts first; what is late there is settled, the rest meets again:
+    # under a hot half window by window, so that no key is wider than what is left of one full window, else by half.
     salted = found.repartition(F.col("half"), F.pmod(F.xxhash64("ord", "text_key"), F.lit(SALTS))).sortWithinPartitions(*order)
-    parts = settle(salted.mapInPandas(_mark, _PIECE))
-    last = parts.where("windows is not null").select(*order, "windows").repartition("half").sortWithinPartitions(*order).mapInPandas(_mark, _PIECE)
-    late = parts.where("windows is null").union(last.where("windows is null")).select("ord", "text_key", "first", "n").distinct()
+    parts = settle(salted.mapInPandas(_mark(hot_pieces, remembered), _PIECE))
+    hot = broadcast_if_small(parts.where("n < 0").select(F.col("half").alias("_hot")).distinct())
+    rest = parts.where("windows is not null").select(*order, "windows").join(hot, F.col("half") == F.col("_hot"), "left")
+    # A half that is hot in no salt has at most SALTS * hot_pieces pieces before the salted step cuts them, and is remembered whole.
+    last = rest.where("_hot is null").select(*order, "windows").repartition("half").sortWithinPartitions(*order).mapInPandas(_mark(math.inf, math.inf), _PIECE)
+    single = rest.where("_hot is not null").select(*order, "windows").mapInPandas(_single, "half long, window long, ord long, text_key long, first int")
+    # Equal places, of repeated rows, share a rank.
+    turn = F.rank().over(Window.partitionBy("half", "window").orderBy("ord", "text_key", "first"))
+    crowded = single.withColumn("_k", turn).where("_k > 1").select("ord", "text_key", "first", F.lit(1).alias("n"))
+    settled = parts.where("windows is null and n > 0").union(last.where("windows is null and n > 0"))
+    late = settled.select("ord", "text_key", "first", "n").union(crowded).distinct()
     runs = late.groupBy(F.col("ord").alias("_o"), F.col("text_key").alias("_k")).agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     joined = plain.join(runs, (F.col("ord") == F.col("_o")) & (F.col("text_key") == F.col("_k")), "left").select("doc_id", "text", "runs")
     return joined.mapInPandas(_cut(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>")

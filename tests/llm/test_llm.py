@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from testimony.llm import decontamination, embeddings, licences, minhash, mixing, queries, quality, sharding, substrings, urls, warc
@@ -197,6 +198,37 @@ def test_substrings_repeats_inside_and_across(spark):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(ws), len(gone[r.doc_id]), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
+def test_substrings_under_a_hot_half(spark):
+    """A phrase in all documents with other words around it: its windows meet by their own hashes, with the results of brute force."""
+    rng = np.random.default_rng(8)
+    phrase, other = [f"p{i}" for i in range(14)], [" ".join(f"o{x}" for x in rng.integers(0, 10**6, 12)) for _ in range(300)]
+    texts = {d: " ".join([other[d], *phrase, other[(d * 7 + 1) % 40 if d % 3 == 0 else 299 - d]]) for d in range(250)}
+    texts |= {d: " ".join([other[d % 20], *phrase, other[d % 5]] * 2) for d in range(250, 280)}
+    seen, gone = set(), defaultdict(set)
+    for d in sorted(texts):
+        ws = words(texts[d])
+        for p in range(len(ws) - 19):
+            g = tuple(ws[p : p + 20])
+            if g in seen:
+                gone[d] |= set(range(p, p + 20))
+            seen.add(g)
+    rows = [(d, t, "s") for d, t in texts.items()] + [(d, texts[d], "s") for d in (0, 3, 260)]
+    for hot in (2, 10**6):
+        got = substrings.remove_repeats(frame(spark, rows), bitmap_bits=16, hot_pieces=hot, remembered=5).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            ws = words(texts[r.doc_id])
+            kept = [x for i, x in enumerate(ws) if i not in gone[r.doc_id]]
+            assert (r.n_removed, r.kept_sha256) == (len(gone[r.doc_id]), hashlib.sha256(b" ".join(kept)).hexdigest())
+
+
+def test_a_task_remembers_a_bounded_part_of_a_hot_half():
+    batch = [pd.DataFrame({"half": 1, "ord": range(5000), "text_key": 0, "first": 0, "windows": [np.arange(11 * i, 11 * i + 11).tobytes() for i in range(5000)]})] * 2
+    marked = substrings._mark(10, 100)(iter(batch))
+    flags = [r for pdf in (next(marked), next(marked)) for r in pdf["n"] if r == -1]
+    assert flags == [-1] and len(marked.gi_frame.f_locals["seen"]) <= 110
+
+
 def test_embeddings(spark):
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     rng = np.random.default_rng(3)
