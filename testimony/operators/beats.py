@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from testimony.operators import trees
+from testimony.operators.durable import broadcast_if_small, settle
 
 
 def ratified_claims(claims: DataFrame, themes: DataFrame) -> DataFrame:
@@ -21,6 +22,26 @@ def claims_in_scope(claims: DataFrame, links: DataFrame, closure: DataFrame, roo
     return claims.where(when).join(inside, "claim_id", "left_semi")
 
 
+def _in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows``, settled, with ``_range``: consecutive ranges of the order, none of which shares a key with another."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their number in the order: that within their range, after the counts of the ranges before.
+
+    Only ranges, as many as shuffle partitions, pass through one task.
+    """
+    ranged = _in_ranges(rows, order)
+    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_least"))
+    starts = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    joined = inner.join(F.broadcast(starts), F.col("_range") == F.col("_r"))
+    return joined.withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_r", "_start")
+
+
 def beat_order(claims: DataFrame, links: DataFrame, closure: DataFrame, root) -> DataFrame:
     """Claims with their anchor and position: anchors by their earliest claim, claims by time within.
 
@@ -29,17 +50,15 @@ def beat_order(claims: DataFrame, links: DataFrame, closure: DataFrame, root) ->
     depths = closure.groupBy(F.col("descendant").alias("id")).agg(F.max("depth").alias("depth"))
     inside = links.join(trees.subtree(closure, root).withColumnRenamed("id", "place_id"), "place_id", "left_semi")
     anchors = trees.deepest(inside.select("claim_id", "place_id").distinct(), depths, "claim_id", "place_id", "place_id")
-    placed = claims.join(anchors.select("claim_id", F.col("place_id").alias("anchor")), "claim_id")
-    first = F.min(F.struct("first_seen_at", "claim_id")).over(Window.partitionBy("anchor"))
-    # The order of one beat is one sorted run, as a reader has it.
-    w = Window.orderBy(F.col("_first"), "anchor", "first_seen_at", "claim_id")
-    return placed.withColumn("_first", first).withColumn("position", F.row_number().over(w)).drop("_first")
+    placed = settle(claims.join(anchors.select("claim_id", F.col("place_id").alias("anchor")), "claim_id"))
+    firsts = placed.groupBy("anchor").agg(F.min(F.struct("first_seen_at", "claim_id")).alias("_first")).withColumnRenamed("anchor", "_anchor")
+    rows = placed.join(broadcast_if_small(firsts), F.col("anchor") == F.col("_anchor")).drop("_anchor")
+    return numbered(rows, ["_first", "anchor", "first_seen_at", "claim_id"], "position").drop("_first")
 
 
 def citation_numbers(ordered: DataFrame, citations: DataFrame) -> DataFrame:
     """Running numbers over (claim position, citation order); a post cited by two claims gets two."""
-    w = Window.orderBy("position", "ord", "post_id")
-    return ordered.select("claim_id", "position").join(citations, "claim_id").withColumn("n", F.row_number().over(w))
+    return numbered(ordered.select("claim_id", "position").join(citations, "claim_id"), ["position", "ord", "post_id"], "n")
 
 
 def first_mention(clauses: DataFrame) -> DataFrame:
@@ -61,10 +80,26 @@ def first_mention(clauses: DataFrame) -> DataFrame:
 
 
 def clause_runs(ordered: DataFrame, by: list[str], place: str, position: str = "position") -> DataFrame:
-    """Rows with ``run``: consecutive clauses of one place share a number."""
-    w = Window.partitionBy(*by).orderBy(position)
+    """Rows with ``run``: consecutive clauses of one place share a number.
+
+    Changes are summed within ranges of the order; a range starts from the changes of those before it and at the seams.
+    """
+    ranged = _in_ranges(ordered, [*by, position])
+    w = Window.partitionBy("_range", *by).orderBy(position)
     change = F.when(F.col(place).eqNullSafe(F.lag(place).over(w)) & F.lag(position).over(w).isNotNull(), 0).otherwise(1)
-    return ordered.withColumn("_c", change).withColumn("run", F.sum("_c").over(w)).drop("_c")
+    rows = ranged.withColumn("_c", F.when(F.row_number().over(w) == 1, 0).otherwise(change)).withColumn("run", F.sum("_c").over(w))
+    edge = F.struct(F.col(position).alias("at"), F.col(place).alias("place"))
+    edges = rows.groupBy("_range", *by).agg(F.min(edge).alias("_head"), F.max(edge).alias("_tail"), F.sum("_c").alias("_n"))
+    turn = Window.partitionBy(*by).orderBy("_head")
+    tail = F.lag("_tail").over(turn)
+    seam = F.when(F.col("_head.place").eqNullSafe(tail["place"]) & tail["at"].isNotNull(), 0).otherwise(1)
+    sums = edges.withColumn("_seam", seam).withColumn("_start", F.sum(F.col("_seam") + F.col("_n")).over(turn) - F.col("_n"))
+    starts = sums.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_start")
+    on = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        on &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    joined = rows.join(broadcast_if_small(starts), on).withColumn("run", F.col("run") + F.col("_start"))
+    return joined.drop("_c", "_range", *starts.columns)
 
 
 def render_beat(clauses: DataFrame) -> DataFrame:

@@ -43,3 +43,24 @@ def test_prose_of_a_beat(spark):
     rows = [(1, "Caribe", "se registró un colapso", [1, 2]), (2, "Caribe", "hubo un rescate", [3]), (3, None, "se buscaba a Ana", [])]
     clauses = spark.createDataFrame(rows, "position int, place_name string, text string, cite_ns array<int>")
     assert beats.render_beat(clauses).select(F.col("prose")).first()[0] == "En Caribe, se registró un colapso[1][2]; hubo un rescate[3]. Se buscaba a Ana."
+
+
+def test_orders_are_numbered_without_one_task_for_all(spark):
+    ordered = spark.range(400).select(F.col("id").alias("claim_id"), (F.col("id") + 1).alias("position"), F.when(F.col("id") % 90 > 3, (F.col("id") / 37).cast("int")).alias("place"), (F.col("id") / 150).cast("int").alias("part"))
+    cited = spark.range(1200).select((F.col("id") * 7 % 400).alias("claim_id"), (F.col("id") % 5).alias("ord"), F.col("id").alias("post_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbers, whole, parts = beats.citation_numbers(ordered, cited), beats.clause_runs(ordered, [], "place"), beats.clause_runs(ordered, ["part"], "place")
+        for made in (numbers, whole):
+            assert made.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < made.count()
+        at = {r.claim_id: r.position for r in ordered.collect()}
+        order = sorted((at[r.claim_id], r.ord, r.post_id) for r in cited.collect())
+        assert {(r.position, r.ord, r.post_id): r.n for r in numbers.collect()} == {x: i + 1 for i, x in enumerate(order)}
+        for made, by in ((whole, lambda r: 0), (parts, lambda r: r.part)):
+            last = None
+            for r in sorted(made.collect(), key=lambda r: r.position):
+                run = 1 if last is None or by(last) != by(r) else last.run + (last.place != r.place)
+                assert r.run == run
+                last = r
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
