@@ -66,13 +66,17 @@ def subtree_rollup(links: DataFrame, closure: DataFrame, item_col: str, place_co
 def follow_redirects(nodes: DataFrame, id_col: str = "id", next_col: str = "next_id") -> DataFrame:
     """(id, final, loops): the end of each redirect chain by pointer jumping; ids in a loop or leading to one are marked.
 
-    After k rounds a pointer has gone 2^k steps. The rounds go on until every pointer stands at an end or 2^k exceeds the
-    number of ids: only a loop is longer than that. A target that is no id is an end. ``final`` of a looping id is an id of its loop.
+    After k rounds a pointer has gone 2^k steps. A chain's ids end in turn, so a round in which none ends leaves loops
+    alone, and the rounds are the log of the longest chain. A target that is no id is an end. ``final`` of a looping id is
+    an id of its loop.
     """
     hop = settle(nodes.select(F.col(id_col).alias("id"), F.coalesce(next_col, id_col).alias("at"), F.col(next_col).isNull().alias("done")))
-    ids, steps = hop.count(), 1
-    while steps <= ids and not hop.where("not done").isEmpty():
+    left = hop.where("not done").count()
+    while left:
         over = hop.select(F.col("id").alias("at"), F.col("at").alias("beyond"), F.col("done").alias("_done"))
         step = [F.coalesce("beyond", "at").alias("at"), (F.col("done") | F.coalesce("_done", F.lit(True))).alias("done")]
-        hop, steps = settle(hop.join(over, "at", "left").select("id", *step)), steps * 2
+        hop = settle(hop.join(over, "at", "left").select("id", *step))
+        before, left = left, hop.where("not done").count()
+        if left == before:
+            break
     return hop.select("id", F.col("at").alias("final"), (~F.col("done")).alias("loops"))

@@ -80,3 +80,13 @@ def test_queries_run_without_the_corpus_operators(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_redirects_of_any_length_and_loops(spark):
+    chain = [(i, i + 1) for i in range(1000)] + [(1000, None)]
+    loop = [(2000 + i, 2000 + (i + 1) % 200) for i in range(200)] + [(3000, 2005), (3001, 3000)]
+    odd = [(4000, 4000), (4001, 9999)]
+    got = {r.id: (r.final, r.loops) for r in trees.follow_redirects(spark.createDataFrame(chain + loop + odd, "id long, next_id long")).collect()}
+    assert all(got[i] == (1000, False) for i in range(1001))
+    assert all(got[i][1] for i in [*range(2000, 2200), 3000, 3001, 4000]) and got[4001] == (9999, False)
+    assert trees.follow_redirects(spark.createDataFrame([], "id long, next_id long")).count() == 0
