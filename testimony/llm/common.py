@@ -6,75 +6,93 @@ once with numpy, so no operator loops over words in Python.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from testimony.operators.durable import broadcast_if_small, settle, shared_dir  # noqa: F401  (used by the operators)
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A column whose rows are broadcast is at most this large, by a count made before.
-BROADCAST_ROWS = 500_000
-#: Rows of one Arrow batch of texts.
-BATCH_ROWS = 500
-_own_dir: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="testimony-"))
-    return _own_dir[0]
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches cut between groups of equal keys, each with where its groups start and the end."""
+    held: list[pd.DataFrame] = []
+    for pdf in _and_end(batches):
+        if pdf is not None:
+            held.append(pdf)
+            # A batch that goes on with the held group alone has no cut.
+            if len(held) > 1 and (pdf[keys].iloc[-1] == held[0][keys].iloc[-1]).all():
+                continue
+        if not held:
+            continue
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        k = rows[keys].to_numpy()
+        starts = np.append(0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)
+        cut = len(rows) if pdf is None else int(starts[-1])
+        held = [] if pdf is None else [rows.iloc[cut:].reset_index(drop=True)]
+        if cut:
+            yield rows.iloc[:cut], np.append(starts[starts < cut], cut)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def _and_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from (b for b in batches if len(b))
+    yield None
 
-    Cuts the lineage: a lost executor costs the tasks that were running on it, not the work
-    before this point, and a table that is used twice is computed once.
-    """
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+# --- approximate sets of a bounded size -------------------------------------------------------------
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Send texts to Python workers in batches of at most BATCH_ROWS rows, which bounds a worker's memory.
+class Bitmap:
+    """Which 64-bit values may be in a set: a bit for each by its low bits. A miss is certain, a hit is not.
 
-    A smaller setting of the session stays.
+    ``data`` is a broadcast variable of the bits.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
 
+    def __init__(self, data, bits: int):
+        self.data, self.bits = data, bits
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small; else as it is, for a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = values.view(np.uint64) & np.uint64((1 << self.bits) - 1)
+        byte = np.frombuffer(self.data.value, np.uint8)[(at >> np.uint64(3)).astype(np.int64)]
+        return (byte >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap_of(values: DataFrame, col: str, most_bits: int, per_value: int = 16) -> Bitmap:
+    """A bitmap of the values of a long column, ``per_value`` bits each, but 2^most_bits bits at most.
+
+    2^(bits - 15) rows of 4 KB reach the driver.
+    """
+    n = values.count()
+    bits = min(most_bits, max(15, (per_value * n).bit_length()))
+    at = F.col(col).bitwiseAND((1 << bits) - 1)
+    maps = values.groupBy(F.shiftright(at, 15).cast("int").alias("slot")).agg(F.bitmap_construct_agg(at.bitwiseAND(0x7FFF)).alias("bits"))
+    data = bytearray(1 << (bits - 3))
+    for r in maps.toLocalIterator():
+        data[r.slot * 4096 : r.slot * 4096 + len(r.bits)] = r.bits
+    return Bitmap(values.sparkSession.sparkContext.broadcast(bytes(data)), bits)
 
 
 # --- words of many texts at once ------------------------------------------------------------------
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_STEP_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+_K = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are hashed in runs of about this many bytes, which bounds a worker's memory.
 RUN_BYTES = 1 << 21
+#: Words up to this many bytes are hashed together, 8 bytes of all at a time; longer ones one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,32 +102,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _STEP), ("down", _STEP_INV)):
-                steps = np.full(max(n, RUN_BYTES + 1024), base, np.uint64)
-                steps[0] = 1
-                _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
-def hashed_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes], fold: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and where each text's words end.
 
-    ``fold`` hashes A-Z as a-z. A word's hash is the difference of two prefix sums of
-    byte values times powers of an odd number, shifted back to position 0.
+    ``fold`` hashes A-Z as a-z. Every 8 bytes of a word go through ``mix`` in turn, so words of up to 8 bytes
+    and of one length never collide, and others only by chance, which ``seed`` draws anew.
     """
-    joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    joined = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, np.uint8)
+    if fold:
+        joined = _FOLD[joined]
     space = _SPACE[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((_BYTE_FOLDED if fold else _BYTE)[joined] * up[: len(joined)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 1
-    return words, np.searchsorted(starts, np.cumsum(sizes) + 1, "left") if len(texts) else np.zeros(0, np.int64)
+    sizes = ends - starts
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined.tobytes(), 0, (1,))
+    words = mix(sizes.astype(np.uint64) + np.uint64(seed % (1 << 32)) * _K)
+    for k in range(0, min(int(sizes.max(initial=0)), LONG_WORD), 8):
+        at = np.flatnonzero(sizes > k) if k else slice(None)
+        rest = np.minimum(sizes[at] - k, 8).astype(np.uint64)
+        part = eight[starts[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
+        words[at] = mix(words[at] * _K ^ part)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        made = hashlib.blake2b(joined[starts[i] : ends[i]].tobytes(), digest_size=8, salt=(seed % (1 << 32)).to_bytes(8, "little"))
+        words[i] = int.from_bytes(made.digest(), "little")
+    length = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 1
+    return words, np.searchsorted(starts, np.cumsum(length) + 1, "left") if len(texts) else np.zeros(0, np.int64)
 
 
 def runs_of(texts: list[bytes]) -> Iterator[tuple[int, int]]:

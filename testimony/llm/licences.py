@@ -18,8 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testimony.llm.common import bounded_batches
-
 # Short public licence notices, by SPDX id.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -148,7 +146,6 @@ def scan_licences(
     match several templates; all are named. Repeated rows are scanned one by one. No documents or no
     templates give no rows or no matches. Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     known = Templates((*TEMPLATES, *full_texts()) if templates is None else templates, least)
 
     def judged(text: str) -> tuple[list[str], int, float | None]:

@@ -1,41 +1,52 @@
 """Substring dedup by level-wise doubling.
 
-Windows of half the length come first. Only text around half-windows that occur more than once is
-taken to the full length, and there an exact comparison of window hashes in order of (document,
-place) decides. The general rule is the loop: lengths double until no candidates survive or the wanted length is
-reached, and the lower level only prunes.
-
-The lower level looks at one half-window for each full window: the least-hashed one inside it. Equal full windows
-have equal least halves, so nothing is lost, and neighbouring windows mostly share theirs, so a
-sixth of the places is enough. Which halves repeat is kept in a bitmap of fixed size; a false hit
-only sends some windows on for nothing.
+The lengths double up to the wanted one: 5, 10 and 20 words for 20. At each length the windows that are still
+candidates are judged by one shorter window inside, the least-hashed one; those whose least one repeats are the candidates of
+the next length, and when none are left the loop ends. Equal windows have equal least ones, so
+nothing is lost, and neighbouring windows mostly share theirs, so a part of the places is enough.
+
+At the full length candidates meet under their least half, or under their own hash where that half is hot, and all but the
+earliest of equal ones are late. A late window names the earlier one, and the words of both are compared by
+SHA-256 at the end: if any differ, hashes have collided, and everything is done anew with other hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm.common import broadcast_if_small, hashed_words, mix, runs_of, settle, utf8
+from testimony.llm.common import Bitmap, bitmap_of, hashed_words, mix, runs_of, settle, utf8, whole_groups
 
-#: log2 of the bits of the bitmap of repeated half-windows: 32 MB, whatever the table's size.
-BITMAP_BITS = 28
-#: Parts over which the occurrences of one half-window are spread before they meet.
-SALTS = 16
-#: Pieces of one half-window in one salt beyond which it is hot: its windows then meet by their own hashes.
+#: The loop starts at the least length of at least so many words that doubles up to the wanted one.
+LEAST_LEVEL = 5
+#: log2 of the most bits of a bitmap of repeated windows (64 MB). Beyond a sixteenth as many of them more candidates
+#: pass than repeat; the result stays the same.
+BITMAP_BITS = 29
+#: Occurrences of a least half beyond which it is hot: its windows then meet by their own hashes.
 HOT_PIECES = 256
-#: Windows that a task remembers of one half-window in one salt before it starts anew; those it forgot meet later.
+#: Windows under hot halves that a task remembers, so as to send each on once only.
 REMEMBERED = 1 << 17
+#: Least windows that a task gathers before it sends them on by range of hash.
+GATHERED = 1 << 21
+#: Hash draws before a disagreement of the words counts as an error.
+DRAWS = 4
 _NULL_ID = (1 << 63) - 1
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
+def levels(length: int) -> list[int]:
+    """Window lengths from short to ``length``, each about twice the one before."""
+    out = [length]
+    while out[0] // 2 >= LEAST_LEVEL:
+        out.insert(0, out[0] // 2)
+    return out
+
+
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n-word windows: of two windows of n // 2 words and, for odd n, one word more."""
     if n == 1:
@@ -48,33 +59,29 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(g * _K + words[n - 1 : n - 1 + m]) if n % 2 else g
 
 
-def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For runs of texts: (text index, first window, windows, least half-window, repeats inside, window hashes).
+def pieces(texts: list[bytes], length: int, part: int, seed: int, seen: tuple[int, Bitmap] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """For runs of texts: (text index, first window, windows, least part, repeats inside, window hashes).
 
-    A piece is a run of consecutive windows with one least half-window, at most as many as can share one
-    place. ``repeats inside`` marks pieces that hold a window twice.
+    A piece is a run of consecutive windows of ``length`` words with one least window of ``part`` words, at most as many as can share one
+    place. ``repeats inside`` marks pieces that hold a window twice. With ``seen`` (length, bitmap of a level
+    before) only windows whose least window of that length may repeat are candidates.
     """
-    half = length // 2
-    span = length - half + 1
+    span = length - part + 1
     for a, b in runs_of(texts):
-        words, ends = hashed_words(texts[a:b])
+        words, ends = hashed_words(texts[a:b], seed=seed)
         n = len(words) - length + 1
         if n <= 0:
             continue
-        full, order = _grams(words, length), mix(_grams(words, half) ^ _K)
-        least, width = order[: n + span - 1], 1
-        while width * 2 <= span:
-            least, width = np.minimum(least[: len(least) - width], least[width:]), width * 2
-        if width < span:
-            least = np.minimum(least[:n], least[span - width : span - width + n])
-        least = least[:n]
         starts = np.concatenate(([0], ends[:-1]))
         owner = np.repeat(np.arange(len(ends)), ends - starts)
         inside = owner[:n] == owner[length - 1 :]
+        if seen is not None:
+            inside &= seen[1].has(_least(words, length, seen[0], n))
         at = np.flatnonzero(inside)
         if not len(at):
             continue
-        own, low = owner[at], least[at]
+        hashes = _grams(words, length)[at]
+        own, low = owner[at], _least(words, length, part, n)[at]
         new = np.ones(len(at), bool)
         new[1:] = (low[1:] != low[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(new)
@@ -84,7 +91,6 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
         counts = np.diff(np.append(heads, len(at)))
         piece = np.repeat(np.arange(len(heads)), counts)
         again = np.zeros(len(heads), bool)
-        hashes = full[at]
         for d in range(1, span):
             eq = (hashes[d:] == hashes[:-d]) & (piece[d:] == piece[:-d])
             if eq.any():
@@ -92,93 +98,238 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield own[heads] + a, at[heads] - starts[own[heads]], counts, low[heads], again, hashes
 
 
-def _halves(length: int):
-    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _least(words: np.ndarray, length: int, part: int, n: int) -> np.ndarray:
+    """The least hash of the windows of ``part`` words inside each of n windows of ``length`` words."""
+    span = length - part + 1
+    least, width = mix(_grams(words, part) ^ _K)[: n + span - 1], 1
+    while width * 2 <= span:
+        least, width = np.minimum(least[: len(least) - width], least[width:]), width * 2
+    if width < span:
+        least = np.minimum(least[:n], least[span - width : span - width + n])
+    return least[:n]
+
+
+# --- which windows of a level repeat -------------------------------------------------------------------
+
+
+def _packed(length: int, part: int, seed: int, seen, buckets: int):
+    """Least windows of the candidates by range of hash: (bucket, values as 8 bytes each, counts as 2 bytes each)."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
-            ids = pdf["ord"].to_numpy(np.int64).view(np.uint64) * _K ^ pdf["text_key"].to_numpy(np.int64).view(np.uint64)
-            for own, first, _, low, again, _ in pieces(utf8(pdf["text"]), length):
-                place = mix(ids[own] + first.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-                low, place = np.concatenate((low, low[again])), np.concatenate((place, place[again] ^ np.uint64(1)))
-                yield pd.DataFrame({"half": low.view(np.int64), "place": place.view(np.int64)})
+            for _, _, _, low, again, _ in pieces(utf8(pdf["text"]), length, part, seed, seen):
+                held += [low, low[again]]
+                size += len(low)
+                if size >= GATHERED:
+                    yield _by_bucket(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield _by_bucket(held, buckets)
+
+    return packed
+
+
+def _by_bucket(held: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    values, counts = np.unique(np.concatenate(held), return_counts=True)
+    counts = np.minimum(counts, 65535).astype(np.uint16)
+    bucket = (values // np.uint64(-(-(1 << 64) // buckets))).astype(np.int32)
+    starts = np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1)
+    ends = np.append(starts[1:], len(values))
+    rows = [(int(bucket[a]), values[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pd.DataFrame(rows, columns=["bucket", "values", "counts"])
+
+
+def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf, starts in whole_groups(batches, ["bucket"]):
+        for a, b in zip(starts, starts[1:], strict=False):
+            values = np.frombuffer(b"".join(pdf["values"].iloc[a:b]), np.uint64)
+            counts = np.frombuffer(b"".join(pdf["counts"].iloc[a:b]), np.uint16).astype(np.int64)
+            own, at = np.unique(values, return_inverse=True)
+            n = np.bincount(at, counts).astype(np.int64)
+            yield pd.DataFrame({"value": own[n > 1].view(np.int64), "n": n[n > 1]})
+
+
+def repeated(texts: DataFrame, length: int, part: int, seed: int, seen) -> DataFrame:
+    """(value, n): the hashes of least windows of ``part`` words that occur n > 1 times among the candidates.
+
+    Values are dealt by range, packed, and counted once in each task before they are sent.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select("text").mapInPandas(_packed(length, part, seed, seen, 16 * parts), "bucket int, values binary, counts binary")
+    return settle(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_repeated, "value long, n long"))
 
-    return halves
 
+# --- which windows are late ----------------------------------------------------------------------------
 
-def _windows(length: int, bitmap, bits: int):
+#: A piece of candidates (n = 0, ``data`` their hashes) or a late run (n windows, ``data`` the place of the earlier ones).
+_PIECE = "key long, ord long, text_key long, first int, n int, data binary"
+_RUN = "ord long, text_key long, first int, n int, src_ord long, src_key long, src_first int"
+_RUN_COLUMNS = [c.split()[0] for c in _RUN.split(", ")]
+
+
+def _late_runs(doc: tuple[np.ndarray, np.ndarray], first: np.ndarray, src: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    """Runs of late windows, given in order: of one document, next to each other, and so are the earlier ones."""
+    if not len(first):
+        return pd.DataFrame({c: [] for c in _RUN_COLUMNS}).astype("int64")
+    new = np.ones(len(first), bool)
+    same = (first[1:] == first[:-1] + 1) & (src[2][1:] == src[2][:-1] + 1)
+    for x in (*doc, src[0], src[1]):
+        same &= x[1:] == x[:-1]
+    new[1:] = ~same
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(first)))
+    return pd.DataFrame(dict(zip(_RUN_COLUMNS, (doc[0][at], doc[1][at], first[at], n, src[0][at], src[1][at], src[2][at]), strict=True)))
+
+
+def _earliest(group: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """For each element the index of the one with the least place in its group."""
+    order = np.lexsort((*place[::-1], group))
+    head = np.append(True, group[order][1:] != group[order][:-1]) if len(order) else np.zeros(0, bool)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(order[head], np.diff(np.append(np.flatnonzero(head), len(order))))
+    return out
+
+
+def _windows(length: int, part: int, seed: int, seen: Bitmap, hot: Bitmap, remembered: int):
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, mask = np.frombuffer(bitmap.value, np.uint8), np.uint64((1 << bits) - 1)
+        known: dict[int, tuple[int, int, int]] = {}
         for pdf in batches:
             ids, keys = pdf["ord"].to_numpy(np.int64), pdf["text_key"].to_numpy(np.int64)
-            for own, first, counts, low, _, hashes in pieces(utf8(pdf["text"]), length):
-                bit = low & mask
-                hit = np.flatnonzero(seen[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                if not len(hit):
-                    continue
-                ends, raw = np.cumsum(counts), hashes.tobytes()
-                cut = [raw[8 * (e - c) : 8 * e] for e, c in zip(ends[hit].tolist(), counts[hit].tolist(), strict=True)]
-                yield pd.DataFrame({"half": low[hit].view(np.int64), "ord": ids[own[hit]], "text_key": keys[own[hit]], "first": first[hit].astype(np.int32), "windows": cut})
+            for own, first, counts, low, _, hashes in pieces(utf8(pdf["text"]), length, part, seed, (part, seen)):
+                warm = hot.has(low)
+                ends = np.cumsum(counts)
+                plain = np.flatnonzero(~warm)
+                if len(plain):
+                    raw = hashes.tobytes()
+                    cut = [raw[8 * (e - c) : 8 * e] for e, c in zip(ends[plain].tolist(), counts[plain].tolist(), strict=True)]
+                    yield pd.DataFrame({"key": low[plain].view(np.int64), "ord": ids[own[plain]], "text_key": keys[own[plain]], "first": first[plain], "n": 0, "data": cut})
+                if warm.any():
+                    at = np.repeat(np.arange(len(counts)), counts)
+                    place = first[at] + np.arange(len(at)) - (ends - counts)[at]
+                    keep = warm[at]
+                    doc = own[at[keep]]
+                    yield _single(hashes[keep].view(np.int64), ids[doc], keys[doc], place[keep], known, remembered)
 
     return windows
 
 
-def _mark(hot_pieces: float, remembered: float):
-    """Split sorted pieces into runs of windows seen earlier under their half (windows null) and the rest.
+def _single(window: np.ndarray, order: np.ndarray, key: np.ndarray, first: np.ndarray, known: dict, remembered: int) -> pd.DataFrame:
+    """Windows by their own hashes: those after an equal one that the task has met are late, the others go on."""
+    src = _earliest(window, order, key, first)
+    so, sk, sf = order[src], key[src], first[src]
+    least = np.flatnonzero(src == np.arange(len(src)))
+    before = {}
+    for i in least.tolist():
+        w, here = int(window[i]), (int(order[i]), int(key[i]), int(first[i]))
+        met = known.get(w)
+        if met is not None and met < here:
+            before[i] = met
+        else:
+            if met is None and len(known) >= remembered:
+                known.clear()
+            known[w] = here
+    if before:
+        met = np.array([before.get(i, (so[i], sk[i], sf[i])) for i in src.tolist()], np.int64)
+        so, sk, sf = met.T
+    late = (so != order) | (sk != key) | (sf != first)
+    runs = _late_runs((order[late], key[late]), first[late], (so[late], sk[late], sf[late]))
+    data = np.stack([runs[c].to_numpy(np.int64) for c in ("src_ord", "src_key", "src_first")], 1).tobytes() if len(runs) else b""
+    spread = mix(runs["ord"].to_numpy(np.int64).view(np.uint64) ^ runs["first"].to_numpy(np.int64).astype(np.uint64)).view(np.int64)
+    done = pd.DataFrame({"key": spread, "ord": runs["ord"], "text_key": runs["text_key"], "first": runs["first"], "n": runs["n"], "data": [data[24 * i : 24 * i + 24] for i in range(len(runs))]})
+    raw, on = window.tobytes(), np.flatnonzero(~late)
+    rest = pd.DataFrame({"key": window[on], "ord": order[on], "text_key": key[on], "first": first[on], "n": 0, "data": [raw[8 * i : 8 * i + 8] for i in on.tolist()]})
+    return pd.concat([done, rest], ignore_index=True)
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Late runs of pieces sorted by key and place, and those found before."""
+    for pdf, starts in whole_groups(batches, ["key"]):
+        n, data = pdf["n"].to_numpy(), pdf["data"].to_numpy()
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        done = np.flatnonzero(n > 0)
+        if len(done):
+            src = np.frombuffer(b"".join(data[done]), np.int64).reshape(-1, 3).T
+            yield pd.DataFrame(dict(zip(_RUN_COLUMNS, (*(pdf[c].to_numpy()[done] for c in ("ord", "text_key", "first")), n[done], *src), strict=True)))
+        open_ = np.flatnonzero(n == 0)
+        if not len(open_):
+            continue
+        windows = np.frombuffer(b"".join(data[open_]), np.int64)
+        counts = np.fromiter((len(x) for x in data[open_]), np.int64, len(open_)) // 8
+        at = np.repeat(open_, counts)
+        first = pdf["first"].to_numpy(np.int64)[at] + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order, key = pdf["ord"].to_numpy(np.int64)[at], pdf["text_key"].to_numpy(np.int64)[at]
+        _, both = np.unique(np.stack([group[at], windows], 1), axis=0, return_inverse=True) if len(starts) > 2 else (None, windows)
+        src = _earliest(both, order, key, first)
+        late = (order != order[src]) | (key != key[src]) | (first != first[src])
+        src = src[late]
+        yield _late_runs((order[late], key[late]), first[late], (order[src], key[src], first[src]))
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs sorted by document and place, with those next to each other made one; equal places once."""
+    for pdf in batches:
+        x = {c: pdf[c].to_numpy(np.int64) for c in _RUN_COLUMNS}
+        if not len(pdf):
+            continue
+        same = (x["first"][1:] == x["first"][:-1] + x["n"][:-1]) & (x["src_first"][1:] == x["src_first"][:-1] + x["n"][:-1])
+        for c in ("ord", "text_key", "src_ord", "src_key"):
+            same &= x[c][1:] == x[c][:-1]
+        at = np.flatnonzero(np.append(True, ~same))
+        x["n"] = np.add.reduceat(x["n"], at)
+        yield pd.DataFrame({c: v if c == "n" else v[at] for c, v in x.items()})
 
-    Once under each half with more than ``hot_pieces`` pieces a row with n = -1 says so.
-    """
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, seen, met = None, {}, 0
+# --- cutting, and comparing the words ------------------------------------------------------------------
+
+_ASK = "first int, n int, late boolean, src_ord long, src_key long, src_first int"
+_DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+_CHECK = "checks array<struct<src_ord:long,src_key:long,src_first:int,n:int,words:binary>>"
+
+
+def _asked(bitmap: Bitmap):
+    """Texts that no run can concern are done where they are read; the others go on with their text."""
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for half, doc, key, first, data in zip(pdf["half"].tolist(), pdf["ord"].tolist(), pdf["text_key"].tolist(), pdf["first"].tolist(), pdf["windows"], strict=True):
-                if half != current:
-                    current, seen, met = half, {}, 0
-                met += 1
-                if met == hot_pieces + 1:
-                    out.append((half, doc, key, first, -1, None))
-                if met > hot_pieces and len(seen) >= remembered:
-                    seen = {}
-                start, state = 0, None
-                hashes = memoryview(data).cast("q").tolist()
-                for i, h in enumerate(hashes):
-                    here = (doc, key, first + i)
-                    late = seen.setdefault(h, here) != here
-                    if state is not None and late != state:
-                        out.append((half, doc, key, first + start, i - start, None if state else data[8 * start : 8 * i]))
-                        start = i
-                    state = late
-                if hashes:
-                    out.append((half, doc, key, first + start, len(hashes) - start, None if state else data[8 * start :]))
-            if out:
-                yield pd.DataFrame(out, columns=["half", "ord", "text_key", "first", "n", "windows"])
-
-    return mark
-
-
-def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces as one row a window."""
-    for pdf in batches:
-        counts = pdf["windows"].map(len).to_numpy(np.int64) // 8
-        if len(counts):
-            at = np.repeat(np.arange(len(counts)), counts)
-            place = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-            rows = pdf[["half", "ord", "text_key", "first"]].take(at).reset_index(drop=True)
-            rows["first"] += place.astype(np.int32)
-            yield rows.assign(window=np.frombuffer(b"".join(pdf["windows"]), np.int64))[["half", "window", "ord", "text_key", "first"]]
+            wanted = bitmap.has(_doc_hash(pdf["ord"].to_numpy(np.int64), pdf["text_key"].to_numpy(np.int64)))
+            rows = [(0, "", t) if w else (*_whole(t), None) for t, w in zip(utf8(pdf["text"]), wanted.tolist(), strict=True)]
+            made = pd.DataFrame(rows, columns=["n_words", "sha256", "data"])
+            yield pd.concat([pdf[["doc_id", "ord", "text_key"]].reset_index(drop=True), made], axis=1).astype({"doc_id": "Int64"})
 
+    return asked
 
-_PIECE = "half long, ord long, text_key long, first int, n int, windows binary"
+
+def _whole(text: bytes) -> tuple[int, str]:
+    words = text.split()
+    return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+def _doc_hash(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mix(order.view(np.uint64) * _K ^ key.view(np.uint64)).view(np.int64)
+
+
+def _hashed_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"h": _doc_hash(pdf["ord"].to_numpy(np.int64), pdf["text_key"].to_numpy(np.int64))})
 
 
 def _cut(length: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, runs in zip(utf8(pdf["text"]), pdf["runs"], strict=True):
+            for n, sha, text, asks in zip(pdf["n_words"].tolist(), pdf["sha256"].tolist(), pdf["data"], pdf["asks"], strict=True):
+                if text is None:
+                    rows.append((n, 0, sha, [], []))
+                    continue
                 words = text.split()
+                asks = [] if asks is None else asks
+                checks = []
+                for r in asks:
+                    said = hashlib.sha256(b" ".join(words[r["first"] : r["first"] + r["n"] + length - 1])).digest()
+                    checks.append((r["src_ord"], r["src_key"], r["src_first"], r["n"], said))
                 kept, upto, spans = [], 0, []
-                for first, n in sorted((int(r["first"]), int(r["n"])) for r in runs) if runs is not None else ():
+                for first, n in sorted((int(r["first"]), int(r["n"])) for r in asks if r["late"]):
                     end = first + n + length - 1
                     if end <= upto:
                         continue
@@ -189,13 +340,35 @@ def _cut(length: int):
                         spans.append([first, end])
                     upto = end
                 kept += words[upto:]
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [tuple(s) for s in spans]))
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "spans"])], axis=1).astype({"doc_id": "Int64"})
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [tuple(s) for s in spans], checks))
+            made = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "spans", "checks"])
+            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), made], axis=1).astype({"doc_id": "Int64"})
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS, hot_pieces: int = HOT_PIECES, remembered: int = REMEMBERED) -> DataFrame:
+def _late(spark: SparkSession, texts: DataFrame, length: int, seed: int, bitmap_bits: int, hot_pieces: int, remembered: int) -> DataFrame:
+    """Late runs (_RUN) of all texts: the loop over the levels, then the meeting of the candidates."""
+    seen, part = None, None
+    for part in levels(length)[:-1]:
+        found = repeated(texts, length, part, seed, seen)
+        if found.isEmpty():
+            return spark.createDataFrame([], _RUN)
+        seen = (part, bitmap_of(found, "value", bitmap_bits))
+    if part is None:  # a length too short to halve: its windows are their own least ones
+        part = length
+        found = repeated(texts, length, part, seed, None)
+        seen = (part, bitmap_of(found, "value", bitmap_bits))
+    hot = bitmap_of(found.where(F.col("n") > hot_pieces), "value", bitmap_bits)
+    met = texts.mapInPandas(_windows(length, part, seed, seen[1], hot, remembered), _PIECE)
+    met = met.repartition("key").sortWithinPartitions("key", "ord", "text_key", "first").mapInPandas(_meet, _RUN)
+    return settle(met.repartition("ord", "text_key").sortWithinPartitions("ord", "text_key", "first").mapInPandas(_merge, _RUN))
+
+
+def remove_repeats(
+    docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col: str = "text",
+    bitmap_bits: int = BITMAP_BITS, hot_pieces: int = HOT_PIECES, remembered: int = REMEMBERED, seed: int = 0,
+) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256, spans (half-open ranges of removed words).
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. A word is removed when a window
@@ -205,35 +378,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
 
     Null and empty texts have no words; texts of fewer than ``length`` words lose none. A null id sorts
     last. Rows with equal id and text are one document and get equal results. Very long texts are
-    hashed whole. An empty table gives an empty result. Other columns are ignored.
+    hashed whole, and so are very long words. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    Raises if the words of windows with equal hashes differ in DRAWS draws of the hashes one after the other.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("ord"), key.alias("text_key"), F.col(text_col).alias("text"))
-    texts = plain.select("ord", "text_key", "text")
-    halves = texts.mapInPandas(_halves(length), "half long, place long").groupBy("half").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b")
-    bit = F.col("half").bitwiseAND((1 << bitmap_bits) - 1)
-    maps = halves.groupBy(F.shiftright(bit, 15).cast("int").alias("slot")).agg(F.bitmap_construct_agg(bit.bitwiseAND(0x7FFF)).alias("bits"))
-    bitmap = bytearray(1 << (bitmap_bits - 3))
-    for r in maps.toLocalIterator():  # 2^(bitmap_bits - 15) rows of 4 KB at most
-        bitmap[r.slot * 4096 : r.slot * 4096 + len(r.bits)] = r.bits
-    shared = spark.sparkContext.broadcast(bytes(bitmap))
-    order = ["half", "ord", "text_key", "first"]
-    found = texts.mapInPandas(_windows(length, shared, bitmap_bits), "half long, ord long, text_key long, first int, windows binary")
-    # Occurrences of one half-window meet in SALTS parts first; what is late there is settled, the rest meets again:
-    # under a hot half window by window, so that no key is wider than what is left of one full window, else by half.
-    salted = found.repartition(F.col("half"), F.pmod(F.xxhash64("ord", "text_key"), F.lit(SALTS))).sortWithinPartitions(*order)
-    parts = settle(salted.mapInPandas(_mark(hot_pieces, remembered), _PIECE))
-    hot = broadcast_if_small(parts.where("n < 0").select(F.col("half").alias("_hot")).distinct())
-    rest = parts.where("windows is not null").select(*order, "windows").join(hot, F.col("half") == F.col("_hot"), "left")
-    # A half that is hot in no salt has at most SALTS * hot_pieces pieces before the salted step cuts them, and is remembered whole.
-    last = rest.where("_hot is null").select(*order, "windows").repartition("half").sortWithinPartitions(*order).mapInPandas(_mark(math.inf, math.inf), _PIECE)
-    single = rest.where("_hot is not null").select(*order, "windows").mapInPandas(_single, "half long, window long, ord long, text_key long, first int")
-    # Equal places, of repeated rows, share a rank.
-    turn = F.rank().over(Window.partitionBy("half", "window").orderBy("ord", "text_key", "first"))
-    crowded = single.withColumn("_k", turn).where("_k > 1").select("ord", "text_key", "first", F.lit(1).alias("n"))
-    settled = parts.where("windows is null and n > 0").union(last.where("windows is null and n > 0"))
-    late = settled.select("ord", "text_key", "first", "n").union(crowded).distinct()
-    runs = late.groupBy(F.col("ord").alias("_o"), F.col("text_key").alias("_k")).agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    joined = plain.join(runs, (F.col("ord") == F.col("_o")) & (F.col("text_key") == F.col("_k")), "left").select("doc_id", "text", "runs")
-    return joined.mapInPandas(_cut(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    for draw in range(seed, seed + DRAWS):
+        late = _late(spark, plain.select("ord", "text_key", "text"), length, draw, bitmap_bits, hot_pieces, remembered)
+        # Each late run is asked of its document, and the run it repeats of the earlier one, once however often it is repeated.
+        src = [F.col("src_ord"), F.col("src_key"), F.col("src_first")]
+        own = late.select("ord", "text_key", F.struct("first", "n", F.lit(True).alias("late"), *src).alias("ask"))
+        of = late.select(*src, "n").distinct().select(src[0].alias("ord"), src[1].alias("text_key"), F.struct(src[2].alias("first"), "n", F.lit(False).alias("late"), *src).alias("ask"))
+        asks = settle(own.union(of).groupBy("ord", "text_key").agg(F.collect_set("ask").alias("asks")))
+        wanted = bitmap_of(asks.select("ord", "text_key").mapInPandas(_hashed_docs, "h long"), "h", bitmap_bits)
+        texts = plain.mapInPandas(_asked(wanted), "doc_id long, ord long, text_key long, n_words long, sha256 string, data binary")
+        joined = texts.join(asks, ["ord", "text_key"], "left").select("doc_id", "n_words", "sha256", "data", "asks")
+        out = settle(joined.mapInPandas(_cut(length), f"{_DONE}, {_CHECK}"))
+        said = out.select(F.explode("checks").alias("c")).select("c.*").groupBy("src_ord", "src_key", "src_first", "n")
+        if said.agg(F.min("words").alias("a"), F.max("words").alias("b")).where("a <> b").isEmpty():
+            return out.drop("checks")
+    raise RuntimeError(f"hashes collided in {DRAWS} draws")

@@ -222,11 +222,65 @@ def test_substrings_under_a_hot_half(spark):
             assert (r.n_removed, r.kept_sha256) == (len(gone[r.doc_id]), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
-def test_a_task_remembers_a_bounded_part_of_a_hot_half():
-    batch = [pd.DataFrame({"half": 1, "ord": range(5000), "text_key": 0, "first": 0, "windows": [np.arange(11 * i, 11 * i + 11).tobytes() for i in range(5000)]})] * 2
-    marked = substrings._mark(10, 100)(iter(batch))
-    flags = [r for pdf in (next(marked), next(marked)) for r in pdf["n"] if r == -1]
-    assert flags == [-1] and len(marked.gi_frame.f_locals["seen"]) <= 110
+def test_a_task_remembers_a_bounded_part_of_the_windows_under_hot_halves():
+    known, sent = {}, []
+    for batch in range(4):
+        window = np.arange(50) + 50 * (batch % 2)
+        sent.append(substrings._single(window, np.full(50, 9 - batch), np.zeros(50, np.int64), np.arange(50), known, 60))
+        assert len(known) <= 60
+    # The third batch comes before the first, whose windows are forgotten or later; all of it goes on.
+    assert [(x["n"] == 0).sum() for x in sent] == [50, 50, 50, 50]
+    again = substrings._single(np.arange(50) + 50, np.full(50, 20), np.zeros(50, np.int64), np.arange(50), known, 60)
+    assert again[["n", "first"]].values.tolist()[0][0] > 0 and (again["n"] == 0).sum() < 50
+
+
+def thue_morse(flip):
+    """A word of 1,024 letters over {a, b}, or its complement: equal under every polynomial hash modulo 2^64."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024))
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    rest = " ".join(f"w{i}" for i in range(19))
+    texts = {1: f"{thue_morse(0)} {rest}", 2: f"{thue_morse(1)} {rest}", 3: f"{rest} {thue_morse(1)}"}
+    got = substrings.remove_repeats(frame(spark, [(d, t, "s") for d, t in texts.items()])).collect()
+    assert [r.n_removed for r in got] == [0, 0, 0]
+    texts = {1: " ".join([thue_morse(0)] * 2), 2: " ".join([thue_morse(1)] * 2)}
+    got = minhash.near_duplicates(frame(spark, [(d, t, "s") for d, t in texts.items()]), shingle=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2}
+
+
+def test_substrings_are_done_anew_when_hashes_collide(spark, monkeypatch):
+    """Under the first draw's hashes 20 windows of other words look like repeats; the words say no, and the next draw is right."""
+    ws = [f"w{i}" for i in range(30)]
+    texts = {1: " ".join(ws), 2: " ".join(f"x{i}" for i in range(30)), 3: " ".join(ws[:25])}
+    late = substrings._late
+
+    def confused(spark, texts, length, seed, *options):
+        found = late(spark, texts, length, seed, *options)
+        if seed:
+            return found
+        key = {r.ord: r.text_key for r in texts.select("ord", "text_key").collect()}
+        return found.union(spark.createDataFrame([(2, key[2], 0, 5, 1, key[1], 0)], substrings._RUN))
+
+    monkeypatch.setattr(substrings, "_late", confused)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, [(d, t, "s") for d, t in texts.items()])).collect()}
+    assert got == {1: 0, 2: 0, 3: 25}
+
+
+@pytest.mark.parametrize("length", [3, 9, 10, 21])
+def test_substrings_of_other_lengths(spark, length):
+    rng = np.random.default_rng(length)
+    texts = {d: " ".join(f"a{x}" for x in rng.integers(0, 3 if d % 2 else 40, 60)) for d in range(12)}
+    seen, gone = set(), defaultdict(set)
+    for d in sorted(texts):
+        ws = words(texts[d])
+        for p in range(len(ws) - length + 1):
+            g = tuple(ws[p : p + length])
+            if g in seen:
+                gone[d] |= set(range(p, p + length))
+            seen.add(g)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, [(d, t, "s") for d, t in texts.items()]), length=length).collect()}
+    assert got == {d: len(gone[d]) for d in texts}
 
 
 def test_embeddings(spark):
