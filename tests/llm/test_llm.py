@@ -158,12 +158,48 @@ def test_minhash(spark, n):
 
 
 def test_minhash_large_groups_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash.in_blocks, "__defaults__", (8,))
+    for f in (minhash.in_blocks, minhash._links):
+        monkeypatch.setattr(f, "__defaults__", (8,))
     rows = [(i, " ".join(["base"] * 0 + [f"w{j}" for j in range(60)] + [f"end{i}"]), "s") for i in range(100)]
     got = minhash.near_duplicates(frame(spark, rows), shingle=2).collect()
     assert {r.component_id for r in got} == {0}
 
 
+def test_minhash_open_members_of_large_groups_meet_all(spark, monkeypatch):
+    """Chains of documents, each alike to its neighbours only, in a common family: the first member leaves most of it open."""
+    for f in (minhash.in_blocks, minhash._links):
+        monkeypatch.setattr(f, "__defaults__", (4,))
+    rows = [(c * 100 + i, " ".join(f"c{c % 2}w{j}" for j in range(5 * i + c, 5 * i + 60 + c)), "s") for c in range(4) for i in range(14)]
+    sets = {i: shingles(t, 2) for i, t, _ in rows}
+    want = exact_components(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), shingle=2).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_shingle_numbers_are_exact():
+    texts = [b"A b a B c", b"a b", b"", b"x", b"X", b"b a b c a b", " ".join(f"w{i % 700}" for i in range(9000)).encode()]
+    for n in (1, 2, 5, 7):
+        codes = minhash.shingle_codes(texts, n)
+        sets = [shingles(t.decode(), n) for t in texts]
+        assert [len(np.unique(c)) for c in codes] == [len(s) for s in sets]
+        for i in range(len(texts)):
+            for j in range(i):
+                assert len(np.intersect1d(codes[i], codes[j])) == len(sets[i] & sets[j])
+
+
+def test_short_sets_are_estimated_within_the_margin():
+    """4 of 5, and 8 of 10 shared shingles: an estimate as low as the cut is as rare as five standard errors are."""
+    rng, low, n = np.random.default_rng(12), 0, 200
+    a, b = minhash._seeds(n)
+    cut = 0.8 - 5 * np.sqrt(0.16 / n + 0.2 / 3 / n)
+    for shared, own in ((4, 1), (8, 2)):
+        for _ in range(1500):
+            s = rng.integers(0, 1 << 63, shared + own, dtype=np.uint64)
+            one, other = (np.frombuffer(minhash.pack(minhash.minima(x, a, b), 2), np.uint8) for x in (s, s[:shared]))
+            low += minhash.agreement(one, other[None], 2, n)[0] < cut
+    assert low == 0
+
+
 def test_keep_first(spark):
     base = "a b c d e f g h i j"
     rows = [(3, base, "s"), (2, base, "s"), (2, base, "s"), (9, "other words here", "s"), (7, None, "s"), (7, None, "s"), (None, base, "s")]
