@@ -337,12 +337,27 @@ def test_embeddings(spark):
     assert embeddings.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_bound_holds_for_every_pair():
-    x = np.random.default_rng(5).normal(size=(300, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code, factor = embeddings.encode(x)
-    found = {(i, j) for p, q in embeddings.block_links(x, x, code, factor, 0.6, True) for i, j in zip(p, q)}
-    assert found == {(i, j) for i in range(300) for j in range(i + 1, 300) if x[i] @ x[j] >= 0.6}
+def test_estimates_are_unbiased_and_bounded():
+    """Over pairs of a cosine the estimate's mean is that cosine, and its errors are those stated; recall is 1."""
+    rng, dims = np.random.default_rng(5), 64
+    for cos in (0.9, 0.5, 0.0):
+        x = rng.normal(size=(4000, dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        o = rng.normal(size=x.shape)
+        o -= np.einsum("ij,ij->i", x, o)[:, None] * x
+        y = cos * x + np.sqrt(1 - cos**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+        a, b = embeddings.encode(x, 1), embeddings.encode(y, 2)
+        take = lambda v, i: {k: w[i : i + 500] for k, w in v.items()}
+        got = np.concatenate([np.diag(embeddings.estimates(take(a, i), take(b, i), dims)) for i in range(0, 4000, 500)])
+        sd = np.concatenate([np.diag(embeddings.deviations(take(a, i), take(b, i), dims, cos)) for i in range(0, 4000, 500)])
+        assert abs(got.mean() - cos) < 0.01
+        assert (np.abs(got - cos) < 6 * sd).all() and (np.abs(got - cos) < 2 * sd).mean() > 0.94
+
+
+def test_embeddings_of_few_dimensions_and_extreme_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e200, 1e198]), (3, [1e-200, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 2.0]), (6, [1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.link_embeddings(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, node string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
 
 
 def test_warc(spark, tmp_path):
