@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empty tables, ties, repeated rows and clashing names."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -109,16 +110,64 @@ def test_sharding(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of.values())
 
 
+def plain_best_fit(sizes, capacity):
+    """One size after the other into the fullest bin with room; equal bins by their number."""
+    left = []
+    for s in sorted(sizes, reverse=True):
+        fit = [(r, i) for i, r in enumerate(left) if r >= s]
+        if fit:
+            left[min(fit)[1]] -= s
+        else:
+            left.append(max(capacity, s) - s)
+    return left
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_by_classes_is_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 40 + 30 * seed, 300).tolist() + [500]
+    items = sorted(Counter(sizes).items(), reverse=True)
+    for capacity in (100 + 40 * seed, 1000):
+        bins, used = sharding.best_fit_decreasing(items, capacity)
+        full = Counter()
+        for (size, n), own in zip(items, bins):
+            assert sum(k for _, k in own) == n
+            for at, k in own:
+                full[at] += size * k
+        left = plain_best_fit(sizes, capacity)
+        assert used == len(left) and sorted(max(capacity, full[b]) - full[b] for b in full) == sorted(left)
+
+
 def test_packing():
     rng = np.random.default_rng(1)
-    items = [(str(i), int(s)) for i, s in enumerate(rng.integers(1, 50, 3000))] + [("big", 9000)]
-    total = Counter()
-    for k, s in sharding.pack(items, 24).items():
-        total[s] += dict(items)[k]
+    items = [*Counter(rng.integers(1, 50, 3000).tolist()).items(), (9000, 1)]
+    total, placed = Counter(), Counter()
+    for size, own in sharding.pack(items, 24).items():
+        for at, k in own:
+            total[at] += size * k
+            placed[size] += k
     rest = [v for v in total.values() if v != 9000]
-    assert len(total) == 24 and max(rest) - min(rest) < 0.05 * max(rest)
-    bins, used = sharding.best_fit_decreasing([7, 5, 5, 3, 3, 3, 2, 2], 10)
-    assert used == 3 and bins[0] == bins[3]
+    assert placed == dict(items) and len(total) == 24 and max(rest) - min(rest) < 0.05 * max(rest)
+
+
+def test_shards_are_near_equal_and_like_a_packing_of_all_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    of = Counter()
+    for r in docs.collect():
+        of[r.text] += len((r.text or "").encode()) + 8
+    got = Counter()
+    for r in sharding.shard(docs).collect():
+        got[r.shard] += r.size
+    largest = max(of.values())
+    assert len(got) == 24 and max(got.values()) - min(got.values()) <= 0.01 * max(got.values())
+    capacity = max(largest, math.ceil(sum(of.values()) / 24))
+    while len(plain_best_fit(of.values(), capacity)) > 24:
+        capacity += capacity // 1000
+    assert max(got.values()) <= 1.003 * capacity
+    few = Counter()
+    for r in sharding.shard(docs, capacity=2 * largest).collect():
+        few[r.shard] += r.size
+    assert max(few.values()) <= 2 * largest and len(few) <= math.ceil(1.01 * len(plain_best_fit(of.values(), 2 * largest)))
 
 
 def exact_components(sets, ok):
