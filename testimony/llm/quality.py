@@ -1,8 +1,7 @@
 """Quality classifier: nearest-neighbour voting over labelled latent-semantic vectors.
 
-A text's terms are trigrams of character classes (letters by case, digits, spaces, single marks) and
-shares of repeated words. Terms are weighted by inverse document frequency and projected onto the
-leading singular vectors of a labelled sample. The labelled vectors are broadcast (their number is a
+A text's terms are its words (A-Z folded) and its byte trigrams (all capitals alike, and all digits), hashed, and how much of it repeats words. Terms are weighted by inverse
+document frequency and projected onto the leading singular vectors of a labelled sample. The labelled vectors are broadcast (their number is a
 parameter); every document gets exact cosine products against all of them, in blocks, and its nearest
 neighbours vote for their labels with their similarities.
 """
@@ -18,49 +17,44 @@ from pyspark.sql import functions as F
 
 from testimony.llm.common import hashed_words, runs_of, utf8
 
-_CLASSES = 20
-_MARKS = b"!|*#$%&.,"
-
-
-def _class_table() -> np.ndarray:
-    t = np.full(256, 1, np.uint16)  # other ASCII marks
-    t[[9, 11, 12, 13, 32]] = 2
-    t[10] = 3
-    t[48:58] = 4
-    t[65:91] = 5
-    t[97:123] = 6
-    for i, b in enumerate(_MARKS):
-        t[b] = 7 + i
-    t[0xC0:] = 16  # first bytes beyond ASCII
-    t[0x80:0xA0] = 17  # their following bytes: capitals of Latin-1 letters end here
-    t[0xA0:0xC0] = 18
-    return t
-
-
-_CLASS = _class_table()
-N_TERMS = _CLASSES**3 + 8
+#: log2 of the hash values of words, and of trigrams.
+WORD_BITS, GRAM_BITS = 12, 12
+N_TERMS = (1 << WORD_BITS) + (1 << GRAM_BITS) + 4
+#: Weight of the last four terms, which all texts have, in place of inverse document frequency.
+REPEAT_WEIGHT = 3.0
+#: Bytes as trigrams see them: one capital and one digit stand for all.
+_SEEN = np.arange(256, dtype=np.uint32)
+_SEEN[65:91], _SEEN[48:58] = 65, 48
+#: Texts whose terms are held at once.
+ROWS_PER_BLOCK = 128
 
 
 def terms(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Square roots of term shares of each text, as float32 rows of N_TERMS, for runs of texts."""
+    """Square roots of term shares of each text, as float32 rows of N_TERMS, for blocks of texts.
+
+    First words, then trigrams of bytes, then the shares of words that repeat the word before and that do not, and of those that
+    stand before in the text and that do not.
+    """
     for a, b in runs_of(texts):
-        part = texts[a:b]
-        out = np.zeros((len(part), N_TERMS), np.float32)
-        words, ends = hashed_words(part)
-        start = 0
-        for i, t in enumerate(part):
-            if len(t) > 2:
-                c = _CLASS[np.frombuffer(t, np.uint8)].astype(np.int32)
-                n = np.bincount((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:], minlength=_CLASSES**3)
-                out[i, : _CLASSES**3] = n / (len(t) - 2)
-            w = words[start : ends[i]]
-            start = ends[i]
-            if len(w):
-                again = 1 - len(np.unique(w)) / len(w)
-                near = float(np.mean(w[1:] == w[:-1])) if len(w) > 1 else 0.0
-                out[i, -8:] = [near, 1 - near, again, 1 - again, *(again > np.array([0.3, 0.5, 0.7, 0.85]))]
-                out[i, -8:] *= 0.1
-        yield np.sqrt(out)
+        for i in range(a, b, ROWS_PER_BLOCK):
+            yield _terms(texts[i : min(b, i + ROWS_PER_BLOCK)])
+
+
+def _terms(part: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(part), N_TERMS), np.float32)
+    words, ends = hashed_words(part, fold=True)
+    start = 0
+    for i, (t, end) in enumerate(zip(part, ends.tolist(), strict=True)):
+        w, start = words[start:end], end
+        if len(w):
+            out[i, : 1 << WORD_BITS] = np.bincount((w >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS) / len(w)
+            near, again = np.mean(w[1:] == w[:-1]) if len(w) > 1 else 0.0, 1 - len(np.unique(w)) / len(w)
+            out[i, -4:] = near, 1 - near, again, 1 - again
+        if len(t) > 2:
+            c = _SEEN[np.frombuffer(t, np.uint8)]
+            g = (c[:-2] << np.uint32(16) | c[1:-1] << np.uint32(8) | c[2:]) * np.uint32(2654435761) >> np.uint32(32 - GRAM_BITS)
+            out[i, 1 << WORD_BITS : -4] = np.bincount(g.astype(np.int64), minlength=1 << GRAM_BITS) / len(g)
+    return np.sqrt(out)
 
 
 def _project(rows: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -68,12 +62,13 @@ def _project(rows: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 1000, dims: int = 48, id_col: str, text_col: str, label_col: str) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 1000, dims: int = 64, id_col: str, text_col: str, label_col: str) -> dict:
     """Model from at most ``rows_per_label`` labelled documents of each label, those of least hashed id.
 
-    The sample is the only data that reaches the driver: 2 * rows_per_label sparse rows.
+    The sample is the only data that reaches the driver: 2 * rows_per_label sparse rows. An id labelled both ways counts
+    as 0; of the documents of one id that of the least text hash is taken.
     """
-    keys = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).distinct()
+    keys = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     parts = [keys.where(F.col("_label") == v).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_label) for v in (0, 1)]
     picked = parts[0].unionByName(parts[1])
 
@@ -83,15 +78,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 1000, dims:
             yield pd.DataFrame({"_id": pdf["_id"], "_label": pdf["_label"], "at": [x[0] for x in got], "v": [x[1] for x in got]})
 
     texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text"))
-    joined = texts.join(F.broadcast(picked), texts["_d"] == F.col("_id")).select("_id", "_label", "_text")
-    rows = joined.mapInPandas(sparse, "_id long, _label int, at array<int>, v array<float>").toPandas()
-    rows = rows.sort_values(["_id", "_label"]).drop_duplicates("_id")
+    joined = texts.join(F.broadcast(picked), texts["_d"] == F.col("_id")).select("_id", "_label", F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")).alias("s"))
+    once = joined.groupBy("_id", "_label").agg(F.min("s").alias("s")).select("_id", "_label", F.col("s.t").alias("_text"))
+    rows = once.mapInPandas(sparse, "_id long, _label int, at array<int>, v array<float>").toPandas().sort_values("_id")
     x = np.zeros((len(rows), N_TERMS), np.float32)
     for i, (at, v) in enumerate(zip(rows["at"], rows["v"], strict=True)):
         x[i, at] = v
     used = np.flatnonzero((x > 0).any(axis=0))
     x = x[:, used]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.5
+    idf[used >= N_TERMS - 4] = REPEAT_WEIGHT
     dims = max(1, min(dims, len(x), len(used)))
     # Randomised subspace iteration: the leading right singular vectors of the weighted sample.
     w, rng = x * idf, np.random.default_rng(5)
@@ -137,7 +133,8 @@ def score_quality(
 
     Null and empty texts have no terms; all neighbours are then equally near at similarity 0 and they
     get a score as well. Without usable labels every score is 0.5. Ids labelled both ways count
-    as 0. Repeated rows are scored one by one. An empty table gives an empty result. Names that
+    as 0; labels other than 0 and 1, or of a null id, are ignored. A document of a null id is scored like others and is held out only if the
+    empty text's remainder is 0. Repeated rows are scored one by one. Very long texts are read whole. An empty table gives an empty result. Names that
     exist already in ``docs`` are replaced by the added ones.
     """
     fold = lambda c: F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -450,6 +450,43 @@ def test_decontamination_spans(spark):
     assert [text[s.start : s.end] for s in r.spans] == ["the QUICK, brown fox! b c d e f g h i j k"]
 
 
+def test_quality_votes_against_plain_neighbours(spark):
+    """Every document's score again: terms counted one by one, cosines to all labelled vectors, the nearest of them voting."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    learnt = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    model = quality.fit(docs, spark.createDataFrame(learnt), id_col="doc_id", text_col="text", label_col="quality")
+    assert len(model["vectors"]) == len(learnt) and sorted(model["labels"]) == sorted(r.quality for r in learnt)
+    for r in quality.score_quality(docs, labels).collect():
+        data, v = (r.text or "").encode(), np.zeros(quality.N_TERMS)
+        ws = [w.lower() for w in data.split()]
+        hashes = {w: int(hashed_words([w])[0][0]) for w in set(ws)}
+        for w in ws:
+            v[hashes[w] >> (64 - quality.WORD_BITS)] += 1 / len(ws)
+        seen = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in data)
+        for i in range(len(data) - 2):
+            code = int.from_bytes(seen[i : i + 3], "big") * 2654435761 % 2**32 >> (32 - quality.GRAM_BITS)
+            v[(1 << quality.WORD_BITS) + code] += 1 / (len(data) - 2)
+        if ws:
+            near = sum(x == y for x, y in zip(ws, ws[1:])) / (len(ws) - 1) if len(ws) > 1 else 0
+            v[-4:] = near, 1 - near, 1 - len(set(ws)) / len(ws), len(set(ws)) / len(ws)
+        p = (np.sqrt(v)[model["used"]] * model["idf"]) @ model["base"].astype(float)
+        p /= np.linalg.norm(p) or 1
+        cos = model["vectors"].astype(float) @ p
+        top = np.argsort(-cos)[:16]
+        weight = np.maximum(cos[top[:15]], 1e-6) ** 4
+        want = (weight * model["labels"][top[:15]]).sum() / weight.sum()
+        # The fifteenth neighbour is open where the next one is as near.
+        assert abs(r.score - want) < 1e-3 or cos[top[14]] - cos[top[15]] < 1e-5, (r.doc_id, r.score, want)
+        assert r.predicted == (r.score >= 0.3)
+
+
+def test_quality_takes_one_text_of_an_id(spark):
+    docs = frame(spark, [(1, t, "s") for t in ("good text here", "good words here")] * 50 + [(2, "$$$ !!! $$$", "s"), (3, "text", "s")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, id_col="doc_id", text_col="text", label_col="quality")
+    assert model["labels"].tolist() == [1, 0]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
