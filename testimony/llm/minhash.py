@@ -270,13 +270,10 @@ def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.withColumns({"bi": F.least("block", "_other").cast("int"), "bj": F.greatest("block", "_other").cast("int")}).drop("_other", "_open", "_closed", "n_open", "n_closed")
 
 
-def opened(members: DataFrame, open_: DataFrame) -> DataFrame:
-    """Members (bucket, node, ...) of buckets with open nodes (bucket, node), with open, n_open and n_closed."""
-    known = open_.select(F.col("bucket").alias("_b"), F.col("node").alias("_n"), F.lit(True).alias("_is"))
-    some = members.join(broadcast_if_small(open_.select("bucket").distinct()), "bucket", "left_semi")
-    flagged = some.join(broadcast_if_small(known), (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_n")), "left").withColumn("open", F.coalesce("_is", F.lit(False))).drop("_b", "_n", "_is")
-    counts = flagged.groupBy(F.col("bucket").alias("_b")).agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.sum((~F.col("open")).cast("long")).alias("n_closed"))
-    return flagged.join(broadcast_if_small(counts), F.col("bucket") == F.col("_b")).drop("_b")
+def opened(members: DataFrame) -> DataFrame:
+    """Members (bucket, node, open, ...) of buckets with open nodes, with n_open and n_closed."""
+    counts = members.groupBy(F.col("bucket").alias("_b")).agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.sum((~F.col("open")).cast("long")).alias("n_closed"))
+    return members.join(broadcast_if_small(counts.where("n_open > 0")), F.col("bucket") == F.col("_b")).drop("_b")
 
 
 def near_duplicates(
@@ -341,12 +338,11 @@ def _likely(classes: DataFrame, bits: int, n: int, cut: float) -> DataFrame:
     pairs = pairs.join(own, "node").join(own.toDF("least", "first_signature"), "least")
     judged = settle(pairs.mapInPandas(_near_first(bits, n, cut), "least long, node long, near boolean"))
     likely = judged.where("near").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    far = judged.where("not near").select("least", "node")
-    if far.isEmpty():
+    if judged.where("not near").isEmpty():
         return likely
-    open_ = settle(members.join(broadcast_if_small(far), ["least", "node"], "left_semi").select("bucket", "node"))
-    # The members of a bucket that are near its least one are one family with it; the open ones meet all others.
-    meet = in_blocks(opened(members.where("node <> least").select("bucket", "node"), open_)).join(own, "node")
+    # Those that are near a bucket's least member are one family with it; the open ones meet all others that share a bucket
+    # with it, once, in however many buckets they do.
+    meet = in_blocks(opened(judged.select(F.col("least").alias("bucket"), "node", (~F.col("near")).alias("open")))).join(own, "node")
     meet = meet.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", F.col("block") != F.col("bi"), "node")
     return settle(likely.union(meet.mapInPandas(_similar(bits, n, cut), "a long, b long")).distinct())
 
@@ -366,7 +362,9 @@ def _links(plain: DataFrame, classes: DataFrame, families: DataFrame, shingle: i
     links, open_ = found.where("b is not null").select("a", "b"), found.where("b is null").select("bucket", F.col("a").alias("node"))
     if open_.isEmpty():
         return links
-    met = in_blocks(opened(texts.select("bucket", "node", "text"), open_), block)
+    flags = broadcast_if_small(open_.select(F.col("bucket").alias("_b"), F.col("node").alias("_n"), F.lit(True).alias("_is")))
+    members = texts.join(flags, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_n")), "left")
+    met = in_blocks(opened(members.select("bucket", "node", "text", F.coalesce("_is", F.lit(False)).alias("open"))), block)
     met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", F.col("block") != F.col("bi"), "node")
     return settle(links.union(met.mapInPandas(_confirm(shingle, percent), "a long, b long")).distinct())
 
