@@ -1,6 +1,7 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-The automaton holds every window of the normalised test items. A text is normalised once and
+The automaton holds every window of the normalised test items as a sequence of word numbers, so it has at most as many
+nodes as windows have words. A text is normalised once and
 scanned once; a match's place among the normalised words maps to character offsets of the original.
 Nothing is shuffled: the scan runs where the texts are read.
 """
@@ -17,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm.common import utf8
+from testimony.llm.common import fresh, settle, utf8
 
-#: Bytes of item text in one automaton. More items make further automata, each scanning once.
-ITEM_BYTES_PER_AUTOMATON = 16 << 20
+#: Most nodes of one automaton, about 100 MB in each Python worker. More items make further automata, each scanning once.
+NODES_PER_AUTOMATON = 2_000_000
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 #: Bytes to normalised bytes: A-Z to a-z, then separators to spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 32 if b in _SEPARATORS else b for b in range(256))
@@ -37,38 +38,44 @@ def windows_of(text: str | None, n: int) -> set[str]:
     return {(b" " + b" ".join(words[i : i + n]) + b" ").decode() for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def _automaton(items: list[tuple[str, str | None]], n: int, key: str):
-    if key not in _built:
+class Windows:
+    """Numbers of the items' words, and the automaton of their windows."""
+
+    def __init__(self, items: list[tuple[str, str | None]], n: int):
         import ahocorasick
 
         owners: dict[str, list[str]] = defaultdict(list)
         for item, text in items:
             for w in windows_of(text, n):
                 owners[w].append(item)
-        made = ahocorasick.Automaton()
+        self.number: dict[bytes, int] = {}
+        self.made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for w, who in owners.items():
-            made.add_word(w, (w.count(" ") - 1, len(w), tuple(who)))
-        made.make_automaton()
+            key = tuple(self.number.setdefault(x, len(self.number) + 1) for x in w.encode("utf-8", "surrogatepass").split())
+            self.made.add_word(key, (len(key), tuple(sorted(set(who)))))
+        self.made.make_automaton()
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(first word, words, items) of the windows that occur in ``words``."""
+        get = self.number.get
+        for end, (size, who) in self.made.iter(tuple([get(w, 0) for w in words])) if self.number else ():
+            yield end - size + 1, size, who
+
+
+def _windows(items: list[tuple[str, str | None]], n: int, key: str) -> Windows:
+    if key not in _built:
         _built.clear()
-        _built[key] = made
+        _built[key] = Windows(items, n)
     return _built[key]
 
 
-def scan(text: str | None, automaton) -> tuple[int, list[tuple[int, int]], list[str]]:
+def scan(text: str | None, windows: Windows) -> tuple[int, list[tuple[int, int]], list[str]]:
     """Number of words, merged half-open ranges of hit words, and the items hit."""
     words = utf8([text])[0].translate(NORMAL).split()
-    if not words or not len(automaton):
-        return len(words), [], []
-    line = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
-    found, items = [], set()
-    for end, (size, length, who) in automaton.iter(line):
-        found.append((end - length + 1, size))
-        items.update(who)
-    if not found:
-        return len(words), [], []
-    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
     spans: list[list[int]] = []
-    for at, size in sorted((int(np.searchsorted(spaces, start)), size) for start, size in found):
+    items: set[str] = set()
+    for at, size, who in sorted(windows.find(words)):
+        items.update(who)
         if spans and at <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], at + size)
         else:
@@ -79,9 +86,9 @@ def scan(text: str | None, automaton) -> tuple[int, list[tuple[int, int]], list[
 def _scanner(shared, window: int, key: str):
     @F.pandas_udf(FOUND)
     def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(shared.value, window, key)
+        known = _windows(shared.value, window, key)
         for column in texts:
-            yield pd.DataFrame([scan(t, automaton) for t in column], columns=["n_words", "spans", "items"])
+            yield pd.DataFrame([scan(t, known) for t in column], columns=["n_words", "spans", "items"])
 
     return look
 
@@ -101,6 +108,7 @@ def decontaminate(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     prefix: str = "",
+    nodes: int = NODES_PER_AUTOMATON,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and spans added.
 
@@ -108,29 +116,28 @@ def decontaminate(
     character offsets in the original text, merged. ``items_sha256`` is over the hit item ids,
     sorted as strings and joined by commas. ``prefix`` goes before the added names.
 
-    The items are gathered by blocks of ITEM_BYTES_PER_AUTOMATON, after their size is
-    measured; each block is one automaton and one more scan in the same pass.
+    The items are gathered by blocks of at most ``nodes`` automaton nodes, counted before; each block is one automaton and
+    one scan. With more than one block the rows are written between the scans, so that a worker holds one automaton at a time.
 
     Null and empty texts have no words and are clean. Items without words match nothing; items with
-    equal windows are all named; null item ids are named '' . Repeated rows are scanned
-    one by one. No items: all clean. No documents: an empty result. Names that exist already in
+    equal windows are all named; null item ids are named ''. Repeated rows are scanned
+    one by one. Very long texts and items are read whole. No items: all clean. No documents: an empty result. Names that exist already in
     ``docs`` are replaced by the added ones.
     """
     spark: SparkSession = docs.sparkSession
     named = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks = size // ITEM_BYTES_PER_AUTOMATON + 1
-    found = []
-    for b in range(blocks):
+    # A window of n words makes at most n nodes; an item has as many windows as words at most.
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    size = named.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0] * window
+    blocks = int(size // nodes + 1)
+    out, names = docs, fresh(docs, *[f"_found{b}" for b in range(blocks)])
+    for b, name in enumerate(names):
         part = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         rows = sorted(((r.item, r.text) for r in part.toLocalIterator()), key=str)
-        key = hashlib.sha1(repr((window, rows)).encode()).hexdigest()
+        key = hashlib.sha1(repr((window, rows)).encode("utf-8", "surrogatepass")).hexdigest()
         shared = spark.sparkContext.broadcast(rows)
-
         # Not deterministic, so that a later filter does not run the scan a second time.
-        found.append(_scanner(shared, window, key).asNondeterministic()(F.col(text_col)))
-    names = [f"_found{b}" for b in range(blocks)]
-    out = docs.withColumns(dict(zip(names, found, strict=True)))
+        out = (settle(out) if b else out).withColumn(name, _scanner(shared, window, key).asNondeterministic()(F.col(text_col)))
     spans = F.array_sort(F.flatten(F.array(*[F.col(f"{n}.spans") for n in names])))
     hit = F.aggregate(
         spans,

@@ -450,6 +450,29 @@ def test_decontamination_spans(spark):
     assert [text[s.start : s.end] for s in r.spans] == ["the QUICK, brown fox! b c d e f g h i j k"]
 
 
+@pytest.mark.parametrize("nodes", [10**6, 3000])
+def test_decontamination_against_brute_force(spark, nodes):
+    """Hits, items and the spans' words of all documents, with one automaton and with several."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").limit(40).selectExpr("cast(item_id as string) as item_id", "text")
+    items = items.union(spark.createDataFrame([("short", "of the"), ("none", " .!"), ("null", None)], "item_id string, text string"))
+    normal = lambda t: (t or "").encode().translate(decontamination.NORMAL).decode().split()
+    wins = defaultdict(set)
+    for r in items.collect():
+        for w in decontamination.windows_of(r.text, 10):
+            wins[tuple(w.split())].add(str(r.item_id))
+    sizes = {len(w) for w in wins}
+    for r in decontamination.decontaminate(docs, items, nodes=nodes).collect():
+        ws, hit, who = normal(r.text), set(), set()
+        for n in sizes:
+            for p in range(len(ws) - n + 1):
+                if found := wins.get(tuple(ws[p : p + n])):
+                    hit |= set(range(p, p + n))
+                    who |= found
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(ws), len(hit), len(who), bool(hit))
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(who)).encode()).hexdigest()
+        assert [x for s in r.spans for x in normal(r.text[s.start : s.end])] == [ws[p] for p in sorted(hit)]
+
+
 def test_quality_votes_against_plain_neighbours(spark):
     """Every document's score again: terms counted one by one, cosines to all labelled vectors, the nearest of them voting."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
