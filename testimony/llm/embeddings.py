@@ -59,22 +59,35 @@ def encode(unit: np.ndarray, seed: int = 23) -> dict[str, np.ndarray]:
     return {"code": _words(turned >= 0), "factor": factor, "planes": planes, "low": low, "step": step, "total": q.sum(axis=1, dtype=np.int64)}
 
 
-def estimates(x: dict[str, np.ndarray], y: dict[str, np.ndarray], dims: int) -> np.ndarray:
-    """Estimated cosines of all x, by their codes and factors, with all y, by their 4-bit forms; bit counts only."""
+def _bits(words: np.ndarray, dims: int) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, :dims]
+
+
+def inner(x: dict[str, np.ndarray], y: dict[str, np.ndarray], dims: int) -> np.ndarray:
+    """Sums of y's 4-bit values where x's bits are set: whole numbers, exact in single precision."""
     words = x["code"].shape[1]
-    inner = np.zeros((len(x["code"]), len(y["planes"])), np.uint32)
-    for k in range(LEVELS):
-        for w in range(words):
-            inner += np.bitwise_count(x["code"][:, None, w] & y["planes"][None, :, k * words + w]).astype(np.uint32) << np.uint32(k)
+    values = sum(_bits(y["planes"][:, k * words : (k + 1) * words], dims).astype(np.float32) * np.float32(1 << k) for k in range(LEVELS))
+    return _bits(x["code"], dims).astype(np.float32) @ values.T
+
+
+def estimates(x: dict[str, np.ndarray], y: dict[str, np.ndarray], dims: int) -> np.ndarray:
+    """Estimated cosines of all x, by their codes and factors, with all y, by their 4-bit forms."""
     ones = np.bitwise_count(x["code"]).sum(axis=1, dtype=np.int64)
-    product = 2 * y["step"] * inner + np.multiply.outer(2.0 * ones, y["low"]) - (y["step"] * y["total"] + dims * y["low"])
+    product = 2 * y["step"] * inner(x, y, dims) + np.multiply.outer(2.0 * ones, y["low"]) - (y["step"] * y["total"] + dims * y["low"])
     return product / (np.sqrt(dims) * x["factor"][:, None])
 
 
-def deviations(x: dict[str, np.ndarray], y: dict[str, np.ndarray], dims: int, least: float) -> np.ndarray:
-    """Standard deviations of ``estimates`` for pairs with a cosine of ``least``; above it they are less."""
-    f2 = x["factor"] ** 2
-    return np.sqrt(((1 - f2) / f2 * (1 - least**2) / (dims - 1))[:, None] + np.multiply.outer(1 / f2, y["step"] ** 2 / 4))
+def deviations(factor: np.ndarray, step: float | np.ndarray, dims: int, least: float) -> np.ndarray:
+    """Standard deviations of estimates for pairs with a cosine of ``least``; above it they are less."""
+    return np.sqrt((1 - factor**2) / factor**2 * (1 - least**2) / (dims - 1) + step**2 / (4 * factor**2))
+
+
+def least_inner(x: dict[str, np.ndarray], y: dict[str, np.ndarray], dims: int, least: float, errors: float) -> np.ndarray:
+    """The ``inner`` from which on a pair's estimate is at most ``errors`` deviations under ``least``, by the widest step of y."""
+    low = np.sqrt(dims) * x["factor"] * (least - errors * deviations(x["factor"], y["step"].max(), dims, least))
+    ones = 2.0 * np.bitwise_count(x["code"]).sum(axis=1, dtype=np.int64)
+    one, other = np.stack([low, np.ones(len(low)), -ones], 1), np.stack([np.ones(len(y["low"])), y["step"] * y["total"] + dims * y["low"], y["low"]])
+    return (one.astype(np.float32) @ (other / (2 * y["step"])).astype(np.float32)) - np.float32(0.01)
 
 
 def _unit(vectors) -> np.ndarray:
@@ -117,7 +130,7 @@ def _open(least: float, errors: float, dims: int):
                 y, other = of(b[j : j + _TILE]), b[j : j + _TILE]
                 near = np.ones((len(own), len(other)), bool)
                 if dims >= LEAST_DIMS:
-                    near = estimates(x, y, dims) + errors * deviations(x, y, dims, least) >= least
+                    near = inner(x, y, dims) >= least_inner(x, y, dims, least, errors)
                 if same:
                     near &= own[:, None] < other[None, :]
                 some[own] |= near.any(axis=1)

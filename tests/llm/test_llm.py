@@ -398,7 +398,14 @@ def test_estimates_are_unbiased_and_bounded():
         a, b = embeddings.encode(x, 1), embeddings.encode(y, 2)
         take = lambda v, i: {k: w[i : i + 500] for k, w in v.items()}
         got = np.concatenate([np.diag(embeddings.estimates(take(a, i), take(b, i), dims)) for i in range(0, 4000, 500)])
-        sd = np.concatenate([np.diag(embeddings.deviations(take(a, i), take(b, i), dims, cos)) for i in range(0, 4000, 500)])
+        sd = embeddings.deviations(a["factor"], b["step"], dims, cos)
+        bits = lambda w: sum(int(v) << 64 * k for k, v in enumerate(w))
+        for i in range(5):
+            planes = b["planes"][i].reshape(embeddings.LEVELS, -1)
+            assert embeddings.inner(take(a, i), take(b, i), dims)[0, 0] == sum((bits(a["code"][i]) & bits(p)).bit_count() << k for k, p in enumerate(planes))
+        least = embeddings.least_inner(take(a, 0), take(b, 0), dims, 0.7, 3.0) <= embeddings.inner(take(a, 0), take(b, 0), dims)
+        sure = embeddings.estimates(take(a, 0), take(b, 0), dims) + 3 * embeddings.deviations(a["factor"][:500, None], b["step"][None, :500], dims, 0.7) >= 0.7
+        assert (least | ~sure).all()
         assert abs(got.mean() - cos) < 0.01
         assert (np.abs(got - cos) < 6 * sd).all() and (np.abs(got - cos) < 2 * sd).mean() > 0.94
 
