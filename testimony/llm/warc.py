@@ -1,9 +1,9 @@
 """WARC archives: writing, reading back, and an external merge of the archives' indexes.
 
 Archives are written by Spark's text sink (a record per row, the two line ends that close a record
-as line separator), so any file system that Spark knows will do. Every archive read back gives
-a run of index entries in URL order; the runs are cut at common splitters and each range's pieces are
-merged by a loser tree, so that the ranges in order are the history of all captures.
+as line separator), so any file system that Spark knows will do. Every archive is sorted where it is read, which gives
+a run of index entries in URL order, each with its rank there; the runs are cut at common splitters and each range's pieces are
+merged by a loser tree, which alone makes the order across runs, so that the ranges in order are the history of all captures.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +24,17 @@ from pyspark.sql import functions as F
 from testimony.llm.common import LOWER, UPPER, broadcast_if_small, settle, shared_dir
 
 CRLF = "\r\n"
-#: Records in one archive file. A file is read by one task, whole.
+_SCHEME, _HOST = re.compile(r"[^/?#]*?://"), re.compile(r"[^/?#]*")
+_LOWER = str.maketrans(UPPER, LOWER)
+#: Bytes of payload in one archive file at most, if a record is no larger. A file is read by one task, whole.
+ARCHIVE_BYTES = 32 << 20
+#: Records in one archive file at most.
 RECORDS_PER_ARCHIVE = 400
-#: Index entries that one merging task gets on average.
-ENTRIES_PER_RANGE = 20_000
+#: Index entries that one merging task gets on average, and that it hands on at once.
+ENTRIES_PER_RANGE, ENTRIES_AT_ONCE = 20_000, 5_000
 
 ENTRY = (
-    "archive string, offset long, page_id long, url string, url_key string, captured_at timestamp, "
+    "archive string, rank int, offset long, page_id long, url string, url_key string, captured_at timestamp, "
     "record_type string, payload_bytes long, payload_digest string, refers_to long"
 )
 
@@ -40,11 +46,11 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", UPPER + "234567")
 
 
-def url_key(url: Column) -> Column:
+def url_key(url: str | None) -> str:
     """Host labels reversed and joined by commas, then ')' and the rest: captures of a site sort together."""
-    rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[^/?#]*?://", "")
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(rest, r"^[^/?#]*(?s)(.*)$", 1))
+    rest = _SCHEME.sub("", url or "")
+    host = _HOST.match(rest)[0]
+    return ",".join(reversed(host.translate(_LOWER).split("."))) + ")" + rest[len(host) :]
 
 
 def with_revisits(pages: DataFrame, least_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -67,7 +73,7 @@ def with_revisits(pages: DataFrame, least_bytes: int, id_col: str, url_col: str,
 
 
 def write_archives(
-    pages: DataFrame, path: str, *, least_bytes: int = 0, records_per_archive: int = RECORDS_PER_ARCHIVE,
+    pages: DataFrame, path: str, *, least_bytes: int = 0, records_per_archive: int = RECORDS_PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES,
     id_col: str = "page_id", url_col: str = "url", html_col: str = "html", started: str = "2024-01-01 00:00:00",
 ) -> None:
     """Write a WARC/1.1 record per page into gzipped archives under ``path``.
@@ -76,6 +82,8 @@ def write_archives(
     response and the others are revisits without a block. A page's capture time is ``started`` plus
     its id in seconds. Null payload is empty; a null URL leaves out its header; line ends in URLs are
     percent-encoded; rows that share the largest id are all responses; a null id has no id header.
+    Records are written apart by the power of eight of their payload's bytes, so that files of few large ones and of many small ones stay
+    within ``archive_bytes``; a larger record has a file of its own.
     """
     rows = with_revisits(pages, least_bytes, id_col, url_col, html_col)
     header = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -91,14 +99,26 @@ def write_archives(
         header("WARC-Date", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         header("X-Payload-Length", F.col("payload_bytes").cast("string")),
+        F.when(revisit, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF).otherwise(""),
         F.coalesce(header("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))), F.lit("")),
         F.lit("Content-Type: text/html; charset=utf-8" + CRLF),
         header("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
         F.lit(CRLF),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
     ]
-    out = rows.select(F.concat(*parts).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip")
-    out.option("maxRecordsPerFile", records_per_archive).text(path)
+    # Sizes over what 400 records may have are rare: a pass each over the pages that hold any.
+    limits = [archive_bytes // records_per_archive]
+    while limits[-1] < archive_bytes:
+        limits.append(limits[-1] * 8 + 8)
+    of = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
+    least = [F.lit(True), *(of > x for x in limits)]
+    held = rows.agg(*[F.coalesce(F.max(x), F.lit(False)) for x in least]).first() if len(limits) > 1 else [True]
+    for k, any_ in enumerate(held):
+        if k == 0 or any_:
+            part = rows.where(least[k] & (of <= limits[k] if k < len(limits) else F.lit(True)))
+            out = part.select(F.concat(*parts).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip")
+            most = max(1, archive_bytes // max(1, limits[k])) if k < len(limits) else 1
+            out.option("maxRecordsPerFile", min(records_per_archive, most)).mode("append").text(path)
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -128,22 +148,24 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if digest != h["warc-payload-digest"].removeprefix("sha1:"):
                         raise ValueError(f"{path}, record at {at}: the payload does not match its digest")
                 url = h.get("warc-target-uri")
-                rows.append((path.rsplit("/", 1)[-1], at, _number(h.get("warc-record-id")), url, datetime.strptime(h["warc-date"], "%Y-%m-%dT%H:%M:%SZ"), h["warc-type"], size, digest, _number(h.get("warc-refers-to"))))
-            yield pd.DataFrame(rows, columns=_READ_NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
+                when = datetime.strptime(h["warc-date"], "%Y-%m-%dT%H:%M:%SZ")
+                rows.append((at, _number(h.get("warc-record-id")), url, url_key(url), when, h["warc-type"], size, digest, _number(h.get("warc-refers-to"))))
+            rows.sort(key=lambda r: (r[3], r[4], -1 if r[1] is None else r[1]))
+            archive = path.rsplit("/", 1)[-1]
+            yield pd.DataFrame([(archive, i, *r) for i, r in enumerate(rows)], columns=_NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-_READ_NAMES = ["archive", "offset", "page_id", "url", "captured_at", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-_READ = "archive string, offset long, page_id long, url string, captured_at timestamp, record_type string, payload_bytes long, payload_digest string, refers_to long"
+_NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Index entries (ENTRY) of all archives under ``path``; payloads are read and their digests checked.
 
+    Each archive's entries come sorted by (url_key, captured_at, page_id), with their rank.
     Lengths come from Content-Length, so payloads may hold anything, record headers included.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    rows = files.mapInPandas(_read, _READ).withColumn("url_key", url_key(F.col("url")))
-    return rows.select(*[x.split()[0] for x in ENTRY.split(", ")])
+    return files.mapInPandas(_read, ENTRY)
 
 
 class LoserTree:
@@ -186,40 +208,40 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merge one range's pieces of runs; they arrive run by run, each in order."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pd.concat(parts, ignore_index=True)
-    keys = list(zip(rows["url_key"], rows["captured_at"], rows["page_id"].fillna(-1), range(len(rows)), strict=True))
-    cuts = [0, *(i for i in range(1, len(rows)) if rows["archive"].iat[i] != rows["archive"].iat[i - 1]), len(rows)] if len(rows) > 1 else [0, 1]
-    order = [k[-1] for k in LoserTree([keys[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])]
-    yield rows.iloc[order]
-
-
-def merge_indexes(entries: DataFrame) -> DataFrame:
+    """Merge one range's pieces of runs; they arrive run by run, each in its own order."""
+    rows = pd.concat(list(batches) or [pd.DataFrame({c: [] for c in _NAMES})], ignore_index=True)
+    keys = list(zip(rows["url_key"], rows["captured_at"], rows["page_id"].fillna(-1).astype("int64"), range(len(rows)), strict=True))
+    archive = rows["archive"].to_numpy()
+    cuts = [0, *(np.flatnonzero(archive[1:] != archive[:-1]) + 1).tolist(), len(rows)] if len(rows) else [0]
+    order: list[int] = []
+    for *_, i in LoserTree([keys[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]):
+        order.append(i)
+        if len(order) == ENTRIES_AT_ONCE:
+            yield rows.iloc[order].astype({"page_id": "Int64", "refers_to": "Int64"})
+            order = []
+    if order:
+        yield rows.iloc[order].astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
+def merge_indexes(runs: DataFrame) -> DataFrame:
     """Entries in order of (url_key, captured_at, page_id), over partitions and within them.
 
-    Each archive's entries are written as a run sorted on its own. Splitters sampled from the runs cut
-    the whole order into ranges, by time and id as well, so that captures of one URL may fill many.
+    ``runs`` are the archives' entries, each archive's sorted and numbered by rank. Splitters sampled from the runs cut
+    the whole order into ranges, by time and id as well, so that captures of one URL may fill many. A range's pieces
+    are put one after the other by archive and rank, as they were, and merged.
     """
-    order = ["url_key", "captured_at", "page_id"]
-    runs = settle(entries.sortWithinPartitions("archive", *order))
+    runs = settle(runs)
     ranges = max(2, runs.count() // ENTRIES_PER_RANGE + 1)
-    pieces = runs.repartitionByRange(ranges, *order).sortWithinPartitions("archive", *order)
-    return pieces.mapInPandas(_merge_nullable, pieces.schema)
-
-
-def _merge_nullable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for out in _merge(batches):
-        yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    pieces = runs.repartitionByRange(ranges, "url_key", "captured_at", F.coalesce("page_id", F.lit(-1))).sortWithinPartitions("archive", "rank")
+    return pieces.mapInPandas(_merge, pieces.schema)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write ``pages`` as archives under ``path`` (a new shared folder by default), read them, merge the indexes.
 
     One row a record, as read back: the columns of ENTRY, in global order. An empty table gives an
-    empty result. See ``write_archives`` for nulls, ties and repeated rows. Other columns are ignored.
+    empty result. See ``write_archives`` for nulls, ties and repeated rows. Very long payloads have archives of their own.
+    Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

@@ -429,6 +429,40 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(df.limit(0), str(tmp_path / "b")).count() == 0
 
 
+def test_warc_archives_are_bounded_and_merged(spark, tmp_path, monkeypatch):
+    """Files hold few bytes, revisits say why they are such, each run is in order, and the merge is the order of all."""
+    import gzip
+    import os
+
+    monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 50)
+    monkeypatch.setattr(warc, "ENTRIES_AT_ONCE", 7)
+    rng = np.random.default_rng(9)
+    hosts = ["b.example", "a.example", "A.example:80", "x.y.example"]
+    rows = [(i, f"http://{hosts[i % 4]}/{rng.integers(0, 5)}?{i % 3}", "p" * int(rng.choice([3, 40, 900, 5000])) + str(i % 50)) for i in range(300)]
+    rows += [(300, "http://hot.example/", "same")] * 40 + [(301, None, None), (None, "http://z.example", "z" * 20_000)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id long, url string, html string, archive string, rank int")
+    path = str(tmp_path / "w")
+    got = warc.archive_pages(df.repartition(3), path, archive_bytes=4000, records_per_archive=20).collect()
+    key = lambda r: (r.url_key, r.captured_at, -1 if r.page_id is None else r.page_id)
+    assert len(got) == len(rows) and [key(r) for r in got] == sorted(map(key, got))
+    sizes, runs = [], defaultdict(list)
+    for f in os.listdir(path):
+        if f.endswith(".gz"):
+            records = list(warc.records_of(gzip.open(os.path.join(path, f)).read()))
+            sizes.append((sum(len(b) for *_, b in records), len(records)))
+            assert all(("warc-profile" in h) == (h["warc-type"] == "revisit") for _, h, _ in records)
+    assert all(n == 1 or b <= 4000 and n <= 20 for b, n in sizes) and sum(n for _, n in sizes) == len(rows)
+    for r in warc.read_archives(spark, path).collect():
+        runs[r.archive].append((r.rank, key(r)))
+    assert all(sorted(v) == v and [k for _, k in v] == sorted(k for _, k in v) for v in runs.values())
+    largest = {}
+    for i, _, html in rows:
+        largest[html or ""] = max(largest.get(html or "", -1), -1 if i is None else i)
+    for r in got:
+        assert (r.record_type == "revisit") == (r.refers_to is not None)
+        assert r.refers_to is None or r.refers_to in largest.values() and r.page_id != r.refers_to
+
+
 def test_loser_tree():
     rng = np.random.default_rng(6)
     for k in range(0, 9):
