@@ -23,6 +23,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sums_before(rows: DataFrame, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each name, the sum of its column over the rows before in the order.
+
+    Rows are dealt by ranges of the order and summed there; only the ranges, as many as shuffle partitions, pass through one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(rows.withColumns({f"_one_{k}": v for k, v in sums.items()}).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    upto = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(F.col("_range").alias("_r")).agg(F.min(F.struct(*order)).alias("_least"), *[F.sum(f"_one_{k}").alias(f"_all_{k}") for k in sums])
+    starts = whole.select("_r", *[F.coalesce(F.sum(f"_all_{k}").over(upto), F.lit(0)).alias(f"_start_{k}") for k in sums])
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(broadcast_if_small(starts), F.col("_range") == F.col("_r"))
+    return joined.select(*rows.columns, *[(F.coalesce(F.sum(f"_one_{k}").over(inner), F.lit(0)) + F.col(f"_start_{k}")).alias(k) for k in sums])
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
     """(source, source_size, target) for sources (source, source_size).
 
@@ -30,25 +45,20 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, epochs: fl
     split by weight; a target stops at ``epochs`` times its source, and what it leaves goes to the
     others by weight until none is above. Filling in order of size per weight gives that in one
     pass: the sources whose limit lies under the level of those after them are exactly the full ones.
-    One row a source; the order is over the sources alone, never over documents.
+    Sources may be many; their order and sums are taken by ranges.
     """
-    turn = Window.orderBy(F.col("source").asc_nulls_last())
-    k = F.row_number().over(turn) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (k % len(weights) + 1).cast("int"))
-    s = sizes.select("source", "source_size", weight.alias("w"))
-    fill = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before, after, every = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    s = s.select(
-        "*",
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("_full"),
-        F.sum("w").over(after).alias("_weights"),
-        F.sum("source_size").over(every).alias("_all"),
-    )
-    level = (share * F.col("_all") - epochs * F.col("_full")) / F.col("_weights")
-    s = s.withColumn("_level", level).withColumn("_open", epochs * F.col("source_size") > F.col("_level") * F.col("w"))
-    s = s.withColumn("_level", F.first(F.when(F.col("_open"), F.col("_level")), ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    named = sizes.select("source", "source_size", F.col("source").isNull().alias("_last"))
+    turned = sums_before(named, ["_last", "source"], {"_k": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int"))
+    s = turned.select("source", "source_size", "_last", weight.alias("w"), (F.col("source_size") / weight).alias("_each"))
+    order = ["_each", "_last", "source"]
+    s = settle(sums_before(s, order, {"_full": F.col("source_size"), "_used": F.col("w")}))
+    every = s.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    level = (F.lit(share) * F.lit(every["size"]) - epochs * F.col("_full")) / (F.lit(every.w) - F.col("_used"))
+    first = s.where(epochs * F.col("source_size") > level * F.col("w")).agg(F.min(F.struct(*order, level.alias("level"))).alias("x")).first().x
     limit = epochs * F.col("source_size")
-    return s.select("source", "source_size", F.least(limit, F.coalesce(F.col("_level") * F.col("w"), limit)).cast("double").alias("target"))
+    share_of = F.least(limit, F.lit(float(first.level)) * F.col("w")) if first else limit
+    return s.select("source", "source_size", share_of.cast("double").alias("target"))
 
 
 def mix_sources(
@@ -72,7 +82,8 @@ def mix_sources(
 
     Null text has no words; a source without words has target 0 and nothing is taken; null is a
     source of its own. Rows of size 0 are returned with taken 0. Repeated rows count each time, and
-    equal keys fall in order of id. An empty table gives an empty result. Other columns are ignored.
+    equal keys fall in order of id. Very long texts count whole. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
     rows = settle(
         docs.select(

@@ -38,10 +38,69 @@ OPERATORS = {
 }
 
 
-@pytest.mark.parametrize("name", OPERATORS)
-def test_odd_rows_and_empty_tables(spark, name):
-    assert OPERATORS[name](frame(spark, ODD)).count() == len(ODD)
-    assert OPERATORS[name](frame(spark, ODD).limit(0)).count() == 0
+@pytest.fixture(scope="module")
+def odd(spark):
+    """All operators' rows on odd rows, collected with every column, and on no rows."""
+    got = {name: f(frame(spark, ODD)).collect() for name, f in OPERATORS.items()}
+    assert all(f(frame(spark, ODD).limit(0)).collect() == [] for f in OPERATORS.values())
+    return got
+
+
+def by_id(rows, *names):
+    return Counter((r.doc_id, *(r[n] for n in names)) for r in rows)
+
+
+def test_odd_rows_mix(odd):
+    rows = odd["mix"]
+    want = {(1, 0, 0), (2, 0, 0), (3, 1, 2), (4, 2, 4), (None, 0, 0)}
+    assert want <= {(r.doc_id, r.size, r.taken) for r in rows} and by_id(rows, "size")[4, 2] == 2
+    assert {(r.source, r.source_size, r.target) for r in rows} == {("a", 4, 8.0), ("b", 9040, 13557.5), (None, 1, 2.0)}
+    assert sum(r.taken for r in rows if r.source == "b") == 13558
+
+
+def test_odd_rows_repeats(odd):
+    empty, sha = hashlib.sha256(b"").hexdigest(), lambda t: hashlib.sha256(t).hexdigest()
+    assert by_id(odd["repeats"], "n_words", "n_removed", "kept_sha256") == Counter({
+        (1, 0, 0, empty): 1, (2, 0, 0, empty): 1, (None, 0, 0, empty): 1, (3, 1, 0, sha(b"one")): 1, (4, 2, 0, sha(b"two words")): 2,
+        (None, 40, 39, sha(b"x")): 1, (5, 9000, 8999, sha(b"long")): 1,
+    })
+
+
+def test_odd_rows_shard(odd):
+    rows = odd["shard"]
+    assert by_id(rows, "size") == Counter({(1, 8): 1, (2, 8): 1, (None, 8): 1, (3, 11): 1, (4, 17): 2, (None, 88): 1, (5, 45_008): 1})
+    shards, slots = defaultdict(set), defaultdict(list)
+    for r in rows:
+        assert r.law == "bytes" and r.grown_shard is None and r.text_crc32 == zlib.crc32({1: b"", 2: b"", 3: b"one", 4: b"two words"}.get(r.doc_id, r.text_crc32.to_bytes(4, "big"))) or r.doc_id in (None, 5)
+        shards[r.text_key].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert all(len(s) == 1 for s in shards.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_odd_rows_near(odd):
+    assert by_id(odd["near"], "n_shingles", "component_id", "kept") == Counter({
+        (1, 0, 1, True): 1, (2, 0, 2, True): 1, (3, 1, 3, True): 1, (4, 1, 4, True): 2, (5, 1, 5, True): 1, (None, 1, None, None): 1, (None, 0, None, None): 1,
+    })
+
+
+def test_odd_rows_licences(odd):
+    assert all((r.licences, r.n_lines, r.best) == ([], 0, None) for r in odd["licences"]) and len(odd["licences"]) == len(ODD)
+
+
+def test_odd_rows_decontaminate(odd):
+    rows, none = odd["decontaminate"], hashlib.sha256(b"").hexdigest()
+    assert by_id(rows, "n_words", "n_hit", "items_sha256", "contaminated") == Counter({
+        (1, 0, 0, none, False): 1, (2, 0, 0, none, False): 1, (None, 0, 0, none, False): 1, (3, 1, 0, none, False): 1,
+        (4, 2, 2, hashlib.sha256(b"1").hexdigest(), True): 2, (None, 40, 0, none, False): 1, (5, 9000, 0, none, False): 1,
+    })
+    assert all((r.lang, r.size, r.node) == ("en", 7, "x") for r in rows)
+
+
+def test_odd_rows_quality(odd):
+    rows = odd["quality"]
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 5 == 0) for r in rows)
+    assert len({(r.text, round(r.score, 5)) for r in rows}) == len({r.text for r in rows}) and all((r.size, r.node) == (7, "x") for r in rows)
 
 
 def test_word_hashes():
