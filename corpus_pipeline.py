@@ -10,45 +10,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testimony.llm import decontamination, minhash, mixing, quality, sharding
-from testimony.llm.common import broadcast_if_small, settle, table
+from testimony.llm.common import broadcast_if_small, fresh, settle, table
+
+
+def _prefix(docs: DataFrame, prefix: str) -> str:
+    """``prefix`` with underscores in front until no column of ``docs`` starts with it."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    judged = quality.score_quality(docs, table(spark, sf_dir, "labels"), prefix="_q_")
-    return judged.where("_q_predicted = 1").select(*docs.columns)
+    """Documents that the classifier does not reject: whole rows, in as many copies as they come.
+
+    Null, empty and very long texts are scored like others, and so are rows of a null id. Equal texts have equal scores. No documents: none.
+    Columns keep their values, whatever their names.
+    """
+    p = _prefix(docs, "_q_")
+    judged = quality.score_quality(docs, table(spark, sf_dir, "labels"), prefix=p)
+    return judged.where(F.col(f"{p}predicted") == 1).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    """One document of each near-duplicate group, the first by (id, text): five-word shingles, similarity 0.8 or more.
+
+    Rows without words, null or empty, link with nothing and all stay. Repeated rows are copies, so one stays. Null ids come last.
+    Very long texts are compared whole. No documents: none. Columns keep their values, whatever their names.
+    """
     return minhash.keep_first(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
-    judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), prefix="_d_")
-    return judged.where("not _d_contaminated").select(*docs.columns)
+    """Documents in which no benchmark window occurs: whole rows, in as many copies as they come.
+
+    Null and empty texts are clean; very long ones are scanned whole. No documents: none. Columns keep their values, whatever their names.
+    """
+    p = _prefix(docs, "_d_")
+    judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), prefix=p)
+    return judged.where(~F.col(f"{p}contaminated")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents by source weight, in as many copies as the mix takes."""
-    plan = mixing.mix_sources(docs).select(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("text_key").alias("_m_key"), F.col("copies").alias("_m_copies"))
+    """Whole documents by source weight, in as many copies as the mix takes.
+
+    Null is a source of its own. Documents without words, and those of which less than half is taken, come in no copy. Repeated rows count
+    each; where their copies differ, one of them has all that go beyond equal parts. Very long texts count
+    whole. No documents: none. Columns keep their values, whatever their names.
+    """
+    id_, source, key, copies, rows, own, each, copy = fresh(docs, *(f"_m_{n}" for n in ("id", "source", "key", "copies", "rows", "own", "each", "copy")))
+    plan = mixing.mix_sources(docs).select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("text_key").alias(key), F.col("copies").alias(copies))
     # Repeated rows have plans of their own; they are paired off with the rows by their number in the table.
-    plan = settle(plan.groupBy("_m_id", "_m_source", "_m_key").agg(F.sum("_m_copies").alias("_m_copies"), F.count("*").alias("_m_rows")))
-    keyed = docs.withColumn("_m_own", F.xxhash64("text"))
-    same = F.expr("doc_id <=> _m_id and source <=> _m_source and _m_own = _m_key")
-    taken = keyed.join(broadcast_if_small(plan.where("_m_copies > 0")), same)
-    # Equal rows share their copies: each gets the whole part, and the remainder is an equal row's extra.
-    share = F.expr("cast(_m_copies div _m_rows as int)")
-    even = taken.where("_m_rows = 1 or _m_copies % _m_rows = 0").withColumn("_m_each", share)
-    odd = taken.where("_m_rows > 1 and _m_copies % _m_rows <> 0")
-    odd = odd.dropDuplicates(["_m_id", "_m_source", "_m_own"]).withColumn("_m_each", F.col("_m_copies").cast("int"))
-    copies = even.unionByName(odd).where("_m_each > 0")
-    return copies.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_each")))).select(*docs.columns)
+    plan = settle(plan.groupBy(id_, source, key).agg(F.sum(copies).alias(copies), F.count("*").alias(rows)))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(key))
+    taken = keyed.join(broadcast_if_small(plan.where(F.col(copies) > 0)), same)
+    # Equal rows share their copies: if these are not a multiple of the rows, one row has them all.
+    alike = (F.col(rows) == 1) | (F.col(copies) % F.col(rows) == 0)
+    even = taken.where(alike).withColumn(each, F.floor(F.col(copies) / F.col(rows)).cast("int"))
+    odd = taken.where(~alike).dropDuplicates([id_, source, own]).withColumn(each, F.col(copies).cast("int"))
+    repeated = even.unionByName(odd).where(F.col(each) > 0)
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document of the mix."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document of the mix.
+
+    Null texts are one group, empty ones another; repeated rows each take a slot. Very long texts only count by their size. No documents:
+    none. Other columns are ignored, whatever their names.
+    """
     return sharding.shard(docs).drop("text_key")
 
 
@@ -60,7 +89,7 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-#: The classifier and the near-duplicate stage are not SQL; tests compare the stages with brute force.
+#: The classifier is not SQL; tests compare each stage with brute force on its input.
 ORACLE_SQL = None
 
 
