@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from testimony.functions import text as T
 from testimony.operators.durable import broadcast_if_small, settle
 from testimony.operators.history import upsert_last
+from testimony.operators.names import unexplained_names
 
 
 def _reasons(**rules) -> F.Column:
@@ -15,30 +18,36 @@ def _reasons(**rules) -> F.Column:
     return F.filter(F.array(*[F.when(rule, name) for name, rule in rules.items()]), lambda r: r.isNotNull())
 
 
-def validate_claims(claims: DataFrame, themes: DataFrame) -> DataFrame:
+def validate_claims(claims: DataFrame, themes: DataFrame, vocabulary: DataFrame, figures: Sequence[str] = (), id_col: str = "claim_id") -> DataFrame:
     """Claims with ``reasons``: why each is refused; empty for those that pass.
 
-    claims: event_id, theme_id (null for none), kind, subject, nuance, confidence, actor_kind. themes: id, event_id,
-    nature, lifecycle. An agent states a confidence from 0 to 1, a person none.
+    claims: an id, event_id, theme_id (null for none), kind, subject, nuance, confidence, actor_kind. themes: id, event_id,
+    nature, lifecycle. vocabulary: event_id, name (``names.gazetteer_names``). An agent states a confidence from 0 to 1, a person none.
+    Subject and kind may name places of the event only, a nuance public figures (``figures``) too. Null texts name nobody.
     """
+    of = lambda c: claims.select(F.struct(F.col(id_col).alias("id"), F.lit(c).alias("field")).alias("id"), "event_id", F.col(c).alias("text"))
+    strict = unexplained_names(of("subject").unionByName(of("kind")), vocabulary)
+    found = strict.unionByName(unexplained_names(of("nuance"), vocabulary, figures))
+    flags = found.groupBy(F.col("id.id").alias("_id")).agg(F.collect_set("id.field").alias("_fields"))
+    claims = claims.join(broadcast_if_small(settle(flags)), F.col(id_col) == F.col("_id"), "left").drop("_id")
     known = themes.select(F.col("id").alias("theme_id"), F.col("event_id").alias("_event"), F.col("nature").alias("_nature"), F.col("lifecycle").alias("_life"))
     rows = claims.join(broadcast_if_small(known), "theme_id", "left")
     given = F.col("theme_id").isNotNull()
-    named = lambda c: F.size(T.private_name_candidates(F.coalesce(c, F.lit("")))) > 0
+    named = lambda c: F.array_contains("_fields", c)
     agent = F.col("actor_kind") == "agent"
     reasons = _reasons(
         theme_missing=given & F.col("_life").isNull(),
         theme_of_other_event=F.col("_event") != F.col("event_id"),
         theme_not_active=F.col("_life") != "active",
         theme_is_topic=F.col("_nature") == "topic",
-        subject_names_person=named(F.col("subject")),
-        kind_names_person=named(F.col("kind")),
-        nuance_names_person=named(F.col("nuance")),
+        subject_names_person=named("subject"),
+        kind_names_person=named("kind"),
+        nuance_names_person=named("nuance"),
         confidence_missing=agent & F.col("confidence").isNull(),
         confidence_given=(F.col("actor_kind") == "person") & F.col("confidence").isNotNull(),
         confidence_out_of_range=(F.col("confidence") < 0) | (F.col("confidence") > 1),
     )
-    return rows.withColumn("reasons", reasons).drop("_event", "_nature", "_life")
+    return rows.withColumn("reasons", reasons).drop("_event", "_nature", "_life", "_fields")
 
 
 def same_event_check(rows: DataFrame, references: dict[str, DataFrame], id_col: str = "id") -> DataFrame:

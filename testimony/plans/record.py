@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from testimony.functions import text as T
-from testimony.operators import acquisition, answers, curation, duplicates, graphs, history, report, resolution, trees
+from testimony.operators import acquisition, answers, curation, duplicates, graphs, history, names, report, resolution, trees
 from testimony.plans.queries import _ANSWERS, _CLAIMS, _PLACES, SQL, World, query
 from testimony.streaming import streams
 
@@ -133,15 +133,50 @@ _THEMED = "select o_orderkey as claim_id, 1 as event_id, o_orderpriority as them
 _THEMES = "select distinct o_orderpriority as id, case when o_orderpriority like '4%' then 2 else 1 end as event_id, case when o_orderpriority like '3%' then 'deprecated' else 'active' end as lifecycle, case when o_orderpriority like '2%' then 'topic' else 'happening' end as nature from orders where o_orderpriority not like '5%'"
 
 
-@query(f"""with c as ({_THEMED}), t as ({_THEMES})
+#: Claims with texts that name parts in capitals, as people would be.
+_NAMING = f"""select c.*, case claim_id % 4 when 0 then 'Hay daños en ' || upper(p_name) when 1 then 'El EDIFICIO ' || upper(p_name) when 2 then upper(p_name) || ' y Los CORALES NORTE' end as subject,
+  case when claim_id % 3 > 0 then 'rescate de ' || upper(p_name) else 'rescate' end as kind, case when claim_id % 5 > 0 then 'lo dijo Juan ' || upper(p_name) end as nuance
+from ({_THEMED}) c join part on p_partkey = claim_id % 100"""
+#: Places whose names are parts' names, hold them or are held by them; some are of another event or not active.
+_NAMESAKES = """select p_partkey as id, case when p_name like '%bolt' then 2 else 1 end as event_id, case when p_name like 'hot%' then 'proposed' else 'active' end as lifecycle,
+  case when p_name like 'small%' or p_name like 'hot%' then p_name when p_name like 'red%' then 'El ' || p_name || ' Norte' when p_name like '%gear' then 'Geár' else 'Lugar ' || p_partkey end as canonical_name from part"""
+_FIGURES = ["Juan Old Widget", "hot"]
+_CANDIDATES = rf"""places as ({_NAMESAKES}), known as (select event_id, strip_accents(lower(canonical_name)) as name from places where lifecycle = 'active' union select 1, 'corales norte'),
+said as (select claim_id, event_id, 'subject' as field, subject as text from c union all select claim_id, event_id, 'kind', kind from c union all select claim_id, event_id, 'nuance', nuance from c),
+runs as (select claim_id, event_id, field, unnest(regexp_extract_all(text, '\p{{Lu}}\p{{L}}+(?:\s+(?:de|del|la|las|los|y|e)\s+\p{{Lu}}\p{{L}}+|\s+\p{{Lu}}\p{{L}}+)+')) as run from said),
+bare as (select claim_id, event_id, field, regexp_replace(part, '^(?i:(?:el|la|los|las)\s+)+', '') as name from (select *, unnest(string_split_regex(run, '\s+[ye]\s+')) as part from runs)),
+bad as (select distinct claim_id, field, name from bare b where name like '% %' and lower(name) not like 'edificio %'
+  and not exists (select 1 from known k where k.event_id = b.event_id and (contains(k.name, strip_accents(lower(b.name))) or contains(strip_accents(lower(b.name)), k.name)))
+  and not (field = 'nuance' and exists (select 1 from (values ({"), (".join(f"'{x.lower()}'" for x in _FIGURES)})) f(name) where contains(f.name, lower(b.name)) or contains(lower(b.name), f.name))))"""
+
+
+def _naming(w: World):
+    claims = _sql(w, _NAMING.replace("from orders", "from {orders}").replace("join part", "join {part}"), "orders", "part")
+    places = _sql(w, _NAMESAKES.replace("from part", "from {part}"), "part")
+    surface = w.spark.createDataFrame([("Corales Norte",)], "name string").join(places.where("event_id = 1 and lifecycle = 'active'").agg(F.min("id").alias("place_id")))
+    return claims, names.gazetteer_names(places, surface)
+
+
+@query(f"with c as ({_NAMING}), {_CANDIDATES} select claim_id, field, name from bad")
+def private_names(spark, sf):
+    claims, known = _naming(World(spark, sf))
+    of = lambda c: claims.select(F.struct("claim_id", F.lit(c).alias("field")).alias("id"), "event_id", F.col(c).alias("text"))
+    found = names.unexplained_names(of("subject").unionByName(of("kind")), known).unionByName(names.unexplained_names(of("nuance"), known, _FIGURES))
+    return found.select("id.claim_id", "id.field", "name")
+
+
+@query(f"""with c as ({_NAMING}), t as ({_THEMES}), {_CANDIDATES}
 select claim_id, concat_ws(',', case when theme_id is not null and t.id is null then 'theme_missing' end, case when t.event_id <> c.event_id then 'theme_of_other_event' end, case when lifecycle <> 'active' then 'theme_not_active' end,
-  case when nature = 'topic' then 'theme_is_topic' end, case when actor_kind = 'agent' and confidence is null then 'confidence_missing' end, case when actor_kind = 'person' and confidence is not null then 'confidence_given' end,
+  case when nature = 'topic' then 'theme_is_topic' end,
+  case when claim_id in (select claim_id from bad where field = 'subject') then 'subject_names_person' end, case when claim_id in (select claim_id from bad where field = 'kind') then 'kind_names_person' end,
+  case when claim_id in (select claim_id from bad where field = 'nuance') then 'nuance_names_person' end,
+  case when actor_kind = 'agent' and confidence is null then 'confidence_missing' end, case when actor_kind = 'person' and confidence is not null then 'confidence_given' end,
   case when confidence < 0 or confidence > 1 then 'confidence_out_of_range' end) as reasons from c left join t on t.id = theme_id""")
 def validate_claims(spark, sf):
     w = World(spark, sf)
-    claims, themes = (_sql(w, t.replace("from orders", "from {orders}"), "orders") for t in (_THEMED, _THEMES))
-    blank = {c: F.lit(None).cast("string") for c in ("subject", "kind", "nuance")}
-    return curation.validate_claims(claims.withColumns(blank), themes).select("claim_id", F.array_join("reasons", ",").alias("reasons"))
+    claims, known = _naming(w)
+    themes = _sql(w, _THEMES.replace("from orders", "from {orders}"), "orders")
+    return curation.validate_claims(claims, themes, known, _FIGURES).select("claim_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""with l as (select l_orderkey * 8 + l_linenumber as id, c_nationkey as event_id, l_suppkey from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey)
