@@ -1,12 +1,15 @@
-"""Jaro similarity and the name comparisons built on it, as vectorised helpers.
+"""Jaro similarity and the name comparisons built on it, as vectorised helpers, and the join that finds similar strings.
 
-Spark has no Jaro. The helpers run on distinct or pruned pairs only.
+Spark has no Jaro. The helpers run on distinct or pruned pairs only, and compare a batch of pairs letter by letter at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
@@ -32,27 +35,86 @@ def jaro_of(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - t) / m) / 3
 
 
-def _recall(a, b) -> float:
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    return sum(max(jaro_of(w, x) for x in long) for w in short) / len(short) if len(short) else 0.0
+#: Longer strings are compared one pair at a time.
+_WIDE = 128
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    data = np.array(texts, dtype=str)
+    return data.view(np.uint32).reshape(len(texts), -1) if data.dtype.itemsize else np.zeros((len(texts), 0), np.uint32)
+
+
+def jaro_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Jaro of each pair; as ``jaro_of``, for all pairs at once."""
+    out = np.zeros(len(a))
+    la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    nul = np.fromiter(("\0" in x or "\0" in y for x, y in zip(a, b, strict=True)), bool, len(a))
+    one = (np.maximum(la, lb) > _WIDE) | nul
+    for i in np.flatnonzero(one).tolist():
+        out[i] = jaro_of(a[i], b[i])
+    at = np.flatnonzero(~one & (la > 0) & (lb > 0))
+    out[(la == 0) & (lb == 0)] = 1.0
+    if not len(at):
+        return out
+    x, y, la, lb = _letters([a[i] for i in at]), _letters([b[i] for i in at]), la[at], lb[at]
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    used, met = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    column, rows = np.arange(y.shape[1]), np.arange(len(at))
+    for i in range(x.shape[1]):
+        fit = (y == x[:, i : i + 1]) & ~used & (np.abs(column[None, :] - i) <= reach[:, None]) & (column[None, :] < lb[:, None]) & (i < la)[:, None]
+        first = fit.argmax(axis=1)
+        hit = fit[rows, first]
+        used[rows[hit], first[hit]] = True
+        met[hit, i] = True
+    m = met.sum(axis=1)
+    most = int(m.max(initial=0))
+    # Matched letters of both sides in their orders, side by side.
+    left = np.take_along_axis(x, np.argsort(~met, axis=1, kind="stable")[:, :most], 1)
+    right = np.take_along_axis(y, np.argsort(~used, axis=1, kind="stable")[:, :most], 1)
+    moved = ((left != right) & (np.arange(most)[None, :] < m[:, None])).sum(axis=1) // 2
+    some = m > 0
+    m, la, lb, t = m[some], la[some], lb[some], moved[some]
+    out[at[some]] = (m / la + m / lb + (m - t) / m) / 3
+    return out
+
+
+def _best_means(wanted: list[list[str]], found: list[list[str]]) -> np.ndarray:
+    """For each pair of lists the mean, over the words wanted, of the best Jaro among those found; 0 with an empty list."""
+    n = [len(w) * len(f) for w, f in zip(wanted, found, strict=True)]
+    left = [x for w, f in zip(wanted, found, strict=True) for x in w for _ in f]
+    right = [y for w, f in zip(wanted, found, strict=True) for _ in w for y in f]
+    score, at, out = jaro_pairs(left, right), 0, np.zeros(len(n))
+    for i, k in enumerate(n):
+        if k:
+            best = score[at : at + k].reshape(len(wanted[i]), -1).max(axis=1).tolist()
+            out[i] = sum(best) / len(best)
+        at += k
+    return out
+
+
+def _lists(c: pd.Series) -> list[list[str]]:
+    return [[] if x is None else list(x) for x in c]
 
 
 @F.pandas_udf(DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = jaro_pairs(a[known].tolist(), b[known].tolist())
+    return pd.Series(out).astype("Float64").where(known)
 
 
 @F.pandas_udf(DoubleType())
 def word_recall(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean over the shorter list's words of the best Jaro in the longer; 0 with an empty list."""
-    return pd.Series([0.0 if x is None or y is None else _recall(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(_lists(a), _lists(b), strict=True)]
+    return pd.Series(_best_means([x for x, _ in pairs], [y for _, y in pairs]))
 
 
 @F.pandas_udf(DoubleType())
 def directed_recall(wanted: pd.Series, found: pd.Series) -> pd.Series:
     """Mean over ``wanted`` words of the best Jaro among ``found``."""
-    rows = ((list(w), list(f)) for w, f in zip(wanted, found, strict=True))
-    return pd.Series([sum(max(jaro_of(x, y) for y in f) for x in w) / len(w) if w and f else 0.0 for w, f in rows], dtype="float64")
+    return pd.Series(_best_means(_lists(wanted), _lists(found)))
 
 
 @F.pandas_udf(BooleanType())
@@ -75,6 +137,46 @@ def name_closeness(a: Column, b: Column) -> Column:
     return F.greatest(jaro(a, b), jaro(bare(a), bare(b)))
 
 
-def jaro_length_bound(a: Column, b: Column, least: float) -> Column:
-    """True where the lengths alone allow Jaro >= least: it is at most (2 + min/max) / 3."""
-    return (F.least(F.length(a), F.length(b)) >= (3 * least - 2) * F.greatest(F.length(a), F.length(b))) | (a == b)
+# Letters from common to rare; which is which only decides how many strings share a key.
+_COMMON = " eaosnridltcumpbgvyqhfzjñxkw"
+
+
+def _letter_keys(c: Column, least: float) -> Column:
+    """Keys of a string of which any string with Jaro >= ``least`` shares one.
+
+    Jaro >= t asks for at least (3t - 1) |a| |b| / (|a| + |b|) common letters, repeats counted, and for lengths of a ratio of 3t - 2 at
+    least. Letters with their number of repeats, from rare to common, are the members of a set; of two sets that share
+    k members or more, the first n - k + 2 of each share two, which are the key (or one, where so few need be shared).
+    """
+    n = F.length(c)
+    low = F.ceil(n * (3 * least - 2) - 1e-9)
+    shared = F.greatest(F.ceil((3 * least - 1) * n * low / F.greatest(n + low, F.lit(1)) - 1e-9), F.lit(1)).cast("int")
+    rank = lambda x: F.lpad((F.lit(len(_COMMON)) - F.instr(F.lit(_COMMON), x)).cast("string"), 2, "0")
+    turn = lambda all_, x, i: F.size(F.filter(F.slice(all_, 1, i + 1), lambda y: y == x)).cast("string")
+    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    members = _let(letters, lambda all_: F.array_sort(F.transform(all_, lambda x, i: F.concat(rank(x), x, turn(all_, x, i)))))
+    rest = lambda all_, i: F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0)))
+    pairs = lambda all_: F.flatten(F.transform(all_, lambda x, i: F.transform(rest(all_, i), lambda y: F.concat(x, F.lit("|"), y))))
+    two = lambda all_: _let(F.slice(all_, 1, F.greatest(F.least(n, n - shared + 2), F.lit(1))), pairs)
+    single = lambda all_: F.when(shared < 2, F.slice(all_, 1, F.greatest(n - shared + 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(_let(members, lambda all_: F.array_distinct(F.concat(two(all_), single(all_)))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def alike(left: DataFrame, right: DataFrame, least: float, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, a, b, score): pairs of strings ``a`` of left and ``b`` of right, equal in ``by``, with Jaro >= ``least``; once each.
+
+    left: *by, a; right: *by, b. Strings meet on letters and lengths that the threshold asks of both, never all with all, and
+    only distinct pairs of strings are compared. Nulls are like nothing; empty strings are like each other.
+    """
+    one, other = left.select(*by, "a").where("a is not null").distinct(), right.select(*by, "b").where("b is not null").distinct()
+    ratio = 3 * least - 2
+    keyed = one.withColumn("_key", F.explode(_letter_keys(F.col("a"), least))).withColumn("_a", F.length("a"))
+    found = other.withColumn("_key", F.explode(_letter_keys(F.col("b"), least))).withColumn("_b", F.length("b"))
+    met = keyed.join(found, [*by, "_key"]).where((F.least("_a", "_b") >= ratio * F.greatest("_a", "_b") - 1e-9)).select(*by, "a", "b").distinct()
+    scored = met.select("a", "b").distinct().withColumn("score", jaro(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    return (met.join(scored, ["a", "b"]) if by else scored).select(*by, "a", "b", "score")

@@ -1,7 +1,7 @@
 """Finding places, claims, persons and posts recorded more than once.
 
-Every rule that is an equality becomes a join key, every threshold a bound that prunes before the exact
-score, and scores are computed on distinct pairs of strings only. No pair that the rules allow is lost.
+Every rule that is an equality becomes a join key, every threshold on strings keys that it implies (``similarity.alike``),
+and scores are computed on distinct pairs of strings only. No pair that the rules allow is lost, and none that they refuse is written.
 """
 
 from __future__ import annotations
@@ -11,30 +11,29 @@ from pyspark.sql import functions as F
 
 from testimony.functions import similarity as S
 from testimony.functions import text as T
-from testimony.operators.durable import settle
+from testimony.operators.durable import broadcast_if_small, settle
 
 PLACE_BAR, SUBJECT_BAR, PERSON_BAR, PEOPLE_BAR = 0.92, 0.82, 0.88, 0.92
 CLAIM_HOURS, PERSON_HOURS = 36, 24
 SCOPE_TYPES = ["pais", "estado", "municipio", "parroquia"]
 
 
-def scored_names(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """Distinct (a, b) of reduced names whose closeness is at least ``least``, with ``score``.
-
-    Lengths that cannot reach the bar, spaced or not, are dropped first.
-    """
+def close_names(left: DataFrame, right: DataFrame, least: float, by: list[str]) -> DataFrame:
+    """(*by, a, b, score) of reduced names of left (*by, a) and right (*by, b), equal in ``by``, whose closeness is at least ``least``."""
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    possible = S.jaro_length_bound(F.col(a), F.col(b), least) | S.jaro_length_bound(bare(a), bare(b), least)
-    distinct = pairs.select(a, b).where(possible).distinct()
-    return distinct.withColumn("score", S.name_closeness(F.col(a), F.col(b))).where(F.col("score") >= least)
+    spaced = S.alike(left, right, least, by).drop("score")
+    one, other = left.select(*by, "a", bare("a").alias("_x")).distinct(), right.select(*by, "b", bare("b").alias("_y")).distinct()
+    met = S.alike(one.select(*by, F.col("_x").alias("a")), other.select(*by, F.col("_y").alias("b")), least, by).drop("score").toDF(*by, "_x", "_y")
+    closed = met.join(one, [*by, "_x"]).join(other, [*by, "_y"]).select(*by, "a", "b")
+    return spaced.unionByName(closed).distinct().withColumn("score", S.name_closeness(F.col("a"), F.col("b")))
 
 
 def name_pairs(names: DataFrame, name_col: str, least: float = PLACE_BAR) -> DataFrame:
     """(a, b, score): distinct names with equal marks that read almost the same; a < b."""
     n = settle(names.select(F.col(name_col).alias("a")).where("a is not null").distinct().withColumns({"ra": T.reduce_name(F.col("a")), "marks": F.array_join(T.marks(F.col("a")), ",")}))
-    other = n.select(F.col("a").alias("b"), F.col("ra").alias("rb"), "marks")
-    pairs = settle(n.join(other, "marks").where("a < b"))
-    return pairs.join(scored_names(pairs, "ra", "rb", least), ["ra", "rb"]).select("a", "b", "score")
+    close = close_names(n.select("marks", F.col("ra").alias("a")), n.select("marks", F.col("ra").alias("b")), least, ["marks"])
+    pairs = n.join(close.toDF("marks", "ra", "rb", "score"), ["marks", "ra"]).join(n.toDF("b", "rb", "marks"), ["marks", "rb"])
+    return pairs.where("a < b").select("a", "b", "score")
 
 
 def duplicate_places(places: DataFrame, closure: DataFrame, event: str = "event_id") -> DataFrame:
@@ -47,22 +46,23 @@ def duplicate_places(places: DataFrame, closure: DataFrame, event: str = "event_
     above = closure.where("depth > 0").select("ancestor", "descendant")
     own = p.select(F.col("id").alias("descendant"), F.col("f").alias("f1")).join(above, "descendant").join(p.select(F.col("id").alias("ancestor"), F.col("f").alias("f2")), "ancestor").where("f1 = f2")
     certain = own.select(F.col("descendant").alias("place_id"), F.col("ancestor").alias("other_id"), F.lit("certain").alias("certainty"), F.lit(1.0).alias("score"))
-    elder, younger = p.alias("x"), p.alias("y")
-    before = F.struct("x.inserted_at", "x.id") < F.struct("y.inserted_at", "y.id")
-    fit = elder.join(younger, (F.col("x.e") == F.col("y.e")) & (F.col("x.m") == F.col("y.m"))).where(before).where(F.coalesce(F.col("x.k") == F.col("y.k"), F.lit(True)))
-    pairs = fit.select(F.col("x.id").alias("other_id"), F.col("y.id").alias("place_id"), F.col("x.r").alias("ra"), F.col("y.r").alias("rb"))
-    near = pairs.join(scored_names(pairs, "ra", "rb", PLACE_BAR), ["ra", "rb"])
+    close = settle(close_names(p.select("e", "m", F.col("r").alias("a")), p.select("e", "m", F.col("r").alias("b")), PLACE_BAR, ["e", "m"]))
+    side = lambda n, r: p.select("e", "m", F.col("r").alias(r), *[F.col(c).alias(f"{c}_{n}") for c in ("id", "k", "inserted_at")])
+    met = side("x", "ra").join(close.toDF("e", "m", "ra", "rb", "score"), ["e", "m", "ra"]).join(side("y", "rb"), ["e", "m", "rb"])
+    before = F.struct("inserted_at_x", "id_x") < F.struct("inserted_at_y", "id_y")
+    near = met.where(before & F.coalesce(F.col("k_x") == F.col("k_y"), F.lit(True))).select(F.col("id_x").alias("other_id"), F.col("id_y").alias("place_id"), "score")
     for up, down in (("other_id", "place_id"), ("place_id", "other_id")):
         near = near.join(above.select(F.col("ancestor").alias(up), F.col("descendant").alias(down)), [up, down], "left_anti")
     return certain.unionByName(near.select("place_id", "other_id", F.lit("candidate").alias("certainty"), "score"))
 
 
 def same_kinds(kinds: DataFrame) -> DataFrame:
-    """(kind_a, kind_b) of distinct kinds that are one: heads at 0.9 or wholes at 0.8. The vocabulary is short."""
-    k = kinds.select(F.coalesce(T.fold(F.col("kind")), F.lit("")).alias("k")).distinct()
-    a, b = k.select(F.col("k").alias("kind_a"), F.lit(1).alias("one")), k.select(F.col("k").alias("kind_b"), F.lit(1).alias("one"))
-    head = lambda c: T.kind_head(F.col(c))
-    return a.join(b, "one").drop("one").where((S.jaro(head("kind_a"), head("kind_b")) >= 0.9) | (S.jaro(F.col("kind_a"), F.col("kind_b")) >= 0.8))
+    """(kind_a, kind_b) of distinct kinds that are one: heads at 0.9 or wholes at 0.8."""
+    k = kinds.select(F.coalesce(T.fold(F.col("kind")), F.lit("")).alias("k")).distinct().withColumn("h", T.kind_head(F.col("k")))
+    heads = S.alike(k.select(F.col("h").alias("a")), k.select(F.col("h").alias("b")), 0.9).drop("score")
+    by_head = heads.join(k.toDF("kind_a", "a"), "a").join(k.toDF("kind_b", "b"), "b").select("kind_a", "kind_b")
+    wholes = S.alike(k.select(F.col("k").alias("a")), k.select(F.col("k").alias("b")), 0.8).select(F.col("a").alias("kind_a"), F.col("b").alias("kind_b"))
+    return by_head.union(wholes).distinct()
 
 
 def duplicate_claims(claims: DataFrame, claim_places: DataFrame, places: DataFrame, people: DataFrame) -> DataFrame:
@@ -77,17 +77,21 @@ def duplicate_claims(claims: DataFrame, claim_places: DataFrame, places: DataFra
     c = settle(c.withColumn("marks", F.array_join("_m", ",")).drop("_m"))
     side = lambda n: c.select(*[F.col(x).alias(f"{x}_{n}") for x in c.columns])
     order = F.struct("first_seen_at_a", "inserted_at_a", "id_a") < F.struct("first_seen_at_b", "inserted_at_b", "id_b")
-    marked = side("a").where("marks_a <> ''").join(side("b"), (F.col("event_id_a") == F.col("event_id_b")) & (F.col("marks_a") == F.col("marks_b"))).where(order)
-    fine = claim_places.join(places.where(~F.col("type").isin(SCOPE_TYPES)).select(F.col("id").alias("place_id")), "place_id", "left_semi").select(F.col("claim_id").alias("id"), "place_id").distinct()
+    # What the other claim's subject and kind may be is part of the keys, so that only pairs alike in both are made.
+    subjects = settle(S.alike(c.select(F.col("s").alias("a")), c.select(F.col("s").alias("b")), SUBJECT_BAR).toDF("s_a", "s_b", "score"))
+    kinds = settle(same_kinds(claims).toDF("k_a", "k_b"))
+    asked = settle(side("a").join(broadcast_if_small(subjects), "s_a").join(broadcast_if_small(kinds), "k_a"))
+    marked = asked.where("marks_a <> ''").join(side("b"), ["s_b", "k_b"]).where((F.col("event_id_a") == F.col("event_id_b")) & (F.col("marks_a") == F.col("marks_b"))).where(order)
+    # A place of no known type, or of one that is no scope, is fine enough.
+    finer = places.where(~F.coalesce(T.fold(F.col("type")), F.lit("")).isin(SCOPE_TYPES)).select(F.col("id").alias("place_id"))
+    fine = claim_places.join(finer, "place_id", "left_semi").select("claim_id", "place_id").distinct()
     width = (CLAIM_HOURS + 1) * 3600
-    placed = c.where("marks = ''").join(fine, "id").withColumn("bucket", F.floor(F.unix_seconds("first_seen_at") / width))
-    one = placed.select(*[F.col(x).alias(f"{x}_a") for x in c.columns], "place_id", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
-    other = placed.select(*[F.col(x).alias(f"{x}_b") for x in c.columns], "place_id", "bucket")
+    bucket = lambda n: F.floor(F.unix_seconds(f"first_seen_at_{n}") / width)
+    one = asked.where("marks_a = ''").join(fine.withColumnRenamed("claim_id", "id_a"), "id_a").withColumn("bucket", F.explode(F.sequence(bucket("a") - 1, bucket("a") + 1)))
+    other = side("b").where("marks_b = ''").join(fine.withColumnRenamed("claim_id", "id_b"), "id_b").withColumn("bucket", bucket("b"))
     near = F.abs(F.unix_seconds("first_seen_at_a") - F.unix_seconds("first_seen_at_b")) < width
-    plain = one.join(other, ["place_id", "bucket"]).where(near & order & (F.col("event_id_a") == F.col("event_id_b"))).drop("place_id", "bucket").dropDuplicates(["id_a", "id_b"])
-    pairs = settle(marked.unionByName(plain).join(F.broadcast(same_kinds(claims)), (F.col("k_a") == F.col("kind_a")) & (F.col("k_b") == F.col("kind_b")), "left_semi"))
-    scores = pairs.select("s_a", "s_b").where(S.jaro_length_bound(F.col("s_a"), F.col("s_b"), SUBJECT_BAR)).distinct().withColumn("score", S.jaro(F.col("s_a"), F.col("s_b"))).where(F.col("score") >= SUBJECT_BAR)
-    alike = pairs.join(scores, ["s_a", "s_b"])
+    plain = one.join(other, ["place_id", "bucket", "s_b", "k_b"]).where(near & order & (F.col("event_id_a") == F.col("event_id_b"))).drop("place_id", "bucket").dropDuplicates(["id_a", "id_b"])
+    alike = settle(marked.unionByName(plain))
     named = people.select("claim_id", T.fold(F.col("name")).alias("name")).distinct()
     met = alike.select("id_a", "id_b").join(named.select(F.col("claim_id").alias("id_a"), F.col("name").alias("n_a")), "id_a").join(named.select(F.col("claim_id").alias("id_b"), F.col("name").alias("n_b")), "id_b")
     recall = S.word_recall(T.words(F.col("n_a")), T.words(F.col("n_b")))
@@ -109,12 +113,7 @@ def person_name_edges(persons: DataFrame, event: str = "event_id") -> DataFrame:
     """
     p = settle(persons.select("id", F.col(event).alias("e"), T.name_keys(F.col("full_name")).alias("w")).where("size(w) > 1"))
     word = p.select("e", "id", F.explode(F.array_distinct("w")).alias("word"))
-    vocabulary = settle(word.select("word").distinct().withColumn("len", F.length("word")))
-    # Jaro at the bar bounds the ratio of lengths: join on neighbouring lengths only.
-    low = 3 * PERSON_BAR - 2
-    spread = vocabulary.withColumn("other_len", F.explode(F.sequence(F.ceil(F.col("len") * low).cast("int"), F.floor(F.col("len") / low).cast("int"))))
-    alike = spread.join(vocabulary.select(F.col("word").alias("other"), F.col("len").alias("other_len")), "other_len").where(S.jaro(F.col("word"), F.col("other")) >= PERSON_BAR).select("word", "other")
-    alike = settle(alike)
+    alike = settle(S.alike(word.select(F.col("word").alias("a")), word.select(F.col("word").alias("b")), PERSON_BAR).toDF("word", "other", "_score"))
     mates = word.join(alike, "word").select("e", F.col("id").alias("a"), F.col("other").alias("word")).distinct()
     pairs = mates.join(word.select("e", F.col("id").alias("b"), "word"), ["e", "word"]).where("a < b").select("a", "b").distinct()
     both = pairs.join(p.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(p.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
@@ -156,9 +155,11 @@ def position_matches(pairs: DataFrame, persons: DataFrame) -> DataFrame:
 
 def exact_posts(posts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, first_id, copies) of posts equal after cleaning; empty texts are left alone."""
-    keyed = posts.select(F.col(id_col).alias("id"), F.md5(T.clean_post_text(F.col(text_col)).cast("binary")).alias("key"), (T.clean_post_text(F.col(text_col)) != "").alias("said"))
-    first = keyed.where("said").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    return keyed.join(first, "key", "left").select("id", F.coalesce(F.when(F.col("said"), F.col("first_id")), "id").alias("first_id"), F.when(F.col("said"), F.col("copies")).otherwise(1).alias("copies"))
+    text = T.clean_post_text(F.col(text_col))
+    # The text is cleaned once, and only its key goes on: its MD5, null where nothing is left of it.
+    said = settle(posts.select(F.col(id_col).alias("id"), F.md5(F.nullif(text, F.lit("")).cast("binary")).alias("key")))
+    first = said.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    return said.join(broadcast_if_small(first.where("copies > 1")), "key", "left").select("id", F.coalesce("first_id", "id").alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def pair_exclusion(offered: DataFrame, ruled: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

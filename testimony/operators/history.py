@@ -36,14 +36,15 @@ def exclusive_answers(log: DataFrame, scope: list[str], slot: list[str], none: C
     """
     rows = log.withColumn("_none", none)
     own = Window.partitionBy(*scope, "_none", *[F.when(~F.col("_none"), F.col(c)) for c in slot]).orderBy(at, id_col)
-    after = Window.partitionBy(*scope).orderBy(at, id_col).rowsBetween(1, Window.unboundedFollowing)
+    # Read from the end, what comes after a row is what stands before it, so one running value serves every row.
+    after = Window.partitionBy(*scope).orderBy(F.desc_nulls_last(at), F.desc_nulls_last(id_col)).rowsBetween(Window.unboundedPreceding, -1)
     key = F.struct(F.col(at).alias("at"), F.col(id_col).alias("id"))
     # The next row of the other kind: the first after this one whose kind differs.
     rows = rows.withColumns(
         {
             "_own": F.lead(key).over(own),
-            "_other_none": F.first(F.when(F.col("_none"), key), ignorenulls=True).over(after),
-            "_other_real": F.first(F.when(~F.col("_none"), key), ignorenulls=True).over(after),
+            "_other_none": F.last(F.when(F.col("_none"), key), ignorenulls=True).over(after),
+            "_other_real": F.last(F.when(~F.col("_none"), key), ignorenulls=True).over(after),
         }
     )
     rows = rows.withColumn("_other", F.when(F.col("_none"), F.col("_other_real")).otherwise(F.col("_other_none")))

@@ -82,17 +82,12 @@ def name_index(places: DataFrame, names: DataFrame) -> DataFrame:
 def place_name_match(forms: DataFrame, index: DataFrame) -> DataFrame:
     """(event_id, form, place_id, canonical, since, how): places a folded form names exactly, else nearly.
 
-    Near names have Jaro at the bar, and the place's own name must not contradict the form's marks. Pairs
-    meet on lengths that allow the bar only.
+    Near names have Jaro at the bar, and the place's own name must not contradict the form's marks.
     """
     forms = forms.select("event_id", "form").distinct()
     exact = forms.join(index, ["event_id", "form"]).withColumn("how", F.lit("mention_exact"))
     rest = forms.join(index, ["event_id", "form"], "left_anti")
-    low = 3 * NAME_BAR - 2
-    n = F.length("form")
-    spread = rest.withColumn("n", F.explode(F.sequence(F.ceil(n * low).cast("int"), F.floor(n / low).cast("int"))))
-    known = index.select("event_id", F.col("form").alias("name")).distinct().withColumn("n", F.length("name"))
-    near = spread.join(known, ["event_id", "n"]).where(S.jaro(F.col("form"), F.col("name")) >= NAME_BAR).select("event_id", "form", "name")
+    near = S.alike(rest.withColumnRenamed("form", "a"), index.select("event_id", F.col("form").alias("b")), NAME_BAR, ["event_id"]).toDF("event_id", "form", "name", "_score").drop("_score")
     found = near.join(index.withColumnRenamed("form", "name"), ["event_id", "name"]).where(~T.marks_contradict(F.col("canonical"), F.col("form")))
     return exact.unionByName(found.drop("name").distinct().withColumn("how", F.lit("mention_fuzzy")))
 
@@ -159,7 +154,13 @@ def file_themes(claims: DataFrame, themes: DataFrame) -> DataFrame:
     """
     kinds = claims.select("event_id", "kind").distinct().withColumn("said", T.theme_words(F.col("kind"))).where("size(said) > 0")
     live = themes.where("lifecycle = 'active' and nature = 'happening'").select("event_id", F.col("id").alias("theme_id"), T.theme_words(F.col("name")).alias("asked")).where("size(asked) > 0")
-    scored = kinds.join(broadcast_if_small(live), "event_id").withColumn("score", S.directed_recall(F.col("asked"), F.col("said"))).where(F.col("score") >= THEME_BAR)
+    # A mean at the bar needs a word at the bar, so kinds and themes meet on words that are alike.
+    word = lambda rows, key, c, name: rows.select("event_id", key, F.explode(F.array_distinct(c)).alias(name))
+    said, asked = word(kinds, "kind", "said", "b"), word(live, "theme_id", "asked", "a")
+    words = S.alike(asked.select("event_id", "a"), said.select("event_id", "b"), THEME_BAR, ["event_id"]).drop("score")
+    met = words.join(asked, ["event_id", "a"]).join(said, ["event_id", "b"]).select("event_id", "kind", "theme_id").distinct()
+    both = met.join(broadcast_if_small(live), ["event_id", "theme_id"]).join(kinds, ["event_id", "kind"])
+    scored = both.withColumn("score", S.directed_recall(F.col("asked"), F.col("said"))).where(F.col("score") >= THEME_BAR)
     w = Window.partitionBy("event_id", "kind").orderBy(F.desc("score"), "theme_id")
     return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("event_id", "kind", "theme_id", "score")
 

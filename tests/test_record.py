@@ -90,3 +90,41 @@ def test_redirects_of_any_length_and_loops(spark):
     assert all(got[i] == (1000, False) for i in range(1001))
     assert all(got[i][1] for i in [*range(2000, 2200), 3000, 3001, 4000]) and got[4001] == (9999, False)
     assert trees.follow_redirects(spark.createDataFrame([], "id long, next_id long")).count() == 0
+
+
+def test_alike_finds_every_pair_that_plain_jaro_does(spark):
+    import random
+
+    dice = random.Random(3)
+    names = ["".join(dice.choice("abcdeé ñ") for _ in range(dice.randint(0, 14))) for _ in range(250)]
+    names += [w[:3] + "z" + w[4:] for w in names] + ["", "a", "ab", "ba"]
+    names = sorted(set(names))
+    pairs = [(x, y) for x in names for y in names]
+    score = [S.jaro_of(x, y) for x, y in pairs]
+    assert S.jaro_pairs([x for x, _ in pairs], [y for _, y in pairs]).tolist() == score
+    table = spark.createDataFrame([(w,) for w in [*names, None]], "a string")
+    for least in (0.8, 0.92):
+        got = {(r.a, r.b) for r in S.alike(table, table.withColumnRenamed("a", "b"), least).collect()}
+        assert got == {p for p, s in zip(pairs, score) if s >= least}
+
+
+def test_places_of_unknown_type_count_and_types_are_folded(spark):
+    claims = spark.createDataFrame([(i, 1, "derrumbe", "torre", at, i) for i, at in ((1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-01"), (4, "2024-01-02"))], "id long, event_id long, kind string, subject string, first_seen_at string, inserted_at long")
+    claims = claims.withColumn("first_seen_at", F.to_timestamp("first_seen_at"))
+    at = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 8)], "claim_id long, place_id long")
+    places = spark.createDataFrame([(7, None), (8, "PAÍS")], "id long, type string")
+    people = spark.createDataFrame([], "claim_id long, name string")
+    assert [(r.elder_id, r.younger_id) for r in duplicates.duplicate_claims(claims, at, places, people).collect()] == [(1, 2)]
+
+
+def test_names_are_explained_by_places_and_figures(spark):
+    from testimony.operators import names
+
+    texts = spark.createDataFrame([(1, 1, "Vi a Pedro Roca Park"), (2, 1, "Los Corales Norte y Ana Paz"), (3, 2, "Roca Park"), (4, 1, None), (5, 1, "El Hospital Vargas Luna"), (6, None, "Ana Paz")], "id long, event_id long, text string")
+    places = spark.createDataFrame([(1, 1, "Roca Park", "active"), (2, 1, "Urbanización Los Corales Norte", "active"), (3, 1, "Ana Paz", "proposed"), (4, 1, " ", "active")], "id long, event_id long, canonical_name string, lifecycle string")
+    surface = spark.createDataFrame([(1, "Hospital Vargas")], "place_id long, name string")
+    known = names.gazetteer_names(places, surface)
+    got = {(r.id, r.name) for r in names.unexplained_names(texts, known).collect()}
+    assert got == {(2, "Ana Paz"), (3, "Roca Park")}
+    assert {(r.id, r.name) for r in names.unexplained_names(texts, known, ["ANA PAZ"]).collect()} == {(3, "Roca Park")}
+    assert names.unexplained_names(texts.limit(0), known).count() == 0
