@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from testimony.functions import similarity as S
 from testimony.functions import text as T
+from testimony.operators import graphs
 from testimony.operators.durable import broadcast_if_small, settle
 
 PLACE_BAR, SUBJECT_BAR, PERSON_BAR, PEOPLE_BAR = 0.92, 0.82, 0.88, 0.92
@@ -146,6 +147,20 @@ def person_context_edges(persons: DataFrame, arcs: DataFrame, claim_places: Data
     return words.join(alike, ["u", "v"], "left_semi").select("a", "b").distinct()
 
 
+def duplicate_persons(persons: DataFrame, arcs: DataFrame, claim_places: DataFrame) -> DataFrame:
+    """(block, size, members): people who may be one, written twice: name edges and context edges, as neighbourhoods, largest first.
+
+    persons: id, event_id, full_name, inserted_at, merged_into_id; those merged into another are not offered. members: (full_name, id) in order of name.
+    """
+    live = persons.where("merged_into_id is null")
+    kept = arcs.join(live.select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = settle(person_name_edges(live).select(*pair).union(person_context_edges(live, kept, claim_places).select(*pair)).distinct())
+    each = graphs.neighbourhoods(edges).select("block", F.explode("members").alias("id")).join(live.select("id", "full_name"), "id")
+    blocks = each.groupBy("block").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("full_name", "id"))).alias("members"))
+    return blocks.orderBy(F.desc("size"), "block")
+
+
 def position_matches(pairs: DataFrame, persons: DataFrame) -> DataFrame:
     """Pairs settled by the position of their names."""
     p = persons.select("id", T.name_keys(F.col("full_name")).alias("w"))

@@ -250,12 +250,6 @@ def person_arc(spark, sf):
     return w.customer.select("c_custkey").join(w.claims(), F.col("c_custkey") == F.col("person_id")).select("c_custkey", "claim_id", "first_seen_at")
 
 
-@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 48 and l_partkey is not null)")
-def unread_posts(spark, sf):
-    w = World(spark, sf)
-    return w.part.select("p_partkey").join(w.lineitem.where("l_returnflag = 'R' and l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
-
-
 @query(f"with {_CLAIMS} select kind, claim_id, greatest(count(*) over (partition by kind) - 3, 0)::bigint as rest from claims qualify row_number() over (partition by kind order by first_seen_at, claim_id) <= 3")
 def bounded_sample(spark, sf):
     return report.bounded_sample(World(spark, sf).claims(), ["kind"], ["first_seen_at", "claim_id"], 3).select("kind", "claim_id", "rest")
