@@ -132,7 +132,7 @@ def merged_links(links: DataFrame, closed: DataFrame, item: str, order: list[str
     return upsert_last(moved, ["claim_id", item], ["_own", *order]).drop("_own")
 
 
-def merge_persons(persons: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def merge_persons(persons: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, merged_into_id, n): who is folded into whom when pairs (n, a, b) are applied in the order of n.
 
     persons: id, full_name, inserted_at. The fuller name survives: more words, then longer, then earlier, then smaller id.
@@ -145,7 +145,7 @@ def merge_persons(persons: DataFrame, pairs: DataFrame, rounds: int = 60) -> Dat
     first = F.col("ra") < F.col("rb")
     lost = settle(both.select("n", F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner")))
     folded = settle(lost.groupBy("id").agg(F.min(F.struct("n", "winner")).alias("f")))
-    for _ in range(rounds):
+    while True:
         until = folded.select(F.col("id").alias("winner"), F.col("f.n").alias("_until"))
         alive = lost.join(until, "winner", "left").where("_until is null or _until > n")
         new = settle(alive.groupBy("id").agg(F.min(F.struct("n", "winner")).alias("f")))
@@ -153,7 +153,6 @@ def merge_persons(persons: DataFrame, pairs: DataFrame, rounds: int = 60) -> Dat
         if new.join(old, "id", "full").where("not (f <=> g)").isEmpty():
             return new.select("id", F.col("f.winner").alias("merged_into_id"), F.col("f.n").alias("n"))
         folded = new
-    raise RuntimeError("merges did not settle")
 
 
 def fold_places(places: DataFrame, names: DataFrame, links: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,6 +1,6 @@
-"""Forests by parent id, and redirect chains, as joins until nothing is left.
+"""Forests by parent id, and redirect chains, by doubling: each round reaches twice as far.
 
-Each level is one join on the frontier, so the number of jobs is the depth, not the number of nodes.
+The number of jobs is the logarithm of the depth, not the depth nor the number of nodes.
 """
 
 from __future__ import annotations
@@ -10,24 +10,32 @@ from pyspark.sql import functions as F
 
 from testimony.operators.durable import settle
 
-MAX_DEPTH = 64
-
 
 def tree_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
-    """(ancestor, descendant, depth), each node with itself at depth 0.
+    """(ancestor, descendant, depth), each node with itself at depth 0, to any depth.
 
-    Parents that are not nodes are ignored. A cycle raises after MAX_DEPTH levels.
+    Parents that are not nodes are ignored. Parents that form a cycle raise: some node would be above itself.
     """
     own = nodes.select(F.col(id_col).alias("n"), F.col(parent_col).alias("p"))
-    up = settle(own.where("p is not null").join(own.select(F.col("n").alias("p")), "p", "left_semi"))
-    out = own.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("depth"))
-    level = out
-    for depth in range(1, MAX_DEPTH + 1):
-        level = settle(level.join(up, F.col("ancestor") == F.col("n")).select(F.col("p").alias("ancestor"), "descendant", F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError("parents form a cycle")
+    up = own.where("p is not null").join(own.select(F.col("n").alias("p")), "p", "left_semi")
+    known = settle(up.select(F.col("p").alias("ancestor"), F.col("n").alias("descendant"), F.lit(1).alias("depth")))
+    parts, reach = [known], 1
+    while True:
+        # Ancestors ``reach`` up, and those up to as far above them.
+        last = parts[-1].where(F.col("depth") == reach).select(F.col("ancestor").alias("_mid"), "descendant")
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        above = every.select("ancestor", F.col("descendant").alias("_mid"), (F.col("depth") + reach).alias("depth"))
+        if every.where("ancestor = descendant").limit(1).count():
+            raise ValueError("parents form a cycle")
+        further = settle(last.join(above, "_mid").select("ancestor", "descendant", "depth"))
+        if further.isEmpty():
+            break
+        parts.append(further)
+        reach *= 2
+    self_ = own.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("depth"))
+    return self_.unionByName(every)
 
 
 def ancestors(closure: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from testimony.functions import text as T
 from testimony.operators import acquisition, beats, curation, decisions, duplicates, fitness, history, questions, report, resolution, trees
 from testimony.plans.queries import _ANSWERS, _CLAIMS, _PLACES, SQL, World, query
 from testimony.plans.record import _events
+from testimony.operators.durable import shared_path
 from testimony.sources import corpus
 from testimony.streaming import streams
 
@@ -372,10 +373,15 @@ def stream_density(spark, sf):
     return streams.settle_stream(streams.stream_density(_events(spark, sf), "ts"))
 
 
-@query("select user_id as post from events group by 1")
+@query("select user_id::varchar as post, first(event_type order by ts, event_id) as query, min(ts)::timestamp as \"at\" from events group by 1")
 def stream_first_query(spark, sf):
-    firsts = streams.stream_first_query(_events(spark, sf), "ts", "user_id", "event_type", "3650 days")
-    return streams.settle_stream(firsts).select(F.col("user_id").alias("post"))
+    # The events in several files of mixed times, a file a batch, so that the earliest of a post often comes late.
+    path = shared_path(spark, "mixed")
+    World(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    told = streams.settle_stream(streams.stream_first_query(rows, "ts", "user_id", "event_type", "event_id"))
+    last = told.groupBy("post").agg(F.max("version").alias("version"))
+    return told.join(last, ["post", "version"], "left_semi").select("post", "query", "at")
 
 
 @query("select distinct event_id from events")

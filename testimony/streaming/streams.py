@@ -1,7 +1,7 @@
 """Incremental forms of the record's tables on Structured Streaming.
 
-State is bounded by watermarks; what comes later is not lost but goes to the batch path that
-re-runs the slices it touches.
+State is bounded by watermarks. What comes later than that is kept apart (``late_posts``), and the slices it falls in
+are counted again in batch over all that came.
 """
 
 from __future__ import annotations
@@ -32,16 +32,64 @@ def stream_density(rows: DataFrame, at: str, width: str = "1 hour", slide: str |
     return rows.withWatermark(at, late).groupBy(w).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
-def stream_first_query(appearances: DataFrame, at: str, post: str, query: str, late: str = "1 day") -> DataFrame:
-    """The first query of each post, as appearances arrive."""
-    return appearances.withWatermark(at, late).dropDuplicatesWithinWatermark([post]).select(post, query, at)
+def stream_first_query(appearances: DataFrame, at: str, post: str, query: str, id_col: str) -> DataFrame:
+    """(post, query, at, version): the first query of each post by (time, id), after each batch that changes it; the highest version holds.
+
+    State is the earliest appearance of each post, for good: an appearance that comes late but was earlier takes its place.
+    """
+
+    def step(key, frames, state):
+        version, held = state.get if state.exists else (0, None)
+        best = json.loads(held) if held else None
+        was = best
+        for pdf in frames:
+            for when, i, q in zip(pdf["at"], pdf["id"], pdf["query"], strict=True):
+                seen = [int(when.value), int(i), q]
+                if best is None or seen[:2] < best[:2]:
+                    best = seen
+        if best != was:
+            state.update((version + 1, json.dumps(best)))
+            yield pd.DataFrame({"post": [key[0]], "query": [best[2]], "at": [pd.Timestamp(best[0])], "version": [version + 1]})
+
+    rows = appearances.select(F.col(post).cast("string").alias("post"), F.col(query).cast("string").alias("query"), F.col(at).alias("at"), F.col(id_col).cast("long").alias("id"))
+    return rows.groupBy("post").applyInPandasWithState(step, "post string, query string, at timestamp, version long", "version long, held string", "append", "NoTimeout")
+
+
+def late_posts(rows: DataFrame, at: str, keep: str, late: str, delay_seconds: int = 600) -> None:
+    """Run a stream to its end by batches: all rows are kept under ``keep``, and those that a watermark of ``delay_seconds`` would drop under ``late``.
+
+    A batch's watermark is the latest time of the batches before, less the delay. A batch that is run again after a failure is written
+    again under its own number, so nothing counts twice.
+    """
+    spark, latest = rows.sparkSession, shared_path(rows.sparkSession, "latest")
+
+    def take(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{keep}/batch={n}")
+        kept = spark.read.schema(batch.schema).parquet(f"{keep}/batch={n}")
+        seen = spark.read.parquet(f"{latest}/batch={n - 1}").first()[0] if n else None
+        if seen is not None:
+            kept.where(F.col(at) < F.lit(seen) - F.make_dt_interval(secs=F.lit(delay_seconds))).write.mode("overwrite").parquet(f"{late}/batch={n}")
+        # One row a batch: the latest time so far.
+        kept.agg(F.greatest(F.max(at), F.lit(seen).cast("timestamp")).alias("at")).write.mode("overwrite").parquet(f"{latest}/batch={n}")
+
+    marks = shared_path(spark, "offsets")
+    rows.writeStream.foreachBatch(take).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def recounted_slices(kept: DataFrame, late_rows: DataFrame, at: str, seconds: int, anchor: str) -> DataFrame:
+    """(slice_start, n): the slices that late rows fall in, counted again over all rows kept."""
+    touched = touched_slices(late_rows, at, seconds, anchor)
+    return kept.withColumn("slice_start", _slice_of(at, seconds, anchor)).join(touched, "slice_start", "left_semi").groupBy("slice_start").agg(F.count("*").alias("n"))
+
+
+def _slice_of(at: str, seconds: int, anchor: str):
+    start = F.unix_seconds(F.lit(anchor).cast("timestamp"))
+    return F.timestamp_seconds(start + F.floor((F.unix_seconds(at) - start) / seconds) * seconds)
 
 
 def touched_slices(late_rows: DataFrame, at: str, seconds: int, anchor: str) -> DataFrame:
     """Distinct slice starts that late rows fall in; the grid never moves."""
-    start = F.unix_seconds(F.lit(anchor).cast("timestamp"))
-    k = F.floor((F.unix_seconds(at) - start) / seconds)
-    return late_rows.select(F.timestamp_seconds(start + k * seconds).alias("slice_start")).distinct()
+    return late_rows.select(_slice_of(at, seconds, anchor).alias("slice_start")).distinct()
 
 
 CURRENT = "scope string, version long, slot string, id string, at timestamp, none boolean"

@@ -128,3 +128,35 @@ def test_names_are_explained_by_places_and_figures(spark):
     assert got == {(2, "Ana Paz"), (3, "Roca Park")}
     assert {(r.id, r.name) for r in names.unexplained_names(texts, known, ["ANA PAZ"]).collect()} == {(3, "Roca Park")}
     assert names.unexplained_names(texts.limit(0), known).count() == 0
+
+
+def test_closure_of_deep_trees_and_cycles(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)] + [(900, 17), (901, 5555)], "id long, parent_id long")
+    got = {(r.ancestor, r.descendant): r.depth for r in trees.tree_closure(chain).collect()}
+    want = {(a, d): d - a for d in range(300) for a in range(d + 1)} | {(a, 900): 18 - a for a in range(18)} | {(900, 900): 0, (901, 901): 0}
+    assert got == want
+    with pytest.raises(ValueError):
+        trees.tree_closure(spark.createDataFrame([(i, (i + 1) % 100) for i in range(100)] + [(200, 3)], "id long, parent_id long")).count()
+
+
+def test_late_rows_are_kept_and_their_slices_counted_again(spark, tmp_path):
+    import os
+
+    from testimony.streaming import streams
+
+    at = lambda minutes: f"2024-01-01 {minutes // 60:02d}:{minutes % 60:02d}:00"
+    batches = [[(1, 0), (2, 60), (3, 61)], [(4, 55), (5, 12), (6, 70)], [(7, 13), (8, 75)]]
+    source = str(tmp_path / "in")
+    os.makedirs(source)
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(i, at(m)) for i, m in rows], "id long, at string").selectExpr("id", "cast(at as timestamp) as at").coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
+        part = next(f for f in os.listdir(tmp_path / f"b{n}") if f.endswith(".parquet"))
+        os.rename(tmp_path / f"b{n}" / part, os.path.join(source, f"{n}.parquet"))
+        os.utime(os.path.join(source, f"{n}.parquet"), (1_700_000_000 + n, 1_700_000_000 + n))
+    rows = spark.readStream.schema("id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    keep, late = str(tmp_path / "keep"), str(tmp_path / "late")
+    streams.late_posts(rows, "at", keep, late)
+    kept, found = spark.read.parquet(keep), spark.read.parquet(late)
+    assert {r.id for r in kept.collect()} == set(range(1, 9)) and {r.id for r in found.collect()} == {5, 7}
+    again = streams.recounted_slices(kept, found, "at", 600, at(0)).selectExpr("cast(slice_start as string) as s", "n").collect()
+    assert [(r.s, r.n) for r in again] == [(at(10), 2)]
