@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +157,16 @@ def utf8(column) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in column]
 
 
+#: Texts that a scan turns into Python objects at once, whatever the size of the batch that it is sent.
+ROWS_AT_ONCE = 500
+
+
+def text_slices(column: pa.Array) -> Iterator[list[bytes | None]]:
+    """The texts of an Arrow column as UTF-8, ROWS_AT_ONCE at a time; nothing is decoded and the batch is not copied."""
+    for i in range(0, len(column), ROWS_AT_ONCE):
+        yield column.slice(i, ROWS_AT_ONCE).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
 # --- links ----------------------------------------------------------------------------------------
 
 

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm.common import fresh, settle, utf8
+from testimony.llm.common import fresh, settle, text_slices, utf8
 
 #: Most nodes of one automaton, about 100 MB in each Python worker. More items make further automata, each scanning once.
 NODES_PER_AUTOMATON = 2_000_000
@@ -29,7 +30,9 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _built: dict[str, object] = {}
 
-FOUND = "n_words int, spans array<struct<first:int,last:int>>, items array<string>"
+FOUND = "struct<n_words:int,spans:array<struct<first:int,last:int>>,items:array<string>>"
+_SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+_FOUND = pa.struct([("n_words", pa.int32()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
 
 
 def windows_of(text: str | None, n: int) -> set[str]:
@@ -69,9 +72,9 @@ def _windows(items: list[tuple[str, str | None]], n: int, key: str) -> Windows:
     return _built[key]
 
 
-def scan(text: str | None, windows: Windows) -> tuple[int, list[tuple[int, int]], list[str]]:
+def scan(text: bytes | None, windows: Windows) -> tuple[int, list[tuple[int, int]], list[str]]:
     """Number of words, merged half-open ranges of hit words, and the items hit."""
-    words = utf8([text])[0].translate(NORMAL).split()
+    words = (text or b"").translate(NORMAL).split()
     spans: list[list[int]] = []
     items: set[str] = set()
     for at, size, who in sorted(windows.find(words)):
@@ -84,11 +87,12 @@ def scan(text: str | None, windows: Windows) -> tuple[int, list[tuple[int, int]]
 
 
 def _scanner(shared, window: int, key: str):
-    @F.pandas_udf(FOUND)
-    def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(FOUND)
+    def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _windows(shared.value, window, key)
         for column in texts:
-            yield pd.DataFrame([scan(t, known) for t in column], columns=["n_words", "spans", "items"])
+            rows = (scan(t, known) for part in text_slices(column) for t in part)
+            yield pa.array([{"n_words": n, "spans": [{"first": a, "last": b} for a, b in spans], "items": items} for n, spans, items in rows], _FOUND)
 
     return look
 

@@ -14,10 +14,12 @@ from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from testimony.llm.common import text_slices
+
 # Short public licence notices, by SPDX id.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -157,11 +159,13 @@ def scan_licences(
         on = {n for _, _, a, b in hits for n in np.unique(line[a : b + 1]).tolist()}
         return sorted({h[0] for h in hits}), len(on), max(h[1] for h in hits)
 
-    @F.pandas_udf("licences array<string>, n_lines long, best double")
-    def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("licences", pa.list_(pa.string())), ("n_lines", pa.int64()), ("best", pa.float64())])
+
+    @F.arrow_udf("struct<licences:array<string>,n_lines:long,best:double>")
+    def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            rows = [judged(t) if isinstance(t, str) else ([], 0, None) for t in column]
-            yield pd.DataFrame(rows, columns=["licences", "n_lines", "best"])
+            rows = (judged((t or b"").decode("utf-8", "replace")) for part in text_slices(column) for t in part)
+            yield pa.array([{"licences": names, "n_lines": n, "best": best} for names, n, best in rows], kind)
 
     found = docs.select(F.col(id_col).alias("doc_id"), look.asNondeterministic()(F.col(text_col)).alias("f"))
     return found.select("doc_id", "f.licences", "f.n_lines", "f.best")

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testimony.llm.common import hashed_words, runs_of, utf8
+from testimony.llm.common import hashed_words, runs_of, text_slices, utf8
 
 #: log2 of the hash values of words, and of trigrams.
 WORD_BITS, GRAM_BITS = 12, 12
@@ -57,11 +58,14 @@ def _terms(part: list[bytes]) -> np.ndarray:
     return np.sqrt(out)
 
 
-def _project(rows: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
-    v = (rows * idf) @ base
+def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _project(rows: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return _unit((rows * idf) @ base)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 1000, dims: int = 64, id_col: str, text_col: str, label_col: str) -> dict:
     """Model from at most ``rows_per_label`` labelled documents of each label, those of least hashed id.
 
@@ -81,24 +85,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 1000, dims:
     joined = texts.join(F.broadcast(picked), texts["_d"] == F.col("_id")).select("_id", "_label", F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")).alias("s"))
     once = joined.groupBy("_id", "_label").agg(F.min("s").alias("s")).select("_id", "_label", F.col("s.t").alias("_text"))
     rows = once.mapInPandas(sparse, "_id long, _label int, at array<int>, v array<float>").toPandas().sort_values("_id")
-    x = np.zeros((len(rows), N_TERMS), np.float32)
-    for i, (at, v) in enumerate(zip(rows["at"], rows["v"], strict=True)):
-        x[i, at] = v
-    used = np.flatnonzero((x > 0).any(axis=0))
-    x = x[:, used]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.5
+    every = np.concatenate(rows["at"].tolist()).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    used, counts = np.unique(every, return_counts=True)
+    idf = np.log((1 + len(rows)) / (1 + counts)).astype(np.float32) + np.float32(0.5)
     idf[used >= N_TERMS - 4] = REPEAT_WEIGHT
-    dims = max(1, min(dims, len(x), len(used)))
+    # The one large array of the fit: weighted terms, 2 * rows_per_label rows of N_TERMS at most.
+    w = np.zeros((len(rows), len(used)), np.float32)
+    for i, (at, v) in enumerate(zip(rows["at"], rows["v"], strict=True)):
+        k = np.searchsorted(used, at)
+        w[i, k] = v * idf[k]
+    labels_ = rows["_label"].to_numpy(np.float32)
+    del rows, every
+    dims = max(1, min(dims, len(w), len(used)))
     # Randomised subspace iteration: the leading right singular vectors of the weighted sample.
-    w, rng = x * idf, np.random.default_rng(5)
-    q = rng.standard_normal((len(used), dims + 8)).astype(np.float32)
+    q = np.random.default_rng(5).standard_normal((len(used), dims + 8)).astype(np.float32)
     for _ in range(4):
-        q = np.linalg.qr(w.T @ (w @ q))[0] if len(x) else np.linalg.qr(q)[0]
-    if len(x):
+        q = np.linalg.qr(w.T @ (w @ q))[0] if len(w) else np.linalg.qr(q)[0]
+    if len(w):
         _, _, vt = np.linalg.svd(w @ q, full_matrices=False)
         q = q @ vt.T
     base = np.ascontiguousarray(q[:, :dims], np.float32)
-    return {"used": used, "idf": idf, "base": base, "vectors": _project(x, idf, base), "labels": rows["_label"].to_numpy(np.float32)}
+    return {"used": used, "idf": idf, "base": base, "vectors": _unit(w @ base), "labels": labels_}
 
 
 def vote(rows: np.ndarray, model: dict, k: int) -> np.ndarray:
@@ -141,11 +148,11 @@ def score_quality(
     model = fit(docs, labels.where(fold(F.col(id_col)) != 0), rows_per_label=rows_per_label, id_col=id_col, text_col=text_col, label_col=label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            blocks = [vote(part, shared.value, k) for part in terms(utf8(column))]
-            yield pd.Series(np.concatenate(blocks) if blocks else np.zeros(0))
+            blocks = [vote(block, shared.value, k) for part in text_slices(column) for block in terms([t or b"" for t in part])]
+            yield pa.array(np.concatenate(blocks).astype(np.float64) if blocks else np.zeros(0))
 
     out = docs.withColumns({prefix + "held_out": fold(F.col(id_col)) == 0, prefix + "score": score.asNondeterministic()(F.col(text_col))})
     return out.withColumn(prefix + "predicted", (F.col(prefix + "score") >= cut).cast("int"))
