@@ -31,10 +31,15 @@ def refusal_rate(claims: DataFrame, theme: str, support: str) -> DataFrame:
 
 
 def theme_confusion(pairs: DataFrame, post: str, theme: str) -> DataFrame:
-    """(a, b, posts, both, jaccard): posts that carry both themes, against those that carry either."""
+    """(a, b, both, jaccard): posts that carry both themes, against those that carry either.
+
+    A post's themes, of which there are few, are one list, so its pairs are made in place and summed before they are sent.
+    """
     once = pairs.select(post, theme).distinct()
     n = once.groupBy(theme).agg(F.count("*").alias("n"))
-    both = once.select(post, F.col(theme).alias("a")).join(once.select(post, F.col(theme).alias("b")), post).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    sets = once.where(F.col(post).isNotNull() & F.col(theme).isNotNull()).groupBy(post).agg(F.array_sort(F.collect_list(theme)).alias("t"))
+    pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    both = sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
     sized = both.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
     return sized.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 

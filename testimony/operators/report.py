@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from testimony.functions import text as T
+from testimony.operators.beats import numbered
+from testimony.operators.durable import broadcast_if_small
 
 
 def claim_detail(claims: DataFrame, sides: dict[str, DataFrame], key: str = "claim_id") -> DataFrame:
@@ -33,11 +35,26 @@ def support_tally(rows: DataFrame, by: list[str], support: str = "support") -> D
     return rows.groupBy(*by).pivot(support, verdicts).count().fillna(0, verdicts)
 
 
+def _per_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row for each ``by``) added; nulls are a group."""
+    renamed = groups.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    return rows.join(broadcast_if_small(renamed), [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]).drop(*[f"_by_{c}" for c in by])
+
+
+def _positions(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their position from 0 within ``by``, numbered by ranges of the order, so that no key passes through one task."""
+    placed = numbered(rows, [*by, *order], name)
+    return _per_group(placed, placed.groupBy(*by).agg(F.min(name).alias("_first")), by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+
+
 def bounded_sample(rows: DataFrame, by: list[str], order: list[Column | str], k: int) -> DataFrame:
-    """The first k rows of each group, with ``rest``: how many more there are."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    ranked = rows.withColumns({"_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*by))})
-    return ranked.where(F.col("_k") <= k).withColumn("rest", F.greatest(F.col("_n") - k, F.lit(0))).drop("_k", "_n")
+    """The first k rows of each group, with ``rest``: how many more there are.
+
+    Only the first k rows of a group in each task are sent on; groups are counted apart.
+    """
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+    counts = rows.groupBy(*by).agg(F.greatest(F.count("*") - k, F.lit(0)).alias("rest"))
+    return _per_group(first, counts, by)
 
 
 def stratified_sample(rows: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
@@ -49,14 +66,12 @@ def systematic_sample(posts: DataFrame, by: str, text_col: str, order: list[str]
     """One in ``every`` by order, exact duplicates removed first."""
     first = Window.partitionBy(by, text_col).orderBy(*order)
     once = posts.withColumn("_d", F.row_number().over(first)).where("_d = 1").drop("_d")
-    w = Window.partitionBy(by).orderBy(*order)
-    return once.withColumn("_k", F.row_number().over(w) - 1).where(F.col("_k") % every == 0).drop("_k")
+    return _positions(once, [by], order, "_k").where(F.col("_k") % every == 0).drop("_k")
 
 
 def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
     """Rows with ``batch``: fixed counts in order within each key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return _positions(rows, by, order, "_k").withColumn("batch", F.floor(F.col("_k") / size).cast("long")).drop("_k")
 
 
 def handle_collisions(persons: DataFrame, name_col: str) -> DataFrame:
@@ -72,8 +87,9 @@ def refusal_groups(persons: DataFrame, name_col: str) -> DataFrame:
 def low_confidence_summary(links: DataFrame, by: str, confidence: str, bar: float = 0.7, k: int = 3) -> DataFrame:
     """Weak links per kind: how many, and the k weakest."""
     low = links.where(F.col(confidence) < bar)
-    weakest = F.slice(F.array_sort(F.collect_list(F.struct(confidence, "id"))), 1, k)
-    return low.groupBy(by).agg(F.count("*").alias("n"), weakest.alias("weakest"))
+    first = low.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(confidence, "id"))).where(F.col("_k") <= k)
+    weakest = first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(confidence, "id"))).alias("weakest"))
+    return _per_group(low.groupBy(by).agg(F.count("*").alias("n")), weakest, [by])
 
 
 def ambiguous_by_form(links: DataFrame, form: str, claim: str) -> DataFrame:

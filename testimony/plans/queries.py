@@ -263,12 +263,12 @@ def stratified_sample(spark, sf):
 @query("""with once as (select source, doc_id from documents qualify row_number() over (partition by source, text order by doc_id) = 1)
 select source, doc_id from once qualify (row_number() over (partition by source order by doc_id) - 1) % 10 = 0""")
 def systematic_sample(spark, sf):
-    return report.systematic_sample(World(spark, sf).documents, "source", "text", ["doc_id"], 10).select("source", "doc_id")
+    return report.systematic_sample(World(spark, sf).documents.select("source", "doc_id", "text"), "source", "text", ["doc_id"], 10).select("source", "doc_id")
 
 
 @query("select source, doc_id, ((row_number() over (partition by source order by doc_id) - 1) // 25)::bigint as batch from documents")
 def batches(spark, sf):
-    return report.batches(World(spark, sf).documents, ["source"], ["doc_id"], 25).select("source", "doc_id", "batch")
+    return report.batches(World(spark, sf).documents.select("source", "doc_id"), ["source"], ["doc_id"], 25).select("source", "doc_id", "batch")
 
 
 @query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as prompt from conversations group by conv_id")
