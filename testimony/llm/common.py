@@ -1,7 +1,6 @@
-"""Pieces that several operators share: durable intermediate tables, word hashing, components.
+"""Pieces that several operators share: word hashing, approximate sets, batches cut by group, slices of texts.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D. They are hashed for a whole Arrow batch at
-once with numpy, so no operator loops over words in Python.
+Words are runs of bytes other than 0x20 and 0x09-0x0D, and are hashed for many texts at once.
 """
 
 from __future__ import annotations
@@ -12,10 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testimony.operators.durable import broadcast_if_small, settle, shared_dir  # noqa: F401  (used by the operators)
+from testimony.operators.graphs import connected as components  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -165,53 +165,3 @@ def text_slices(column: pa.Array) -> Iterator[list[bytes | None]]:
     """The texts of an Arrow column as UTF-8, ROWS_AT_ONCE at a time; nothing is decoded and the batch is not copied."""
     for i in range(0, len(column), ROWS_AT_ONCE):
         yield column.slice(i, ROWS_AT_ONCE).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-# --- links ----------------------------------------------------------------------------------------
-
-
-class Forest:
-    """Union-find over 0..n-1 for one task's rows; the smallest index of a set is its root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) of an undirected graph given as links (a, b); component is its least node.
-
-    Each round every node takes the least label around it and then its label's label, so path
-    lengths halve. Labels and links stay distributed; each round is settled in the shared folder.
-    Nodes without links are not returned. Raises if ``rounds`` do not suffice.
-    """
-    down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    # A node's links to lesser nodes become one link to the least, and links from there to the others:
-    # many of those are the same, so a dense group shrinks to about its size before the rounds.
-    low = F.min("b").over(Window.partitionBy("a"))
-    star = down.select("a", "b", low.alias("m"))
-    both = star.select("a", F.col("m").alias("b")).union(star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-    both = settle(both.union(both.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(rounds):
-        around = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        near = labels.join(around, "node").select("node", "label", F.least("label", "least").alias("new"))
-        over = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
-        stepped = settle(near.join(over, "new").select("node", "label", F.least("new", "next").alias("new")))
-        if stepped.where("label <> new").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = stepped.select("node", F.col("new").alias("label"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

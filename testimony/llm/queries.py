@@ -169,7 +169,7 @@ def _op10() -> str:
     return rf"""
 with t as (select name, {gram} as g from (select name, {split} as ws from (values {", ".join(f"({_quoted(n)}, {_quoted(x)})" for n, x in licences.TEMPLATES)}) v(name, line))),
 lines as (select doc_id, unnest(range(1, 1 + len(string_split(text, chr(10))))) as k, unnest(string_split(text, chr(10))) as line from documents),
-l as (select doc_id, k, {gram} as g from (select doc_id, k, {split} as ws from lines where length(line) < 1000) where len(ws) > 1),
+l as (select doc_id, k, {gram} as g from (select doc_id, k, {split} as ws from lines) where len(ws) > 1),
 m as (
   select doc_id, k, name, 2.0::double * len(list_intersect(l.g, t.g)) / (len(l.g) + len(t.g)) as dice
   from l join t on list_has_any(l.g, t.g) where 2.0::double * len(list_intersect(l.g, t.g)) / (len(l.g) + len(t.g)) >= 0.8
