@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from testimony.operators import duplicates, reads
 from testimony.plans.queries import SQL, World, query
+from testimony.sources import vocabulary
 
 _POSTS = "select p_partkey as post_id, 1 + p_partkey % 3 as event_id, cast(date_add(date '1995-01-01', cast(p_partkey * 7 % 900 as int)) as timestamp) as posted_at, p_name as text from part"
 _CLAIMS = "select o_orderkey as claim_id, o_orderkey as id, 1 + o_custkey % 4 as event_id, o_orderdate as first_seen_at, case when o_custkey % 3 = 0 then lower(o_orderpriority) end as kind, case when o_orderpriority not like '5%' then o_orderpriority end as theme_id, case when o_orderkey % 9 > 0 then o_orderdate end as superseded_at, case o_orderstatus when 'F' then 'supported' when 'O' then 'overstated' else 'unsupported' end as support from orders"
@@ -199,3 +200,47 @@ def duplicate_persons(spark, sf):
     arcs = w.lineitem.join(w.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("person_id"), item, F.col("o_orderdate").cast("timestamp").alias("at"))
     found = duplicates.duplicate_persons(people, arcs, w.lineitem.select(item, F.col("l_suppkey").alias("place_id")))
     return found.select("block", "size", F.array_join(F.transform("members", lambda x: F.concat(x.full_name, F.lit("/"), x.id.cast("string"))), ",").alias("members"))
+
+
+_TREE = """select cast(r_regionkey as string) as old_id, cast(null as string) as parent_old_id, r_name as canonical, 'estado' as type from region
+  union all select 'n' || n_nationkey, cast(n_regionkey as string), n_name, 'parroquia' from nation
+  union all select 's' || s_suppkey, 'n' || s_nationkey, 'Casa ' || s_suppkey % 7, case when s_suppkey % 2 = 0 then 'edificio' else 'sector' end from supplier"""
+
+
+def _loaded(spark, sf):
+    w = World(spark, sf)
+    tree = w.spark.sql(_TREE.replace("from region", "from {region}").replace("from nation", "from {nation}").replace("from supplier", "from {supplier}"), region=w.region, nation=w.nation, supplier=w.supplier)
+    name = F.struct(F.concat(F.lit("N "), F.col("canonical")).alias("name"), F.when(F.col("type") == "sector", "odd").otherwise("official").alias("kind"), F.lit("raw").alias("emission"))
+    nodes = tree.withColumn("names", F.array(name, name))
+    places = w.region.where("r_regionkey < 2").select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.lit(1).alias("event_id"), F.lit(None).cast("string").alias("parent_id"), F.lower("r_name").alias("canonical_name"), F.lit("estado").alias("type"))
+    names = places.where("id = 'R0'").select(F.col("id").alias("place_id"), F.concat(F.lit("n  "), "canonical_name").alias("name"), F.lit("official").alias("kind"), F.lit("raw").alias("emission"))
+    return vocabulary.load_gazetteer(nodes, 1, places, names)
+
+
+_LOADED = """with s as (select distinct s_nationkey, 'Casa ' || s_suppkey % 7 as name, case when s_suppkey % 2 = 0 then 'edificio' else 'sector' end as type from supplier),
+made as (select r_name as canonical_name, 'estado' as type, '' as parent from region where r_regionkey >= 2 union all select n_name, 'parroquia', r_name from nation join region on r_regionkey = n_regionkey
+  union all select name, type, n_name from s join nation on n_nationkey = s_nationkey)"""
+
+
+@query(f"{_LOADED} select * from made")
+def load_gazetteer(spark, sf):
+    new, _, _ = _loaded(spark, sf)
+    above = new.select(F.col("id").alias("parent_id"), F.col("canonical_name").alias("parent"))
+    held = World(spark, sf).region.where("r_regionkey < 2").select(F.concat(F.lit("R"), "r_regionkey").alias("parent_id"), F.col("r_name").alias("parent"))
+    return new.join(above.union(held), "parent_id", "left").select("canonical_name", "type", F.coalesce("parent", F.lit("")).alias("parent"))
+
+
+@query(f"{_LOADED}, nodes as (select (select count(*) from region) + (select count(*) from nation) + (select count(*) from supplier) as n) select (select count(*) from made) as created, n - (select count(*) from made) as reused, (select count(*) from made) + 1 as names from nodes")
+def load_counts(spark, sf):
+    return _loaded(spark, sf)[2]
+
+
+@query("""with rules as (select p_name as name, min('rule ' || p_brand || ' Not to be confused with: ' || p_type) as applies_when from part where p_partkey % 2 = 0 group by 1)
+select name, applies_when, 'red bolt' as parent from rules where name not like 'small%' and name <> 'red bolt'""")
+def load_taxonomy(spark, sf):
+    w = World(spark, sf)
+    none = F.lit(None).cast("string")
+    themes = w.part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), F.lit("red bolt").alias("parent"), F.lit("happening").alias("nature"), none.alias("definition"), F.concat(F.lit("rule "), "p_brand").alias("applies_when"), F.col("p_type").alias("not_to_be_confused_with"))
+    known = w.part.where("p_name like 'small%' or p_name = 'red bolt'").select(F.col("p_name").alias("id"), F.lit(1).alias("event_id"), F.col("p_name").alias("name")).distinct()
+    new, _ = vocabulary.load_taxonomy(themes, 1, known)
+    return new.select("name", "applies_when", F.col("parent_id").alias("parent"))

@@ -30,21 +30,6 @@ def skip_held(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
     return rows.join(held.select(key).distinct(), key, "left_anti")
 
 
-def load_taxonomy(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """New themes of a JSON file; names already there are left alone. The rule text carries what it is confused with."""
-    themes = spark.read.option("multiLine", True).json(path).select(F.explode("themes").alias("t")).select("t.*")
-    rule = F.concat("applies_when", F.coalesce(F.concat(F.lit(" Not to be confused with: "), F.col("not_confused_with")), F.lit("")))
-    return themes.withColumn("applies_when", rule).join(known.select("name"), "name", "left_anti")
-
-
-def load_gazetteer(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """New places of a JSON node list: nodes whose (folded name, type, parent) is not known yet."""
-    nodes = spark.read.option("multiLine", True).json(path).select(F.explode("nodes").alias("n")).select("n.*")
-    nodes = nodes.withColumns({"_f": T.fold(F.col("canonical")), "_t": T.fold(F.col("type"))})
-    held = known.select(T.fold(F.col("canonical")).alias("_f"), T.fold(F.col("type")).alias("_t"), F.col("parent_old_id").alias("_p"))
-    return nodes.join(held, (nodes["_f"] == held["_f"]) & (nodes["_t"] == held["_t"]) & nodes["parent_old_id"].eqNullSafe(held["_p"]), "left_anti").drop("_f", "_t")
-
-
 def write_report(queues: DataFrame, path: str) -> None:
     queues.write.mode("overwrite").partitionBy("event_id", "kind").parquet(path)
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from testimony.operators import beats, duplicates
-from testimony.sources import corpus
+from testimony.sources import corpus, vocabulary
 
 
 def test_payloads(spark):
@@ -16,12 +16,38 @@ def test_payloads(spark):
 
 def test_vocabularies_are_topped_up(spark, tmp_path):
     themes, nodes = tmp_path / "themes.json", tmp_path / "nodes.json"
-    themes.write_text(json.dumps({"themes": [{"name": "rescate", "applies_when": "a", "not_confused_with": "b"}, {"name": "colapso", "applies_when": "c", "not_confused_with": None}, {"name": "held", "applies_when": "d"}]}))
-    new = corpus.load_taxonomy(spark, str(themes), spark.createDataFrame([("held",)], "name string"))
-    assert {r.name: r.applies_when for r in new.collect()} == {"rescate": "a Not to be confused with: b", "colapso": "c"}
-    nodes.write_text(json.dumps({"nodes": [{"canonical": "Los Corales", "type": "sector", "parent_old_id": 1}, {"canonical": "Los Córales", "type": "Sector", "parent_old_id": 2}, {"canonical": "Caribe", "type": "sector", "parent_old_id": None}]}))
-    known = spark.createDataFrame([("LOS CORALES", "sector", 2), ("caribe", "sector", None)], "canonical string, type string, parent_old_id long")
-    assert [r.canonical for r in corpus.load_gazetteer(spark, str(nodes), known).collect()] == ["Los Corales"]
+    themes.write_text(json.dumps({"themes": [
+        {"name": "rescate", "applies_when": "a", "not_to_be_confused_with": "b", "parent": "hub", "nature": "happening"}, {"name": "colapso", "applies_when": "c", "not_to_be_confused_with": None, "parent": "held"},
+        {"name": "held", "applies_when": "d"}, {"name": "hub", "applies_when": "e"}, {"name": "hub", "applies_when": "e"},
+    ]}))
+    known = spark.createDataFrame([(7, 1, "held"), (8, 2, "hub")], "id long, event_id long, name string")
+    new, counts = vocabulary.load_taxonomy(vocabulary.read_themes(spark, str(themes)), 1, known)
+    got = {r.name: r for r in new.collect()}
+    assert {n: r.applies_when for n, r in got.items()} == {"rescate": "a Not to be confused with: b", "colapso": "c", "hub": "e"} and counts.first()[:] == (3, 2)
+    assert got["rescate"].parent_id == got["hub"].id and got["colapso"].parent_id == "7" and got["hub"].parent_id is None
+    again = vocabulary.load_taxonomy(vocabulary.read_themes(spark, str(themes)), 1, known.unionByName(new.select("id", "event_id", "name").withColumn("id", F.lit(9))))
+    assert again[0].count() == 0 and again[1].first()[:] == (0, 5)
+
+
+def test_gazetteers_are_loaded_parents_first(spark, tmp_path):
+    path = tmp_path / "nodes.json"
+    name = lambda n, k=None, e=None: {"name": n, "kind": k, "emission": e}
+    path.write_text(json.dumps({"nodes": [
+        {"old_id": "c", "parent_old_id": "b", "canonical": "Los Corales", "type": "sector", "names": [name("Corales", "alias", "raw"), name("CORALES", "alias", "raw"), name("Córales", "odd", "odd")]},
+        {"old_id": "b", "parent_old_id": "a", "canonical": "Caraballeda", "type": "parroquia", "names": []}, {"old_id": "a", "parent_old_id": None, "canonical": "La Guaira", "type": "estado", "names": [name("Vargas", "historical", "anchored")]},
+        {"old_id": "d", "parent_old_id": "b", "canonical": "los  corales", "type": "sector", "names": [name("corales", "alias", "raw"), name("LC", "acronym", "raw")]}, {"old_id": "e", "parent_old_id": "zz", "canonical": "Caribe", "type": "sector", "names": None},
+        {"old_id": "x", "parent_old_id": "y", "canonical": "loop", "type": "sector"}, {"old_id": "y", "parent_old_id": "x", "canonical": "loop", "type": "sector"},
+    ]}))
+    places = spark.createDataFrame([(1, 1, None, "la guaira", "estado"), (2, 2, None, "Caribe", "sector"), (3, 1, 1, "Caribe", "sector")], "id long, event_id long, parent_id long, canonical_name string, type string")
+    names = spark.createDataFrame([(1, "vargas", "historical", "anchored")], "place_id long, name string, kind string, emission string")
+    new, added, counts = vocabulary.load_gazetteer(vocabulary.read_nodes(spark, str(path)), 1, places, names)
+    got = {r.canonical_name: r for r in new.collect()}
+    assert set(got) == {"Caraballeda", "Los Corales", "Caribe"} and counts.first()[:] == (3, 2, 3)
+    assert got["Caraballeda"].parent_id == "1" and got["Los Corales"].parent_id == got["Caraballeda"].id and got["Caribe"].parent_id is None
+    assert {(r.name, r.kind, r.emission) for r in added.collect()} == {("CORALES", "alias", "raw"), ("Córales", "alias", "recognition_only"), ("LC", "acronym", "raw")}
+    held = places.selectExpr("cast(id as string) id", "event_id", "cast(parent_id as string) parent_id", "canonical_name", "type").unionByName(new.select("id", F.col("event_id").cast("long").alias("event_id"), "parent_id", "canonical_name", "type"))
+    every = names.withColumn("place_id", F.col("place_id").cast("string")).unionByName(added)
+    assert vocabulary.load_gazetteer(vocabulary.read_nodes(spark, str(path)), 1, held, every)[2].first()[:] == (0, 5, 0)
 
 
 def test_report_and_residue_are_written(spark, tmp_path):
