@@ -132,19 +132,20 @@ def person_context_edges(persons: DataFrame, arcs: DataFrame, claim_places: Data
 
     arcs: person_id, claim_id, at. Places and times are separate tests: any shared place, any two times.
     """
-    at_place = arcs.join(claim_places.select("claim_id", "place_id"), "claim_id").select("person_id", "place_id").distinct()
-    p = settle(persons.select("id", "event_id", "inserted_at", T.name_keys(F.col("full_name")).alias("w")))
+    at_place = arcs.join(claim_places.select("claim_id", "place_id"), "claim_id").select(F.col("person_id").alias("id"), "place_id").distinct()
+    p = settle(persons.select("id", "event_id", "inserted_at", F.array_distinct(T.name_keys(F.col("full_name"))).alias("w")))
+    word = p.select("id", F.explode("w").alias("word"))
+    long = word.where(F.length("word") >= 4)
+    alike = settle(S.alike(long.select(F.col("word").alias("a")), word.select(F.col("word").alias("b")), 0.86).toDF("u", "v", "_s").drop("_s"))
+    # People of a place meet on words that are alike, the elder's of four letters or more, so a place of many is no key by itself.
+    said = settle(at_place.join(p, "id").select("id", "event_id", "place_id", "inserted_at", F.explode("w").alias("word")))
+    elder = said.where(F.length("word") >= 4).select(F.col("id").alias("a"), "event_id", "place_id", F.col("inserted_at").alias("_a"), F.col("word").alias("u"))
+    younger = said.select(F.col("id").alias("b"), "event_id", "place_id", F.col("inserted_at").alias("_b"), F.col("word").alias("v"))
+    met = elder.join(broadcast_if_small(alike), "u").join(younger, ["event_id", "place_id", "v"]).where(F.struct("_a", "a") < F.struct("_b", "b")).select("a", "b").distinct()
     times = arcs.groupBy(F.col("person_id").alias("id")).agg(F.array_sort(F.collect_set("at")).alias("times"))
-    p = p.join(times, "id")
-    pairs = at_place.select(F.col("person_id").alias("x"), "place_id").join(at_place.select(F.col("person_id").alias("y"), "place_id"), "place_id").where("x < y").select("x", "y").distinct()
-    side = lambda n, k: p.select(*[F.col(c).alias(f"{c}_{n}") for c in p.columns]).withColumnRenamed(f"id_{n}", k)
-    both = pairs.join(side("x", "x"), "x").join(side("y", "y"), "y").where("event_id_x = event_id_y")
-    near = F.exists("times_x", lambda a: F.exists("times_y", lambda b: F.abs(F.unix_seconds(a) - F.unix_seconds(b)) < (PERSON_HOURS + 1) * 3600))
-    first = F.struct("inserted_at_x", "x") < F.struct("inserted_at_y", "y")
-    both = both.where(near).select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), F.when(first, F.col("w_x")).otherwise(F.col("w_y")).alias("wa"), F.when(first, F.col("w_y")).otherwise(F.col("w_x")).alias("wb"))
-    words = both.select("a", "b", F.explode(F.filter("wa", lambda w: F.length(w) >= 4)).alias("u"), "wb").select("a", "b", "u", F.explode("wb").alias("v"))
-    alike = words.select("u", "v").distinct().where(S.jaro(F.col("u"), F.col("v")) >= 0.86)
-    return words.join(alike, ["u", "v"], "left_semi").select("a", "b").distinct()
+    both = met.join(times.toDF("a", "ta"), "a").join(times.toDF("b", "tb"), "b")
+    near = F.exists("ta", lambda x: F.exists("tb", lambda y: F.abs(F.unix_seconds(x) - F.unix_seconds(y)) < (PERSON_HOURS + 1) * 3600))
+    return both.where(near).select("a", "b")
 
 
 def duplicate_persons(persons: DataFrame, arcs: DataFrame, claim_places: DataFrame) -> DataFrame:
