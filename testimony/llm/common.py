@@ -113,31 +113,110 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(found: Words, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words: every 8 bytes go through ``mix`` in turn, so words of up to 8 bytes and of one length never collide."""
+    starts, sizes = found.starts, found.sizes
+    words = mix(sizes.astype(np.uint64) + np.uint64(seed % (1 << 32)) * _K)
+    for k in range(0, min(int(sizes.max(initial=0)), LONG_WORD), 8):
+        at = np.flatnonzero(sizes > k) if k else slice(None)
+        words[at] = mix(words[at] * _K ^ piece(found.eight, starts[at], sizes[at], k))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        made = hashlib.blake2b(found.bytes_of(i), digest_size=8, salt=(seed % (1 << 32)).to_bytes(8, "little"))
+        words[i] = int.from_bytes(made.digest(), "little")
+    return words
+
+
+def eights(joined: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number."""
+    return np.ndarray((len(joined) - 7,), "<u8", joined.tobytes(), 0, (1,))
+
+
+def piece(eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Bytes k to k + 8 of words longer than k; what lies beyond a word is 0."""
+    rest = np.minimum(sizes - k, 8).astype(np.uint64)
+    return eight[starts + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
+
+
 def hashed_words(texts: list[bytes], fold: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and where each text's words end.
 
     ``fold`` hashes A-Z as a-z. Every 8 bytes of a word go through ``mix`` in turn, so words of up to 8 bytes
     and of one length never collide, and others only by chance, which ``seed`` draws anew.
     """
-    joined = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, np.uint8)
+    found = split_words(texts, _SPACE, fold)
+    return word_hashes(found, seed), found.ends
+
+
+class Words:
+    """Words of several texts: ``joined`` bytes, where words start in it and their sizes, and where each text's words end."""
+
+    def __init__(self, joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray):
+        self.joined, self.starts, self.sizes, self.ends = joined, starts, sizes, ends
+        self.eight = eights(joined)
+
+    def bytes_of(self, i: int) -> bytes:
+        return self.joined[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()
+
+    def same(self, at: np.ndarray, other: Words, to: np.ndarray) -> np.ndarray:
+        """Whether the words ``at`` are, byte for byte, the words ``to`` of ``other``."""
+        ok = self.sizes[at] == other.sizes[to]
+        for k in range(0, int(self.sizes[at].max(initial=0)), 8):
+            go = np.flatnonzero(ok & (self.sizes[at] > k))
+            if not len(go):
+                break
+            a, b = at[go], to[go]
+            ok[go] = piece(self.eight, self.starts[a], self.sizes[a], k) == piece(other.eight, other.starts[b], other.sizes[b], k)
+        return ok
+
+
+def split_words(texts: list[bytes], stops: np.ndarray, fold: bool = False, glue: bytes = b" ") -> Words:
+    """The words between stops, a table of the 256 bytes; ``glue`` is a stop and stands between texts."""
+    joined = np.frombuffer(glue + glue.join(texts) + glue * 9, np.uint8)
     if fold:
         joined = _FOLD[joined]
-    space = _SPACE[joined]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    stop = stops[joined]
+    edge = np.flatnonzero(stop[1:] != stop[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    sizes = ends - starts
-    eight = np.ndarray((len(joined) - 7,), "<u8", joined.tobytes(), 0, (1,))
-    words = mix(sizes.astype(np.uint64) + np.uint64(seed % (1 << 32)) * _K)
-    for k in range(0, min(int(sizes.max(initial=0)), LONG_WORD), 8):
-        at = np.flatnonzero(sizes > k) if k else slice(None)
-        rest = np.minimum(sizes[at] - k, 8).astype(np.uint64)
-        part = eight[starts[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
-        words[at] = mix(words[at] * _K ^ part)
-    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
-        made = hashlib.blake2b(joined[starts[i] : ends[i]].tobytes(), digest_size=8, salt=(seed % (1 << 32)).to_bytes(8, "little"))
-        words[i] = int.from_bytes(made.digest(), "little")
     length = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 1
-    return words, np.searchsorted(starts, np.cumsum(length) + 1, "left") if len(texts) else np.zeros(0, np.int64)
+    return Words(joined, starts, ends - starts, np.searchsorted(starts, np.cumsum(length) + 1, "left") if len(texts) else np.zeros(0, np.int64))
+
+
+def stop_bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    """A table of the 256 bytes in which those of the ranges, ends included, are set."""
+    out = np.zeros(256, bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+class Vocabulary:
+    """Numbers 0, 1, ... of given words, looked up for all words of many texts at once and confirmed byte for byte."""
+
+    def __init__(self, words: list[bytes], stops: np.ndarray):
+        # Each is a text of one word, so words and texts have the same numbers.
+        self.words, self.stops, self.seed = split_words(words, stops), stops, 0
+        if len(self.words.starts) != len(words):
+            raise ValueError("a vocabulary holds single words")
+        while len(np.unique(hashed := word_hashes(self.words, self.seed))) < len(words):
+            self.seed += 1
+        self.order = np.argsort(hashed)
+        self.hashed = hashed[self.order]
+        self.first = np.zeros(1 << 16, bool)
+        self.first[(hashed & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def number(self, found: Words) -> np.ndarray:
+        """The number of each word, -1 for others."""
+        out = np.full(len(found.starts), -1, np.int64)
+        if not len(self.hashed) or not len(out):
+            return out
+        hashed = word_hashes(found, self.seed)
+        at = np.flatnonzero(self.first[(hashed & np.uint64(0xFFFF)).astype(np.int64)])
+        to = np.minimum(np.searchsorted(self.hashed, hashed[at]), len(self.hashed) - 1)
+        hit = self.hashed[to] == hashed[at]
+        at, to = at[hit], self.order[to[hit]]
+        ok = found.same(at, self.words, to)
+        out[at[ok]] = to[ok]
+        return out
 
 
 def runs_of(texts: list[bytes]) -> Iterator[tuple[int, int]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from testimony.llm import decontamination, embeddings, licences, minhash, mixing, quality, sharding, substrings, urls, warc
+from testimony.llm import decontamination, embeddings, licences, minhash, mixing, quality, ranking, sharding, substrings, urls, warc
 from testimony.llm.common import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -57,7 +57,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_lines", F.round("best", 6).alias("best"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_embedding_dedup, op4_warc, op5_sharding, op6_quality, op7_minhash, op8_url_filter, op9_decontamination, op10_licences)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_embedding_dedup, op4_warc, op5_sharding, op6_quality, op7_minhash, op8_url_filter, op9_decontamination, op10_licences, op11_ranked_search)}
 
 
 def _quoted(text: str) -> str:
@@ -163,6 +167,31 @@ from words w left join covered c on w.id = c.id left join named m on w.id = m.id
 """
 
 
+_OP11 = rf"""
+with words(id, ws, kind) as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), 'd' from documents
+  union all
+  select item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), 'i' from benchmark
+),
+wanted as (select distinct id as item, unnest(ws) as term from words where kind = 'i'),
+docs as (select row_number() over () as k, id, ws, len(ws)::bigint as n from words where kind = 'd' and len(ws) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as length from docs),
+tfs as (
+  select k, term, count(*)::bigint as tf from (select k, unnest(ws) as term from docs) where term in (select term from wanted) group by k, term
+),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tfs, total group by term, docs),
+measured as (select k, id, 10 + (90 * n * docs) // length as m from docs, total),
+scores as (
+  select item, k, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from wanted join tfs using (term) join weights using (term) join measured using (k) group by item, k
+),
+ranked as (
+  select item, id, score, row_number() over (partition by item order by score desc, id) as r from scores join measured using (k) where score > 0
+)
+select item as item_id, r::int as rank, id as doc_id, score from ranked where r <= 10
+"""
+
+
 def _op10() -> str:
     gram = r"list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
     split = rf"regexp_extract_all({_LOWER.format('line')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -191,4 +220,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": _OP8,
         "op9_decontamination": _OP9,
         "op10_licences": _op10(),
+        "op11_ranked_search": _OP11,
     }
