@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from testimony.llm import decontamination, embeddings, licences, minhash, mixing, quality, ranking, sharding, substrings, urls, warc
+from testimony.llm import decontamination, embeddings, licences, minhash, mixing, quality, ranking, search, sharding, substrings, urls, warc
 from testimony.llm.common import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -61,7 +61,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_embedding_dedup, op4_warc, op5_sharding, op6_quality, op7_minhash, op8_url_filter, op9_decontamination, op10_licences, op11_ranked_search)}
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_products(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_embedding_dedup, op4_warc, op5_sharding, op6_quality, op7_minhash, op8_url_filter, op9_decontamination, op10_licences, op11_ranked_search, op13_top_products)}
 
 
 def _quoted(text: str) -> str:
@@ -192,6 +196,18 @@ select item as item_id, r::int as rank, id as doc_id, score from ranked where r
 """
 
 
+_OP13 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings),
+ok as (select vec_id, e from v where e is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scores as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from ok q join ok c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+)
+select query_id, r::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scores) where r <= 5
+"""
+
+
 def _op10() -> str:
     gram = r"list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
     split = rf"regexp_extract_all({_LOWER.format('line')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -221,4 +237,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": _OP9,
         "op10_licences": _op10(),
         "op11_ranked_search": _OP11,
+        "op13_top_products": _OP13,
     }
