@@ -116,7 +116,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(found: Words, seed: int = 0) -> np.ndarray:
     """64-bit hashes of words: every 8 bytes go through ``mix`` in turn, so words of up to 8 bytes and of one length never collide."""
     starts, sizes = found.starts, found.sizes
-    words = mix(sizes.astype(np.uint64) + np.uint64(seed % (1 << 32)) * _K)
+    words = mix(sizes.astype(np.uint64) + np.uint64(seed % (1 << 32) * int(_K) % (1 << 64)))
     for k in range(0, min(int(sizes.max(initial=0)), LONG_WORD), 8):
         at = np.flatnonzero(sizes > k) if k else slice(None)
         words[at] = mix(words[at] * _K ^ piece(found.eight, starts[at], sizes[at], k))

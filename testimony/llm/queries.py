@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from testimony.llm import decontamination, embeddings, licences, minhash, mixing, quality, ranking, search, sharding, substrings, urls, warc
+from testimony.llm import decontamination, embeddings, licences, minhash, mixing, phrases, quality, ranking, search, sharding, substrings, urls, warc
 from testimony.llm.common import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -61,11 +61,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_products(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_embedding_dedup, op4_warc, op5_sharding, op6_quality, op7_minhash, op8_url_filter, op9_decontamination, op10_licences, op11_ranked_search, op13_top_products)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_embedding_dedup, op4_warc, op5_sharding, op6_quality, op7_minhash, op8_url_filter, op9_decontamination, op10_licences, op11_ranked_search, op12_collocations, op13_top_products)}
 
 
 def _quoted(text: str) -> str:
@@ -196,6 +200,47 @@ select item as item_id, r::int as rank, id as doc_id, score from ranked where r
 """
 
 
+_OP12 = rf"""
+with pieces as (
+  select lang, k, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws
+  from (
+    select coalesce(lang, 'und') as lang, row_number() over () as k, piece
+    from (select lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece from documents)
+  )
+),
+total as (select lang, sum(len(ws))::bigint as n from pieces group by lang),
+counts as (
+  select lang, size, words, count(*)::bigint as f
+  from (
+    select lang, size, ws[p:p + size - 1] as words
+    from (select lang, ws, size, unnest(range(1, len(ws) - size + 2)) as p from pieces, (select unnest([1, 2, 3, 4]) as size) where len(ws) >= size)
+  )
+  group by lang, size, words
+),
+cands as (select * from counts where size > 1 and f >= 30),
+around as (
+  select lang, words, max(f) as most
+  from (select lang, words[1:size - 1] as words, f from cands where size > 2 union all select lang, words[2:size] as words, f from cands where size > 2
+        union all select lang, words[2:3] as words, f from cands where size = 4 union all select lang, words[1:2] as words, f from cands where size = 4
+        union all select lang, words[3:4] as words, f from cands where size = 4)
+  group by lang, words
+),
+kept as (select c.lang, c.size, c.words, c.f as a from cands c left join around o on c.lang = o.lang and c.words = o.words where most is null or 100::hugeint * most < 80::hugeint * c.f),
+cuts as (
+  select k.lang, k.words, a, k, x.f as l, y.f as r, ((2000000::hugeint * a) // (x.f + y.f))::bigint as score
+  from (select *, unnest(range(1, size)) as k from kept) k
+  join counts x on x.lang = k.lang and x.words = k.words[1:k.k]
+  join counts y on y.lang = k.lang and y.words = k.words[k.k + 1:k.size]
+),
+best as (select lang, words, a, l, r, score from (select *, row_number() over (partition by lang, words order by score, k) as i from cuts) where i = 1),
+ranked as (
+  select lang, array_to_string(words, ' ') as phrase, a, l, r, score,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(words, ' ')) as rank
+  from best
+)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
+"""
+
 _OP13 = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings),
 ok as (select vec_id, e from v where e is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
@@ -237,5 +282,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": _OP9,
         "op10_licences": _op10(),
         "op11_ranked_search": _OP11,
+        "op12_collocations": _OP12,
         "op13_top_products": _OP13,
     }
