@@ -1,6 +1,6 @@
 """Phrases by bidirectional word indexes, and collocations among them.
 
-Texts are cut into pieces and words. A task numbers the words of about ``shard_words`` words of one language and keeps their Burrows-Wheeler
+Texts are cut into pieces and words. A task numbers the words of about ``shard_bytes`` of texts of one language and keeps their Burrows-Wheeler
 transform forwards and backwards, sorted as deep as the longest phrase. A phrase is a range of rows of either; one step widens all phrases of a length by every word that
 follows them (or stands before them), which gives the counts of the phrases one longer and their ranges in both directions. Counts are summed
 across shards after each step, and only phrases whose parts are frequent over all shards are widened further; a bitmap of bounded size tells most of the others, and
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from testimony.llm.common import Bitmap, bitmap_of, broadcast_if_small, mix, runs_of, settle, split_words, stop_bytes, text_slices, word_hashes
+from testimony.llm.common import Bitmap, bitmap_of, broadcast_if_small, mix, settle, split_words, stop_bytes, text_slices, word_hashes
 
-#: Words of one index, about; a longer text is one index.
-SHARD_WORDS = 500_000
+#: Bytes of the texts of one index, about; a longer text is an index of its own.
+SHARD_BYTES = 4 << 20
 #: Bits of a bitmap at most: 64 MB.
 MAP_BITS = 29
 #: Languages are ranked in so many parts before they are ranked whole.
@@ -37,14 +37,30 @@ _SCHEMA = pa.schema([("lang", pa.string()), ("clash", pa.bool_()), ("hashes", pa
 # --- indexes --------------------------------------------------------------------------------------
 
 
+def sorted_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of whole numbers from 0, equal ones by place, and the places in that order where a new pair begins."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (first, second)] + [len(first).bit_length()]
+    if sum(bits) < 64:
+        # One sort of plain numbers that hold pair and place.
+        code = np.sort((first.astype(np.int64) << (bits[1] + bits[2])) | (second.astype(np.int64) << bits[2]) | np.arange(len(first)))
+        pair = code >> bits[2]
+        return code & ((1 << bits[2]) - 1), np.append(True, pair[1:] != pair[:-1])[: len(first)]
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(first)]
+
+
 def transform(text: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each suffix, suffixes sorted by their first ``depth`` symbols (rounded up to a power of two)."""
-    rank, step = text.astype(np.int64), 1
+    rank, step = text, 1
+    order = np.argsort(text, kind="stable") if depth < 2 else None
     while step < depth:
-        after = np.append(rank[step:], np.zeros(min(step, len(rank)), np.int64))
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1]
+        after = np.append(rank[step:], np.zeros(min(step, len(rank)), rank.dtype))
+        order, new = sorted_pairs(rank, after)
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.cumsum(new)
         step *= 2
-    return text[np.argsort(rank, kind="stable") - 1].astype(np.int32)
+    return text[order - 1].astype(np.int32)
 
 
 def spread(columns: list[np.ndarray]) -> np.ndarray:
@@ -55,83 +71,60 @@ def spread(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class Piece:
-    """Words of some texts of one language: their hashes, and where a new piece begins."""
-
-    def __init__(self, texts: list[bytes], seed: int):
-        self.words = split_words(texts, _STOPS, fold=True, glue=b"\n")
-        self.hashed = word_hashes(self.words, seed)
-        breaks = np.cumsum(_BREAKS[self.words.joined])
-        starts = self.words.starts
-        self.new = np.append(True, breaks[starts[1:]] != breaks[starts[:-1] + self.words.sizes[:-1] - 1]) if len(starts) else np.zeros(0, bool)
-        self.distinct, self.first, self.inverse = np.unique(self.hashed, return_index=True, return_inverse=True)
-        self.clash = not self.words.same(np.arange(len(starts)), self.words, self.first[self.inverse]).all()
-
-    def names(self) -> list[bytes]:
-        return [self.words.bytes_of(i) for i in self.first.tolist()]
-
-
-def index(lang: str | None, pieces: list[tuple[np.ndarray, np.ndarray, dict[int, bytes], bool]], depth: int) -> pa.RecordBatch:
-    """The index of (hashes, new pieces, names by hash, clash) of several runs of texts."""
-    hashed, new = (np.concatenate([p[k] for p in pieces]) for k in (0, 1))
-    names: dict[int, bytes] = {}
-    clash = any(p[3] for p in pieces)
-    for p in pieces:
-        for h, name in p[2].items():
-            clash |= names.setdefault(h, name) != name
-    distinct, number = np.unique(hashed, return_inverse=True)
+def index(lang: str, texts: list[bytes], seed: int, depth: int) -> pa.RecordBatch | None:
+    """The index of some texts of one language; none if they have no words."""
+    words = split_words(texts, _STOPS, fold=True, glue=b"\n")
+    if not len(words.starts):
+        return None
+    salt = int.from_bytes(hashlib.blake2b(f"{seed} {lang}".encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
+    distinct, first, number = np.unique(word_hashes(words, salt), return_index=True, return_inverse=True)
+    clash = not words.same(np.arange(len(number)), words, first[number]).all()
+    breaks = np.cumsum(_BREAKS[words.joined], dtype=np.int32)
+    new = np.append(True, breaks[words.starts[1:]] != breaks[words.starts[:-1]])
     # 0 stands between pieces, at the start and at the end.
-    at = np.arange(len(hashed)) + np.cumsum(new)
-    text = np.zeros(len(hashed) + int(new.sum()) + 1, np.int32)
-    text[at] = number + 1
-    row = [lang, clash, distinct.tobytes(), [names[h] for h in distinct.tolist()], transform(text, depth).tobytes(), transform(text[::-1], depth).tobytes()]
+    text = np.zeros(len(number) + int(new.sum()) + 1, np.int32)
+    text[np.arange(len(number)) + np.cumsum(new)] = number + 1
+    row = [lang, clash, distinct.tobytes(), [words.bytes_of(i) for i in first.tolist()], transform(text, depth).tobytes(), transform(text[::-1], depth).tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _indexed(seed: int, depth: int, shard_words: int):
+def _indexed(seed: int, depth: int, shard_bytes: int):
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, list] = defaultdict(list)
-        size: dict[str | None, int] = defaultdict(int)
+        held: dict[str, list[bytes]] = defaultdict(list)
+        size: dict[str, int] = defaultdict(int)
+
+        def made(lang: str) -> Iterator[pa.RecordBatch]:
+            del size[lang]
+            if (row := index(lang, held.pop(lang), seed, depth)) is not None:
+                yield row
+
         for batch in batches:
             langs, at = batch.column(0).to_pylist(), 0
             for texts in text_slices(batch.column(1)):
-                by: dict[str | None, list[bytes]] = defaultdict(list)
                 for lang, text in zip(langs[at : at + len(texts)], texts, strict=True):
-                    by[lang].append(text or b"")
+                    held[lang].append(text)
+                    size[lang] += len(text)
+                    if size[lang] >= shard_bytes:
+                        yield from made(lang)
                 at += len(texts)
-                for lang, own in by.items():
-                    salt = int.from_bytes(hashlib.blake2b(f"{seed} {lang}".encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
-                    for a, b in runs_of(own):
-                        p = Piece(own[a:b], salt)
-                        if not len(p.hashed):
-                            continue
-                        held[lang].append((p.hashed, p.new, dict(zip(p.distinct.tolist(), p.names(), strict=True)), p.clash))
-                        size[lang] += len(p.hashed)
-                        if size[lang] >= shard_words:
-                            yield index(lang, held.pop(lang), depth)
-                            del size[lang]
                 # Many languages: the largest goes first, so that no task holds more than a few shards.
-                while sum(size.values()) > 4 * shard_words:
-                    lang = max(size, key=size.get)
-                    yield index(lang, held.pop(lang), depth)
-                    del size[lang]
-        for lang, pieces in held.items():
-            yield index(lang, pieces, depth)
+                while sum(size.values()) > 4 * shard_bytes:
+                    yield from made(max(size, key=size.get))
+        for lang in list(held):
+            yield from made(lang)
 
     return indexed
 
 
 class Direction:
-    """One transform, with the rank of a row among the rows of its symbol."""
+    """One transform, and where the suffix that is one symbol longer stands for each row."""
 
     def __init__(self, symbols: np.ndarray, many: int):
         self.symbols, self.starts = symbols, np.append(0, np.cumsum(np.bincount(symbols, minlength=many)))
-        order = np.argsort(symbols, kind="stable")
-        self.key = symbols[order].astype(np.int64) * (len(symbols) + 1) + order
-
-    def row(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where the rows of ``symbol`` with the row ``at`` and later ones begin."""
-        return np.searchsorted(self.key, symbol.astype(np.int64) * (len(self.symbols) + 1) + at)
+        bits = len(symbols).bit_length()
+        order = np.sort((symbols.astype(np.int64) << bits) | np.arange(len(symbols))) & ((1 << bits) - 1)
+        self.longer = np.empty(len(symbols), np.int64)
+        self.longer[order] = np.arange(len(symbols))
 
 
 class Phrases:
@@ -156,37 +149,38 @@ class Shard:
         starts = self.forward.starts
         return Phrases([number], starts[number], starts[number], starts[number + 1] - starts[number])
 
-    def widen(self, phrases: Phrases, right: bool) -> Phrases:
-        """All phrases one word longer at the right (or left), with their ranges in both directions.
+    def widen(self, phrases: Phrases, right: bool, known: Bitmap) -> Phrases:
+        """Phrases one word longer at the right (or left), with their ranges in both directions: all of which the part without the old far word is known.
 
-        The rows of a phrase in the backward index hold the words after it. Those of one word are a phrase; where they begin among the rows of the word gives
-        their place backwards, and how many rows of the phrase hold lesser words gives it forwards. To the left the two change roles.
+        The rows of a phrase in the backward index hold the words after it. Those of one word are a phrase: the first of them tells where it begins
+        backwards, and how many rows of the phrase hold lesser words tells it forwards. To the left the two change roles.
         """
         own, other = (phrases.backward, phrases.forward) if right else (phrases.forward, phrases.backward)
         index = self.backward if right else self.forward
         ends = np.cumsum(phrases.count)
+        begin = ends - phrases.count
         owner = np.repeat(np.arange(len(own)), phrases.count)
-        rows = np.arange(len(owner)) + (own - (ends - phrases.count))[owner]
-        code = np.sort(owner * len(self.hashes) + index.symbols[rows])
-        at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-        count = np.diff(np.append(at, len(code)))
-        owner, word = code[at] // len(self.hashes), code[at] % len(self.hashes)
-        real = word > 0
-        owner, word, count, at = owner[real], word[real], count[real], at[real]
-        mine, its = index.row(word, own[owner]), other[owner] + at - (ends - phrases.count)[owner]
-        kept = [w[owner] for w in phrases.words]
-        return Phrases([*kept, word] if right else [word, *kept], *((its, mine) if right else (mine, its)), count)
+        rows = np.arange(len(owner)) + (own - begin)[owner]
+        order, new = sorted_pairs(owner, index.symbols[rows])
+        at = np.flatnonzero(new)
+        count, first = np.diff(np.append(at, len(owner))), rows[order[at]]
+        owner, word = owner[order[at]], index.symbols[first]
+        real = np.flatnonzero(word > 0)
+        kept = [w[owner[real]] for w in phrases.words]
+        kept = [*kept, word[real]] if right else [word[real], *kept]
+        ok = known.has(spread([self.hashes[w] for w in (kept[1:] if right else kept[:-1])]))
+        real, kept = real[ok], [w[ok] for w in kept]
+        mine, its = index.longer[first[real]], other[owner[real]] + at[real] - begin[owner[real]]
+        return Phrases(kept, *((its, mine) if right else (mine, its)), count[real])
 
 
 def frequent_phrases(shard: Shard, maps: list[Bitmap]) -> Phrases:
     """Phrases of len(maps) + 1 words of which every part of n words is in the n-th map: words are widened to the right, pairs to the left, and so on in turn."""
     found = shard.words()
     for n, known in enumerate(maps, 1):
-        # A part of n words of the next length's phrases: the phrase itself, and the one without its far word.
+        # Parts of n words of phrases one longer: the phrase itself, and the one without its far word.
         found = found.only(known.has(spread([shard.hashes[w] for w in found.words])))
-        found = shard.widen(found, n % 2 == 1)
-        part = found.words[1:] if n % 2 == 1 else found.words[:-1]
-        found = found.only(known.has(spread([shard.hashes[w] for w in part])))
+        found = shard.widen(found, n % 2 == 1, known)
     return found
 
 
@@ -222,7 +216,7 @@ def _spread_col(names: list[str]):
 
 
 def mine_phrases(
-    docs: DataFrame, *, longest: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS, seed: int = 0
+    docs: DataFrame, *, longest: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES, seed: int = 0
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, totals) of all texts.
 
@@ -231,7 +225,7 @@ def mine_phrases(
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     while True:
-        shards = settle(texts.mapInArrow(_indexed(seed, longest, shard_words), _INDEX))
+        shards = settle(texts.mapInArrow(_indexed(seed, longest, shard_bytes), _INDEX))
         every = settle(shards.mapInArrow(_counted_words, "lang string, w1 long, word string, f long").groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")))
         alike = every.groupBy("w1").count().where("count > 1")
         if shards.where("clash").isEmpty() and alike.isEmpty():
@@ -259,7 +253,7 @@ def _exact(c: str | Column, times: int) -> Column:
 
 
 def collocations(
-    docs: DataFrame, *, longest: int = 4, least: int = 30, share: int = 80, top: int = 2_000, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS
+    docs: DataFrame, *, longest: int = 4, least: int = 30, share: int = 80, top: int = 2_000, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """The ``top`` collocations of each language: lang, rank (from 1), phrase, a, l, r, n, score.
 
@@ -271,7 +265,7 @@ def collocations(
     Null and empty texts have no words; repeated rows count each. Very long texts are read whole, and make one index each. No documents: an empty result.
     Other columns are ignored, whatever their names.
     """
-    words, phrases, totals = mine_phrases(docs, longest=longest, least=least, lang_col=lang_col, text_col=text_col, shard_words=shard_words)
+    words, phrases, totals = mine_phrases(docs, longest=longest, least=least, lang_col=lang_col, text_col=text_col, shard_bytes=shard_bytes)
     longer = phrases.where("size > 2")
     # A candidate's share in phrases of more words is at most its share in those of one word more.
     around = longer.select(F.explode(F.array(F.expr("slice(key, 1, size - 1)"), F.expr("slice(key, 2, size - 1)"))).alias("key"), "f")
