@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from testimony.llm.common import Bitmap, bitmap_of, broadcast_if_small, mix, settle, split_words, stop_bytes, text_slices, word_hashes
 
 #: Bytes of the texts of one index, about; a longer text is an index of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of a bitmap at most: 64 MB.
 MAP_BITS = 29
 #: Languages are ranked in so many parts before they are ranked whole.
@@ -140,7 +140,7 @@ class Phrases:
 class Shard:
     """An index in both directions. Words have numbers from 1; 0 stands between pieces."""
 
-    def __init__(self, hashes: bytes, forward: bytes, backward: bytes):
+    def __init__(self, hashes: pa.Buffer, forward: pa.Buffer, backward: pa.Buffer):
         self.hashes = np.append(np.uint64(0), np.frombuffer(hashes, np.uint64))
         self.forward, self.backward = (Direction(np.frombuffer(x, np.int32), len(self.hashes)) for x in (forward, backward))
 
@@ -186,20 +186,33 @@ def frequent_phrases(shard: Shard, maps: list[Bitmap]) -> Phrases:
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, _, hashes, names, forward, _ in zip(*(c.to_pylist() if c.type != pa.list_(pa.binary()) else c for c in batch.columns), strict=True):
-            word = np.frombuffer(hashes, np.int64)
-            n = np.bincount(np.frombuffer(forward, np.int32), minlength=len(word) + 1)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), pa.array(word), names.values.cast(pa.string()), pa.array(n)], names=["lang", "w1", "word", "f"])
+        for i, lang in enumerate(batch.column("lang").to_pylist()):
+            word = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.int64)
+            n = np.bincount(np.frombuffer(batch.column("forward")[i].as_buffer(), np.int32), minlength=len(word) + 1)[1:]
+            columns = [pa.array([lang] * len(word), pa.string()), pa.array(word), batch.column("names")[i].values.cast(pa.string()), pa.array(n)]
+            yield from _in_parts(columns, ["lang", "w1", "word", "f"])
+
+
+#: Rows of a batch that is sent back.
+_SENT_ROWS = 20_000
+
+
+def _in_parts(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for i in range(0, len(whole), _SENT_ROWS):
+        yield whole.slice(i, _SENT_ROWS)
 
 
 def _counted(maps: list[Bitmap]):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for hashes, forward, backward in zip(*(batch.column(c).to_pylist() for c in ("hashes", "forward", "backward")), strict=True):
-                shard = Shard(hashes, forward, backward)
+            for i in range(len(batch)):
+                shard = Shard(*(batch.column(c)[i].as_buffer() for c in ("hashes", "forward", "backward")))
                 found = frequent_phrases(shard, maps)
                 columns = [pa.array(shard.hashes[w].view(np.int64)) for w in found.words]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found.count)], names=[*[f"w{i + 1}" for i in range(len(columns))], "f"])
+                columns.append(pa.array(found.count))
+                del shard, found
+                yield from _in_parts(columns, [*[f"w{k + 1}" for k in range(len(columns) - 1)], "f"])
 
     return counted
 
@@ -226,7 +239,7 @@ def mine_phrases(
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     while True:
         shards = settle(texts.mapInArrow(_indexed(seed, longest, shard_bytes), _INDEX))
-        every = settle(shards.mapInArrow(_counted_words, "lang string, w1 long, word string, f long").groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")))
+        every = settle(shards.select("lang", "hashes", "names", "forward").mapInArrow(_counted_words, "lang string, w1 long, word string, f long").groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")))
         alike = every.groupBy("w1").count().where("count > 1")
         if shards.where("clash").isEmpty() and alike.isEmpty():
             break
@@ -239,7 +252,7 @@ def mine_phrases(
         known = tables[-1].select(_spread_col(names[:-1]).alias("h"))
         maps.append(bitmap_of(known, "h", MAP_BITS))
         schema = ", ".join(f"{n} long" for n in [*names, "f"])
-        found = shards.mapInArrow(_counted(list(maps)), schema).groupBy(*names).agg(F.sum("f").alias("f"))
+        found = shards.select("hashes", "forward", "backward").mapInArrow(_counted(list(maps)), schema).groupBy(*names).agg(F.sum("f").alias("f"))
         tables.append(settle(found.where(F.col("f") >= least)))
     phrases = None
     for size, found in enumerate(tables, 1):
