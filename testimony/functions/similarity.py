@@ -5,7 +5,8 @@ Spark has no Jaro. The helpers run on distinct or pruned pairs only, and compare
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
+from testimony.operators.durable import broadcast_if_small, settle
+
 
 def jaro_of(a: str, b: str) -> float:
     """Textbook Jaro: equal strings 1.0, one empty 0.0."""
@@ -137,46 +140,96 @@ def name_closeness(a: Column, b: Column) -> Column:
     return F.greatest(jaro(a, b), jaro(bare(a), bare(b)))
 
 
-# Letters from common to rare; which is which only decides how many strings share a key.
-_COMMON = " eaosnridltcumpbgvyqhfzjñxkw"
-
-
-def _letter_keys(c: Column, least: float) -> Column:
-    """Keys of a string of which any string with Jaro >= ``least`` shares one.
-
-    Jaro >= t asks for at least (3t - 1) |a| |b| / (|a| + |b|) common letters, repeats counted, and for lengths of a ratio of 3t - 2 at
-    least. Letters with their number of repeats, from rare to common, are the members of a set; of two sets that share
-    k members or more, the first n - k + 2 of each share two, which are the key (or one, where so few need be shared).
-    """
-    n = F.length(c)
-    low = F.ceil(n * (3 * least - 2) - 1e-9)
-    shared = F.greatest(F.ceil((3 * least - 1) * n * low / F.greatest(n + low, F.lit(1)) - 1e-9), F.lit(1)).cast("int")
-    rank = lambda x: F.lpad((F.lit(len(_COMMON)) - F.instr(F.lit(_COMMON), x)).cast("string"), 2, "0")
-    turn = lambda all_, x, i: F.size(F.filter(F.slice(all_, 1, i + 1), lambda y: y == x)).cast("string")
-    letters = F.filter(F.split(c, ""), lambda x: x != "")
-    members = _let(letters, lambda all_: F.array_sort(F.transform(all_, lambda x, i: F.concat(rank(x), x, turn(all_, x, i)))))
-    rest = lambda all_, i: F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0)))
-    pairs = lambda all_: F.flatten(F.transform(all_, lambda x, i: F.transform(rest(all_, i), lambda y: F.concat(x, F.lit("|"), y))))
-    two = lambda all_: _let(F.slice(all_, 1, F.greatest(F.least(n, n - shared + 2), F.lit(1))), pairs)
-    single = lambda all_: F.when(shared < 2, F.slice(all_, 1, F.greatest(n - shared + 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return F.when(n == 0, F.array(F.lit(""))).otherwise(_let(members, lambda all_: F.array_distinct(F.concat(two(all_), single(all_)))))
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+# --- the join of similar strings ------------------------------------------------------------------------------
+
+#: Strings of one block on average; every pair of blocks whose lengths allow it is one piece of work.
+BLOCK = 1_024
+#: Letters are counted in so many classes, and up to so many of a class exactly.
+_CLASSES, _LEVELS = 61, 7
+_PAIRS_AT_ONCE = 50_000
+
+
+class Profile:
+    """How often each class of letters occurs in strings. Two strings have no more letters in common than their counts have."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.sizes = texts, np.fromiter(map(len, texts), np.int64, len(texts))
+        letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(texts)), self.sizes)
+        counts = np.bincount(owner * _CLASSES + letters % _CLASSES, minlength=len(texts) * _CLASSES).reshape(-1, _CLASSES)
+        self.bits = (counts[:, :, None] > np.arange(_LEVELS)).reshape(len(texts), -1)
+        self.over = np.maximum(counts - _LEVELS, 0).sum(axis=1)
+
+    def common(self, other: Profile) -> np.ndarray:
+        """At most so many letters are common to each of these strings and each of the others."""
+        used = np.flatnonzero(self.bits.any(axis=0) & other.bits.any(axis=0))
+        shared = self.bits[:, used].astype(np.float32) @ other.bits[:, used].astype(np.float32).T
+        return shared + np.minimum.outer(self.over, other.over) if self.over.any() and other.over.any() else shared
+
+
+def candidates(a: Profile, b: Profile, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may have a Jaro of ``least``: it is at most (m / |a| + m / |b| + 1) / 3 with m common letters."""
+    la, lb = a.sizes[:, None], b.sizes[None, :]
+    fit = a.common(b) * (la + lb) >= (3 * least - 1) * la * lb - 1e-6 * (la * lb + 1)
+    fit &= (np.minimum(la, lb) >= (3 * least - 2) * np.maximum(la, lb) - 1e-9) & ((la > 0) == (lb > 0))
+    return np.nonzero(fit)
+
+
+def _compared(keys: list[str], by: list[str], least: float):
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by block pair and side: the first side of a pair is held, the second passes by."""
+        at, held, own = None, [], None
+        for pdf in batches:
+            change = (pdf[keys] != pdf[keys].shift()).any(axis=1) | (pdf["_side"] != pdf["_side"].shift())
+            starts = np.flatnonzero(change.to_numpy())
+            for i, j in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+                key, texts = tuple(pdf[keys].iloc[i]), pdf["_s"].iloc[i:j].tolist()
+                if key != at:
+                    at, held, own = key, [], None
+                if pdf["_side"].iloc[i] == 0:
+                    held += texts
+                    continue
+                own = own or Profile(held)
+                for k in range(0, len(texts), BLOCK):
+                    other = Profile(texts[k : k + BLOCK])
+                    x, y = candidates(own, other, least)
+                    for c in range(0, len(x), _PAIRS_AT_ONCE):
+                        a, b = ([side.texts[n] for n in z[c : c + _PAIRS_AT_ONCE]] for side, z in ((own, x), (other, y)))
+                        score = jaro_pairs(a, b)
+                        ok = np.flatnonzero(score >= least)
+                        said = {"a": [a[n] for n in ok], "b": [b[n] for n in ok]}
+                        same = {name: [v] * len(ok) for name, v in zip(by, key, strict=False)}
+                        yield pd.DataFrame({**{n: pd.Series(v, dtype=object) for n, v in (same | said).items()}, "score": score[ok]})
+
+    return compared
 
 
 def alike(left: DataFrame, right: DataFrame, least: float, by: Sequence[str] = ()) -> DataFrame:
     """(*by, a, b, score): pairs of strings ``a`` of left and ``b`` of right, equal in ``by``, with Jaro >= ``least``; once each.
 
-    left: *by, a; right: *by, b. Strings meet on letters and lengths that the threshold asks of both, never all with all, and
-    only distinct pairs of strings are compared. Nulls are like nothing; empty strings are like each other.
+    left: *by, a; right: *by, b. Nulls, in ``by`` too, are like nothing; empty strings are like each other.
+
+    Jaro at the bar t asks for lengths of a ratio of 3t - 2 at least, so strings are dealt into bands of length, of which neighbours meet, and bands into blocks of about BLOCK strings.
+    Each pair of blocks is one piece of work, in which letter counts bound the common letters of all pairs in one matrix product; only pairs that the bound allows are compared. The
+    work is known before it begins, and a string is sent once for each block that it meets: strings of 1,000 blocks 1,000 times.
     """
-    one, other = left.select(*by, "a").where("a is not null").distinct(), right.select(*by, "b").where("b is not null").distinct()
+    by = list(by)
+    one, other = left.select(*by, F.col("a").alias("_s")).where("_s is not null").distinct(), right.select(*by, F.col("b").alias("_s")).where("_s is not null").distinct()
     ratio = 3 * least - 2
-    keyed = one.withColumn("_key", F.explode(_letter_keys(F.col("a"), least))).withColumn("_a", F.length("a"))
-    found = other.withColumn("_key", F.explode(_letter_keys(F.col("b"), least))).withColumn("_b", F.length("b"))
-    met = keyed.join(found, [*by, "_key"]).where((F.least("_a", "_b") >= ratio * F.greatest("_a", "_b") - 1e-9)).select(*by, "a", "b").distinct()
-    scored = met.select("a", "b").distinct().withColumn("score", jaro(F.col("a"), F.col("b"))).where(F.col("score") >= least)
-    return (met.join(scored, ["a", "b"]) if by else scored).select(*by, "a", "b", "score")
+    band = F.floor(F.log(F.length("_s").cast("double")) / (1e-9 - math.log(ratio))) if ratio > 0 else F.lit(0)
+    band = F.when(F.length("_s") == 0, -5).otherwise(band).cast("int")
+    one = one.withColumn("_band", band)
+    other = other.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    parts = lambda df, n: df.groupBy(*by, "_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    plan = settle(parts(one, "_m").join(parts(other, "_n"), [*by, "_band"]))
+    pairs = plan.agg(F.coalesce(F.sum(F.col("_m").cast("long") * F.col("_n")), F.lit(0))).first()[0]
+    few = broadcast_if_small(plan)
+    own = lambda n: F.pmod(F.xxhash64("_s"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = one.join(few, [*by, "_band"]).withColumn("_i", own("_m")).withColumn("_j", each("_n")).withColumn("_side", F.lit(0))
+    b = other.join(few, [*by, "_band"]).withColumn("_j", own("_n")).withColumn("_i", each("_m")).withColumn("_side", F.lit(1))
+    keys = [*by, "_band", "_i", "_j"]
+    tasks = max(1, min(pairs, max(pairs // 16, 2 * left.sparkSession.sparkContext.defaultParallelism)))
+    met = a.unionByName(b).select(*keys, "_side", "_s").repartition(tasks, *keys).sortWithinPartitions(*keys, "_side")
+    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in by)
+    return met.mapInPandas(_compared(keys, by, least), f"{kinds}{', ' if by else ''}a string, b string, score double")

@@ -144,14 +144,54 @@ def derive_handle(c: Column) -> Column:
     return F.struct(F.when(reason.isNull(), F.concat(F.get(t, F.lit(0)), F.lit(" "), initial, F.lit("."))).alias("handle"), reason.alias("reason"))
 
 
-_NAME_RUN = r"(\p{Lu}\p{L}+(?:\s+(?:de|del|la|las|los|y|e)\s+\p{Lu}\p{L}+|\s+\p{Lu}\p{L}+)+)"
-_LEADING = r"(?iu)^(?:(?:el|la|los|las|un|una|en|de|del|desde|tras|con|por|para|durante|segun|según|hasta|ante|sobre|entre|al|a)\s+)+"
+# Words that join two names, and words that may lead a name without being of it.
+JOINING_WORDS = ["de", "del", "la", "las", "los", "y", "e"]
+LEADING_WORDS = ["el", "la", "los", "las", "un", "una", "en", "de", "del", "desde", "tras", "con", "por", "para", "durante", "segun", "según", "hasta", "ante", "sobre", "entre", "al", "a"]
+_MARK = "\x01"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def capitalised_runs(c: Column) -> Column:
+    """Runs of two or more capitalised words of two letters or more; between two of them stand spaces, or spaces and one joining word.
+
+    The text is cut into letters, spaces and the rest; each capitalised word is joined to the one before by what stands between, so a run may be of any length.
+    """
+    name = lambda x: x.rlike(r"^\p{Lu}\p{L}+$")
+    # A run may begin inside a word, at its first capital that a letter follows.
+    begins = lambda x: F.regexp_extract(x, r"\p{Lu}\p{L}+", 0)
+
+    def marked(t: Column) -> Column:
+        at = lambda i: F.coalesce(F.when(i >= 0, F.get(t, i)), F.lit(""))
+        space = lambda i: at(i).rlike(r"^\s+$")
+
+        def piece(x: Column, i: Column) -> Column:
+            near = name(x) & space(i - 1) & (begins(at(i - 2)) != "")
+            over = name(x) & space(i - 1) & at(i - 2).isin(JOINING_WORDS) & space(i - 3) & (begins(at(i - 4)) != "")
+            return F.when(near, F.concat(at(i - 1), x)).when(over, F.concat(at(i - 3), at(i - 2), at(i - 1), x)).when(begins(x) != "", F.concat(F.lit(_MARK), begins(x))).otherwise("")
+
+        return F.transform(t, piece)
+
+    tokens = F.regexp_extract_all(c, F.lit(r"\p{L}+|\s+|[^\p{L}\s]+"), F.lit(0))
+    runs = F.split(F.array_join(_let(tokens, marked), ""), _MARK)
+    return F.filter(runs, lambda x: x.rlike(r"\s"))
+
+
+def without_leading(c: Column) -> Column:
+    """A run of words without its leading articles and prepositions; the last word stays."""
+    each = F.regexp_extract_all(c, F.lit(r"\S+\s*"), F.lit(0))
+    first = lambda w: F.array_position(F.transform(w, lambda x: F.lower(F.regexp_extract(x, r"\S+", 0)).isin(LEADING_WORDS)), F.lit(False))
+    rest = lambda w: F.array_join(F.slice(w, F.when(first(w) > 0, first(w)).otherwise(F.size(w)).cast("int"), F.greatest(F.size(w), F.lit(1))), "")
+    return F.when(F.length(c) > 0, _let(each, rest)).otherwise(c)
 
 
 def private_name_candidates(c: Column) -> Column:
     """Capitalised runs of two words or more, lists split, leading articles gone, institutions left out."""
-    parts = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(_NAME_RUN)), lambda x: F.split(x, r"\s+[ye]\s+")))
-    bare = F.transform(parts, lambda x: F.regexp_replace(x, _LEADING, ""))
+    parts = F.flatten(F.transform(capitalised_runs(c), lambda x: F.split(x, r"\s+[ye]\s+")))
+    bare = F.transform(parts, without_leading)
     person = lambda x: (F.size(words(x, r"\s+")) >= 2) & ~_among(F.get(words(fold(x)), F.lit(0)), INSTITUTION_WORDS)
     return F.array_distinct(F.filter(bare, person))
 

@@ -1,6 +1,6 @@
 """Finding places, claims, persons and posts recorded more than once.
 
-Every rule that is an equality becomes a join key, every threshold on strings keys that it implies (``similarity.alike``),
+Every rule that is an equality becomes a join key, strings at a threshold meet block by block under a bound (``similarity.alike``),
 and scores are computed on distinct pairs of strings only. No pair that the rules allow is lost, and none that they refuse is written.
 """
 
@@ -22,11 +22,12 @@ SCOPE_TYPES = ["pais", "estado", "municipio", "parroquia"]
 def close_names(left: DataFrame, right: DataFrame, least: float, by: list[str]) -> DataFrame:
     """(*by, a, b, score) of reduced names of left (*by, a) and right (*by, b), equal in ``by``, whose closeness is at least ``least``."""
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    spaced = S.alike(left, right, least, by).drop("score")
+    spaced = S.alike(left, right, least, by)
     one, other = left.select(*by, "a", bare("a").alias("_x")).distinct(), right.select(*by, "b", bare("b").alias("_y")).distinct()
-    met = S.alike(one.select(*by, F.col("_x").alias("a")), other.select(*by, F.col("_y").alias("b")), least, by).drop("score").toDF(*by, "_x", "_y")
-    closed = met.join(one, [*by, "_x"]).join(other, [*by, "_y"]).select(*by, "a", "b")
-    return spaced.unionByName(closed).distinct().withColumn("score", S.name_closeness(F.col("a"), F.col("b")))
+    met = S.alike(one.select(*by, F.col("_x").alias("a")), other.select(*by, F.col("_y").alias("b")), least, by).toDF(*by, "_x", "_y", "score")
+    closed = met.join(one, [*by, "_x"]).join(other, [*by, "_y"]).select(*by, "a", "b", "score")
+    # The better of the two scores is at the bar if any is.
+    return spaced.unionByName(closed).groupBy(*by, "a", "b").agg(F.max("score").alias("score"))
 
 
 def name_pairs(names: DataFrame, name_col: str, least: float = PLACE_BAR) -> DataFrame:
