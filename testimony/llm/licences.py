@@ -8,6 +8,8 @@ shedding others at its ends. Runs where the texts are read; nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -93,40 +95,58 @@ class Templates:
         before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
         return [(self.names[k], *p) for k in likely.tolist() for p in self._passages(k, self.has[gram, k], before, after)]
 
-    def _passages(self, k: int, hit: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[float, int, int]]:
-        """``hit``: bigrams of template k; ``before`` and ``after``: where each bigram stands last and next."""
+    def _best(self, k: int, i: int, limit: int, hit: np.ndarray, before: np.ndarray, upto: np.ndarray) -> tuple[float, int, int, int] | None:
+        """(-Dice, words, first word, last word) of template k's best window from bigram i that ends before bigram ``limit``; none below ``least``."""
         size, need, most = self.sizes[k], int(self.needs[k]), self.most[k]
+        width = 2 * most + 64
+        if upto[limit] - upto[i] < need:
+            return None
+        while True:
+            end = min(i + width, limit)
+            new = before[i:end] < i
+            own = np.cumsum(new)
+            if end == limit or own[-1] > most:
+                break
+            width *= 2
+        cut = int(np.searchsorted(own, most, "right"))
+        new, own = new[:cut] & hit[i : i + cut], own[:cut]
+        shared = np.cumsum(new)
+        # A best window ends in a bigram of the template that is new in it.
+        at = np.flatnonzero(new)[need - 1 :]
+        if not len(at):
+            return None
+        dice = 2 * shared[at] / (own[at] + size)
+        best = int(dice.argmax())
+        return (-float(dice[best]), int(at[best]) + 1, i, i + int(at[best]) + 1) if dice[best] >= self.least else None
+
+    def _passages(self, k: int, hit: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[float, int, int]]:
+        """``hit``: bigrams of template k; ``before`` and ``after``: where each bigram stands last and next.
+
+        Of each start only the best window is held. If a passage taken before is in its way, the start's best window up to that passage takes its place, which
+        is no better; so the best of all is always on top.
+        """
         upto = np.concatenate(([0], np.cumsum(hit)))
-        found = []
         # A window whose first or last bigram stands in it twice is no better than the one without it.
-        for i in np.flatnonzero(hit).tolist():
-            limit, width = int(after[i]), 2 * most + 64
-            if upto[limit] - upto[i] < need:
-                continue
-            while True:
-                end = min(i + width, limit)
-                new = before[i:end] < i
-                own = np.cumsum(new)
-                if end == limit or own[-1] > most:
-                    break
-                width *= 2
-            new &= hit[i:end]
-            shared = np.cumsum(new)
-            at = np.flatnonzero(new & (shared >= need) & (own <= most))
-            dice = 2 * shared[at] / (own[at] + size)
-            at, dice = at[dice >= self.least], dice[dice >= self.least]
-            if len(at):
-                found.append((dice, np.full(len(at), i), at + i + 1))
+        starts = np.flatnonzero(hit)
+        queue = [w for i in starts[upto[after[starts]] - upto[starts] >= self.needs[k]].tolist() if (w := self._best(k, i, int(after[i]), hit, before, upto))]
+        heapq.heapify(queue)
+        taken: list[tuple[int, int]] = []
         passages = []
-        if found:
-            dice, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((first, last - first, -dice))
-            dice, first, last = dice[order], first[order], last[order]
-            while len(dice):
-                a, b = int(first[0]), int(last[0])
-                passages.append((float(dice[0]), a, b))
-                apart = (first > b) | (last < a)
-                dice, first, last = dice[apart], first[apart], last[apart]
+        while queue:
+            dice, _, first, last = heapq.heappop(queue)
+            at = bisect.bisect_left(taken, (first, -1))
+            if at and taken[at - 1][1] >= first:
+                continue
+            wall = taken[at][0] if at < len(taken) else len(hit) + 1
+            if first >= wall:
+                continue
+            if last >= wall:
+                # The last word of a window is the one after its last bigram.
+                if (w := self._best(k, first, min(int(after[first]), wall - 1), hit, before, upto)) is not None:
+                    heapq.heappush(queue, w)
+                continue
+            passages.append((-dice, first, last))
+            bisect.insort(taken, (first, last))
         return passages
 
 
