@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from testimony.functions import text as T
+from testimony.operators.durable import settle
 
 #: Pieces that one request may spend.
 CAP = 22
@@ -36,7 +37,7 @@ def decompose_search(searches: DataFrame, scope: DataFrame, names: DataFrame, te
     searches: search_id, window_start, window_end, slice_seconds, result_mode. scope: search_id, place_id.
     names: place_id, name, emission. terms: search_id, term. closure: ancestor, descendant, depth.
     types: id, type. Raw names go in chunks; each anchored name goes with the raw names of its
-    ancestors, nearest first, of any type but 'pais'; without such it is not asked.
+    ancestors, nearest first, of any type but 'pais' (folded; none is another type); without such it is not asked.
     """
     listed = terms.groupBy("search_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     base = searches.join(listed, "search_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
@@ -46,7 +47,7 @@ def decompose_search(searches: DataFrame, scope: DataFrame, names: DataFrame, te
     raw = name_chunks(raw, ["search_id", "place_id"], "name", F.col("_cost"), cap)
     none = F.array().cast("array<string>")
     raw = raw.groupBy("search_id", "place_id", "chunk").agg(F.array_sort(F.collect_list("name")).alias("names")).select("search_id", "place_id", "names", none.alias("qualifiers"))
-    up = closure.where("depth > 0").join(types.where("type <> 'pais'").select(F.col("id").alias("ancestor")), "ancestor")
+    up = closure.where("depth > 0").join(types.where(F.coalesce(T.fold(F.col("type")), F.lit("")) != "pais").select(F.col("id").alias("ancestor")), "ancestor")
     up = up.join(names.where("emission = 'raw'").select(F.col("place_id").alias("ancestor"), F.col("name").alias("q")), "ancestor")
     chain = up.groupBy(F.col("descendant").alias("place_id")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("depth", "q"))), lambda x: x.q)).alias("qualifiers"))
     anchored = places.join(names.where("emission = 'anchored'").select("place_id", "name").distinct(), "place_id").join(chain, "place_id")
@@ -62,6 +63,19 @@ def reject_known(specs: DataFrame, known: DataFrame, keys: list[str]) -> DataFra
     return specs.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
 
 
+def extend_search(searches: DataFrame, scope: DataFrame, names: DataFrame, terms: DataFrame, closure: DataFrame, types: DataFrame, now: Column, held: DataFrame, cap: int = CAP) -> dict[str, DataFrame]:
+    """What a search that was widened asks beyond the queries that it holds: tables queries, query_names and query_terms.
+
+    The other arguments are the search as it is now, with the places, terms and windows added (``decompose_search``); held: search_id, query_text. Only texts that are not
+    held come, once each, with their bridges to names and terms; held queries stay as they are. So places and windows added one after the other give the plan of all at once, and so
+    does asking twice. A new term changes the texts of its search: they are asked beside those held.
+    """
+    plan = decompose_search(searches, scope, names, terms, closure, types, now, cap)
+    new = settle(reject_known(plan, held, ["search_id", "query_text"]))
+    bridge = lambda c, name: new.select("search_id", "query_text", F.explode(c).alias(name)).distinct()
+    return {"queries": new.drop("names", "terms"), "query_names": bridge("names", "name"), "query_terms": bridge("terms", "term")}
+
+
 def query_state(queries: DataFrame) -> DataFrame:
     """``state`` from timestamps and search_status, first rule that holds."""
     state = (

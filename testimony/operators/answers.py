@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from testimony.functions import text as T
 from testimony.operators.durable import broadcast_if_small, settle
@@ -16,6 +20,47 @@ SCHEMA = (
 )
 
 
+def infer_batches(prompts: DataFrame, infer: Callable[[list[str]], list[str]], key: list[str], prompt_col: str = "prompt", batch_size: int = 16, calls_per_task: int = 8, held: DataFrame | None = None) -> DataFrame:
+    """``prompts`` with ``answer`` and ``refused``: what the caller's function says to each prompt, in batches.
+
+    ``infer`` takes and gives a list of texts in order; it is called in Python workers with at most ``batch_size`` prompts. A batch whose call fails, or gives another number of answers, is refused
+    as a whole with the reason, and the others go on. Null prompts are refused without a call; a null answer is refused too. Rows are given back one for one, repeated keys too.
+
+    Prompts are dealt by their key into tasks of about ``calls_per_task`` calls and sorted, so a task that is run again makes the same batches, and the result
+    is settled: a lost executor pays again for the calls of its open tasks, never for finished ones, nor does anyone who reads the result twice. ``held``: rows (key, answer) of an earlier run; what they
+    answer is not asked again. No prompts: no rows, no calls.
+    """
+    kind = T_.StructType([*prompts.schema.fields, T_.StructField("answer", T_.StringType()), T_.StructField("refused", T_.StringType())])
+    asked = prompts
+    if held is not None:
+        asked = prompts.join(held.where("answer is not null").select(*key).distinct(), key, "left_anti")
+        known = prompts.join(held.where("answer is not null").select(*key, "answer").dropDuplicates(key), key).withColumn("refused", F.lit(None).cast("string")).select(*kind.names)
+
+    def one_call(texts: list[str]) -> tuple[list, str | None]:
+        try:
+            said = list(infer(texts))
+        except Exception as error:  # noqa: BLE001  (whatever a model's client raises is the reason of the refusal)
+            return [None] * len(texts), f"failed: {type(error).__name__}: {error}"[:500]
+        return (said, None) if len(said) == len(texts) else ([None] * len(texts), f"failed: {len(said)} answers to {len(texts)} prompts")
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), batch_size):
+                part = batch.slice(i, batch_size)
+                texts = part.column(prompt_col).to_pylist()
+                some = [k for k, t in enumerate(texts) if t is not None]
+                answer, refused = [None] * len(texts), ["no prompt"] * len(texts)
+                said, why = one_call([texts[k] for k in some]) if some else ([], None)
+                for k, a in zip(some, said, strict=True):
+                    answer[k], refused[k] = None if a is None else str(a), why or ("no answer" if a is None else None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(answer, pa.string()), pa.array(refused, pa.string())], names=[*part.schema.names, "answer", "refused"])
+
+    asked = settle(asked)
+    tasks = max(1, -(-asked.count() // (batch_size * calls_per_task)))
+    made = settle(asked.repartition(tasks, *key).sortWithinPartitions(*key, prompt_col).mapInArrow(answered, kind))
+    return made if held is None else made.unionByName(known)
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Answers (batch, answer) with ``parsed`` and ``status``: ok, missing_claims or invalid. Code fences are dropped."""
     bare = T.strip_fence(F.col("answer"))

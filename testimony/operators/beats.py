@@ -102,11 +102,56 @@ def clause_runs(ordered: DataFrame, by: list[str], place: str, position: str = "
     return joined.drop("_c", "_range", *starts.columns)
 
 
-def render_beat(clauses: DataFrame) -> DataFrame:
-    """One row of prose from clauses (position, place_name, text, cite_ns): runs of a place in one sentence."""
-    marked = F.concat("text", F.array_join(F.transform("cite_ns", lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), ""))
-    runs = clause_runs(clauses.withColumn("_t", marked), [], "place_name").groupBy("run").agg(F.first("place_name").alias("place"), F.array_sort(F.collect_list(F.struct("position", "_t"))).alias("cs"))
+def order_beats(claims: DataFrame, links: DataFrame, closure: DataFrame, asked: DataFrame) -> DataFrame:
+    """Claims of many beats with their beat, anchor and position from 1: as ``beat_order`` for each of ``asked`` (beat, root, start, end; ends included).
+
+    claims: claim_id, first_seen_at and more. links: claim_id, place_id. A claim is in every beat that it belongs to, once. Numbers are given by ranges over all beats together.
+    """
+    depths = closure.groupBy(F.col("descendant").alias("place_id")).agg(F.max("depth").alias("_depth"))
+    wanted = broadcast_if_small(asked)
+    beneath = closure.select(F.col("ancestor").alias("root"), F.col("descendant").alias("place_id")).join(wanted.select("beat", "root"), "root").join(depths, "place_id")
+    # A place is beneath few roots, so links grow by the depth of the tree at most.
+    inside = links.select("claim_id", "place_id").join(broadcast_if_small(settle(beneath.select("beat", "place_id", "_depth"))), "place_id")
+    anchors = inside.groupBy("beat", "claim_id").agg(F.min(F.struct((-F.col("_depth")).alias("d"), F.col("place_id").alias("p"))).alias("_a")).select("beat", "claim_id", F.col("_a.p").alias("anchor"))
+    when = F.col("first_seen_at").between(F.col("start").cast("timestamp"), F.col("end").cast("timestamp"))
+    placed = settle(claims.join(anchors, "claim_id").join(wanted.select("beat", "start", "end"), "beat").where(when).drop("start", "end"))
+    firsts = placed.groupBy("beat", "anchor").agg(F.min(F.struct("first_seen_at", "claim_id")).alias("_first"))
+    rows = placed.join(broadcast_if_small(firsts), ["beat", "anchor"])
+    return _from_one(numbered(rows, ["beat", "_first", "anchor", "first_seen_at", "claim_id"], "position"), ["beat"], "position").drop("_first")
+
+
+def _from_one(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with the running number ``name`` begun anew for each ``by``."""
+    rows = settle(rows)
+    starts = rows.groupBy(*by).agg(F.min(name).alias("_least"))
+    return rows.join(broadcast_if_small(starts), by).withColumn(name, F.col(name) - F.col("_least") + 1).drop("_least")
+
+
+def beat_sources(ordered: DataFrame, citations: DataFrame) -> DataFrame:
+    """(beat, claim_id, post_id, ord, n): citations (claim_id, post_id, ord) of each beat numbered from 1 in the order of its claims; a post cited by two claims has two numbers."""
+    cited = ordered.select("beat", "claim_id", "position").join(citations.select("claim_id", "post_id", "ord"), "claim_id")
+    return _from_one(numbered(cited, ["beat", "position", "ord", "post_id"], "n"), ["beat"], "n").select("beat", "claim_id", "post_id", "ord", "n")
+
+
+def beat_sentences(clauses: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, run, sentence) of clauses (*by, position, place_name, text, cite_ns): clauses of one place in a row are one sentence. A null text says nothing but its marks."""
+    marked = F.concat(F.coalesce("text", F.lit("")), F.array_join(F.transform(F.coalesce("cite_ns", F.array().cast("array<long>")), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), ""))
+    runs = clause_runs(clauses.withColumn("_t", marked), by, "place_name").groupBy(*by, "run").agg(F.first("place_name").alias("place"), F.array_sort(F.collect_list(F.struct("position", "_t"))).alias("cs"))
     body = F.concat(F.coalesce(F.concat(F.lit("En "), "place", F.lit(", ")), F.lit("")), F.array_join(F.transform("cs", lambda c: c["_t"]), "; "))
-    sentence = F.concat(F.upper(F.left(body, F.lit(1))), F.expr("substring(body, 2)"), F.lit("."))
-    sentences = runs.withColumn("body", body).withColumn("sentence", sentence)
-    return sentences.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "sentence"))), lambda s: s.sentence), " ").alias("prose"))
+    sentence = F.concat(F.upper(F.left("body", F.lit(1))), F.expr("substring(body, 2)"), F.lit("."))
+    return runs.withColumn("body", body).select(*by, "run", sentence.alias("sentence"))
+
+
+def render_beats(clauses: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, clauses, prose): the prose of each beat, from clauses (*by, position, place_name, text, cite_ns).
+
+    Sentences are made first, one row each, so a long beat is gathered in parts; its prose is one value. Beats without clauses have no row.
+    """
+    said = clauses.groupBy(*by).agg(F.count("*").alias("clauses")) if by else clauses.agg(F.count("*").alias("clauses"))
+    sentences = beat_sentences(clauses, by).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "sentence"))), lambda s: s.sentence), " ").alias("prose"))
+    return said.join(sentences, by) if by else said.crossJoin(sentences)
+
+
+def render_beat(clauses: DataFrame) -> DataFrame:
+    """One row of prose from the clauses (position, place_name, text, cite_ns) of one beat."""
+    return render_beats(clauses, []).select("prose")

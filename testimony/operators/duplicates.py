@@ -15,6 +15,7 @@ from testimony.operators import graphs
 from testimony.operators.durable import broadcast_if_small, settle
 
 PLACE_BAR, SUBJECT_BAR, PERSON_BAR, PEOPLE_BAR = 0.92, 0.82, 0.88, 0.92
+POSITION_BAR = 0.9
 CLAIM_HOURS, PERSON_HOURS = 36, 24
 SCOPE_TYPES = ["pais", "estado", "municipio", "parroquia"]
 
@@ -170,6 +171,32 @@ def position_matches(pairs: DataFrame, persons: DataFrame) -> DataFrame:
     return both.where(S.same_by_position(F.col("wa"), F.col("wb"))).select("a", "b")
 
 
+def position_blocks(blocks: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled, residue): pairs (block, a, b), a < b, of blocks (block, id) that the position of their names settles, and the members (block, id) in no such pair.
+
+    persons: id, full_name. Two settled names have alike first words, and either the word after it in one is like a later word of the other or all later words
+    joined are alike. These are the keys that members meet on, so a block is never paired with itself whole. One-word, blank and null names, and members who are no persons, are residue.
+    """
+    w = persons.select("id", T.name_keys(F.col("full_name")).alias("w")).where("size(w) > 1")
+    rest = F.expr("slice(w, 2, size(w) - 1)")
+    named = settle(blocks.select("block", "id").distinct().join(w, "id").select("block", "id", F.get("w", F.lit(0)).alias("first"), rest.alias("rest"), F.array_join(rest, "").alias("joined")))
+    near = lambda c, d: S.alike(named.select("block", F.col(c).alias("a")), d.withColumnRenamed(d.columns[1], "b"), POSITION_BAR, ["block"]).drop("score")
+    each = named.select("block", F.explode("rest").alias("word")).distinct()
+    firsts = settle(near("first", named.select("block", "first")).toDF("block", "first", "like"))
+    second = named.withColumn("second", F.get("rest", F.lit(0)))
+    words = S.alike(second.select("block", F.col("second").alias("a")), each.withColumnRenamed("word", "b"), POSITION_BAR, ["block"]).drop("score").toDF("block", "second", "word")
+    wholes = near("joined", named.select("block", "joined")).toDF("block", "joined", "whole")
+    by_word = second.select("block", F.col("id").alias("a"), "first", "second").join(firsts, ["block", "first"]).join(words, ["block", "second"]).select("block", "a", "like", "word")
+    by_word = by_word.join(named.select("block", F.col("id").alias("b"), F.col("first").alias("like"), F.explode(F.array_distinct("rest")).alias("word")), ["block", "like", "word"])
+    by_whole = named.select("block", F.col("id").alias("a"), "first", "joined").join(firsts, ["block", "first"]).join(wholes, ["block", "joined"]).select("block", "a", "like", "whole")
+    by_whole = by_whole.join(named.select("block", F.col("id").alias("b"), F.col("first").alias("like"), F.col("joined").alias("whole")), ["block", "like", "whole"])
+    met = by_word.select("block", "a", "b").unionByName(by_whole.select("block", "a", "b")).where("a <> b").select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = met.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
+    settled = settle(both.where(S.same_by_position(F.col("wa"), F.col("wb"))).select("block", "a", "b"))
+    paired = settled.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
+    return settled, blocks.select("block", "id").distinct().join(paired, ["block", "id"], "left_anti")
+
+
 def exact_posts(posts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, first_id, copies) of posts equal after cleaning; empty texts are left alone."""
     text = T.clean_post_text(F.col(text_col))

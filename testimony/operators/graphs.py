@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from testimony.operators.durable import settle
 
+
 def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph given as links; component is the least node reachable.
 
@@ -48,13 +49,20 @@ def standalone_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def neighbourhoods(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(block, members): each node with its direct neighbours, equal sets once, sets inside a larger one dropped.
 
-    Containment is tested on shared members, so only sets that meet are compared.
+    A set can only be inside sets that hold its rarest member, so each set asks those alone: a node that all share is nobody's rarest, and sets that meet in it
+    only are never compared. What is asked is settled by counting shared members, which come one row each.
     """
     both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = both.union(both.select("v", "u"))
     sets = both.groupBy("u").agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("v"), F.array(F.first("u"))))).alias("members"))
     sets = settle(sets.groupBy("members").agg(F.min("u").alias("block")).withColumn("n", F.size("members")))
-    member = sets.select("block", "n", F.explode("members").alias("m"))
-    other = member.select(F.col("block").alias("_block"), F.col("n").alias("_n"), "m")
-    inside = member.join(other, "m").where("n < _n").groupBy("block", "n", "_block").agg(F.count("*").alias("k")).where("k = n").select("block").distinct()
+    member = settle(sets.select("block", "n", F.explode("members").alias("m")))
+    often = member.groupBy("m").agg(F.count("*").alias("often")).where("often > 1")
+    known = member.join(often, "m", "left").groupBy("block", "n").agg(F.min(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "m")).alias("r"))
+    # A member that no other set has keeps its set out of all others.
+    asks = known.where("r.often > 1").select("block", "n", F.col("r.m").alias("m"))
+    other = member.toDF("_block", "_n", "m")
+    asked = asks.join(other, "m").where("n < _n").select("block", "n", "_block")
+    met = asked.join(member.select("block", "m"), "block").join(other.select("_block", "m"), ["_block", "m"])
+    inside = met.groupBy("block", "n", "_block").agg(F.count("*").alias("k")).where("k = n").select("block").distinct()
     return sets.join(inside, "block", "left_anti").select("block", "members")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -284,8 +286,25 @@ def fold_places(spark, sf):
 # --- answers ----------------------------------------------------------------------------------------
 
 
-def _answered(w: World):
-    """One answer a batch of 25 documents, as JSON: a claim, a topic, a misplaced topic, an unknown theme, or nothing."""
+def _said(prompts: list[str]) -> list[str]:
+    """Stands for a model: to a prompt of documents as JSON, the answer that ``_answered`` builds."""
+    out = []
+    for prompt in prompts:
+        claims, topics = [], []
+        for d in json.loads(prompt):
+            i, source, lang = d["doc_id"], d.get("source"), d.get("lang")
+            theme = source if i % 4 == 0 else (lang or "").upper() or None if i % 4 == 2 else "nobody knows"
+            if i % 4 in (0, 2) or i % 8 == 7:
+                said = f"#id: {i}" if i % 4 == 2 else f"id {i}"
+                claims.append({"theme": theme, "kind": "zz", "subject_role": f"post {i}, Ana", "names": ["Ana"], "confidence": "0.5 or so", "citations": [said]})
+            elif i % 4 == 1:
+                topics.append({"topic": lang, "citations": [str(i)]})
+        out.append("```json\n" + json.dumps({"claims": claims, "topics": topics}) + "\n```")
+    return out
+
+
+def _answered(w: World, asked: bool = False):
+    """One answer a batch of 25 documents, as JSON: a claim, a topic, a misplaced topic, an unknown theme, or nothing. ``asked``: by a model that is called."""
     i = F.col("doc_id")
     said = F.concat(F.when(i % 4 == 2, "#id: ").otherwise("id "), i.cast("string"))
     theme = F.when(i % 4 == 0, F.col("source")).when(i % 4 == 2, F.upper("lang")).otherwise("nobody knows")
@@ -295,6 +314,9 @@ def _answered(w: World):
     docs = w.documents.withColumn("batch", F.floor(i / 25))
     body = F.to_json(F.struct(F.collect_list(claim).alias("claims"), F.collect_list(topic).alias("topics")))
     told = docs.groupBy(F.lit(1).alias("event_id"), "batch").agg(F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("answer"))
+    if asked:
+        prompts = docs.groupBy(F.lit(1).alias("event_id"), "batch").agg(F.to_json(F.collect_list(F.struct("doc_id", "source", "lang"))).alias("prompt"))
+        told = answers.infer_batches(prompts, _said, ["event_id", "batch"]).where("refused is null").select("event_id", "batch", "answer")
     posts = docs.select("batch", i.cast("string").alias("x_id"), i.alias("post_id"), (F.timestamp_seconds(i * 60)).alias("posted_at"))
     named = lambda c, nature: w.documents.where(F.col(c).isNotNull()).select(F.lit(1).alias("event_id"), F.concat(F.lit(nature), F.lit(":"), c).alias("id"), F.col(c).alias("name"), F.lit(nature).alias("nature"), F.lit("active").alias("lifecycle")).distinct()
     themes = named("source", "happening").unionByName(named("lang", "topic"))
@@ -308,6 +330,12 @@ def ingest_answers(spark, sf):
     return claims.select("subject", "outcome", "theme_id", "confidence", F.unix_seconds("first_seen_at").alias("seen"))
 
 
+@query(SQL["ingest_answers"])
+def infer_batches(spark, sf):
+    claims = _answered(World(spark, sf), asked=True)[1]["claims"]
+    return claims.select("subject", "outcome", "theme_id", "confidence", F.unix_seconds("first_seen_at").alias("seen"))
+
+
 @query("""select doc_id // 25 as batch, count(*) as posts, count(*) filter (doc_id % 4 = 0 and source is not null) as cited, count(*) filter (doc_id % 4 in (1, 2) and lang is not null) as judged,
   count(*) filter (doc_id % 4 = 3 or (doc_id % 4 = 0 and source is null) or (doc_id % 4 = 2 and lang is null)) as silent, count(*) filter (doc_id % 4 = 1 and lang is null) as unread from documents group by 1""")
 def post_accounting(spark, sf):

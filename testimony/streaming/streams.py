@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
-from testimony.operators.durable import shared_path
+from testimony.operators.durable import settle, shared_path
 
 
 def stream_posts(posts: DataFrame, at: str, keys: list[str], late: str = "1 day") -> DataFrame:
@@ -76,6 +77,41 @@ def late_posts(rows: DataFrame, at: str, keep: str, late: str, delay_seconds: in
     rows.writeStream.foreachBatch(take).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
 
 
+def posts_for_ever(posts: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 16) -> None:
+    """Run a stream to its end by batches and keep under ``out`` the first post of each key, for good: however late it is found again, it changes nothing.
+
+    What a batch adds is its posts, once a key by ``order``, that no earlier batch has stored. It is written under the batch's number, so a batch that is run again after a
+    failure, even one in the middle of its writing, replaces what it wrote and looks at earlier batches only. Stored keys lie in buckets by their hash; a batch reads the keys of the
+    buckets that it touches. Start it again with the same ``out`` to go on: offsets lie beside it. Null keys are keys. Read the result with ``stored_posts``.
+    """
+    spark = posts.sparkSession
+    kind = T_.StructType([*posts.schema.fields, T_.StructField("bucket", T_.IntegerType())])
+
+    def take(batch: DataFrame, n: int) -> None:
+        rank = Window.partitionBy(*keys).orderBy(*order)
+        mine = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        mine = settle(mine.withColumn("_k", F.row_number().over(rank)).where("_k = 1").drop("_k"))
+        touched = [r.bucket for r in mine.select("bucket").distinct().collect()]
+        stored = _stored(spark, out, kind).where((F.col("batch") < n) & F.col("bucket").isin(touched)).select(*[F.col(k).alias(f"_{k}") for k in keys]) if n else None
+        if stored is not None:
+            same = F.lit(True)
+            for k in keys:
+                same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+            mine = mine.join(stored, same, "left_anti")
+        mine.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/posts/batch={n}")
+
+    posts.writeStream.foreachBatch(take).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+
+
+def _stored(spark, out: str, kind: T_.StructType) -> DataFrame:
+    return spark.read.schema(T_.StructType([*kind.fields, T_.StructField("batch", T_.LongType())])).option("basePath", f"{out}/posts").parquet(f"{out}/posts")
+
+
+def stored_posts(posts: DataFrame, out: str) -> DataFrame:
+    """The posts that ``posts_for_ever`` has kept under ``out``, with the columns of ``posts``."""
+    return _stored(posts.sparkSession, out, T_.StructType([*posts.schema.fields, T_.StructField("bucket", T_.IntegerType())])).select(*posts.columns)
+
+
 def recounted_slices(kept: DataFrame, late_rows: DataFrame, at: str, seconds: int, anchor: str) -> DataFrame:
     """(slice_start, n): the slices that late rows fall in, counted again over all rows kept."""
     touched = touched_slices(late_rows, at, seconds, anchor)
