@@ -41,26 +41,36 @@ def fit_pivots(sample: np.ndarray, most: int, rounds: int = ROUNDS) -> np.ndarra
         return zero
     centre = sample[np.linspace(0, len(sample) - 1, few).astype(int)]
     for _ in range(rounds):
-        own = (np.square(centre).sum(axis=1) - 2 * sample @ centre.T).argmin(axis=1)
+        own = distances(sample, centre).argmin(axis=1)
         n = np.bincount(own, minlength=len(centre))
         total = np.zeros_like(centre)
         np.add.at(total, own, sample)
+        # A mean beyond double precision is nobody's nearest.
         centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centre)
     return np.concatenate([zero, centre])
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = np.square(x).sum(axis=1)[:, None] - 2 * x @ pivots.T + np.square(pivots).sum(axis=1)
-    return np.sqrt(np.maximum(square, 0))
+    """From each vector to each pivot; infinite where a square is beyond double precision."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        square = np.square(x).sum(axis=1)[:, None] - 2 * x @ pivots.T + np.square(pivots).sum(axis=1)
+    return np.sqrt(np.maximum(np.where(np.isnan(square), np.inf, square), 0))
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt(np.square(x).sum(axis=1))
 
 
 def upper_bounds(d: np.ndarray, norm: np.ndarray, low: np.ndarray, high: np.ndarray, longest: np.ndarray) -> np.ndarray:
     """The most that a query's inner product with a vector can be: queries at distance d (a column for each range) from the pivots, with norms ``norm``; vectors
-    at a distance from low to high and no longer than ``longest``. Rounding is allowed for."""
-    scale = d + high + longest + norm[:, None]
-    gap = np.maximum(np.maximum(low - d, d - high) - 1e-7 * scale, 0)
-    by_distance = (np.square(norm)[:, None] + np.square(longest) - np.square(gap)) / 2
-    return np.minimum(by_distance, norm[:, None] * longest) + 1e-7 * np.square(scale) + 1
+    at a distance from low to high and no longer than ``longest``. Rounding is allowed for; where doubles do not suffice, there is no bound."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = d + high + longest + norm[:, None]
+        gap = np.maximum(np.maximum(low - d, d - high) - 1e-7 * scale, 0)
+        by_distance = (np.square(norm)[:, None] + np.square(longest) - np.square(gap)) / 2
+        bound = np.minimum(by_distance, norm[:, None] * longest) + 1e-7 * np.square(scale) + 1
+    return np.where(np.isnan(bound), np.inf, bound)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -88,7 +98,7 @@ class Found:
         for i in some.tolist():
             k, j = at[i], np.flatnonzero(fit[i])
             s, v = np.append(self.score[k][self.full[k]], score[i, j]), np.append(self.ids[k][self.full[k]], ids[j])
-            order = np.lexsort((v, -s))[: self.top]
+            order = np.lexsort((v, ~s))[: self.top]
             n = len(order)
             self.score[k, :n], self.ids[k, :n], self.full[k, :n] = s[order], v[order], True
             if n == self.top:
@@ -103,12 +113,12 @@ class Shard:
         self.cuts = np.append(np.arange(0, len(ids), ANNULUS_ROWS), len(ids))
         starts = self.cuts[:-1]
         self.low, self.high = np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts)
-        self.longest = np.sqrt(np.maximum.reduceat(np.square(x).sum(axis=1), starts))
+        self.longest = np.maximum.reduceat(lengths(x), starts)
 
     def search(self, queries: np.ndarray, q: np.ndarray, least: np.ndarray, top: int) -> Found:
         """Each query expands annuli by falling bound until the next is below its least score."""
         found = Found(queries, least, top)
-        norm = np.sqrt(np.square(q).sum(axis=1))
+        norm = lengths(q)
         bound = upper_bounds(np.repeat(distances(q, self.pivot[None, :]), len(self.low), axis=1), norm, self.low, self.high, self.longest)
         order = np.argsort(-bound, axis=1, kind="stable")
         going = np.arange(len(q))
@@ -132,7 +142,7 @@ def _keyed(shared):
                 x = _matrix(part.column("vector"), pivots.shape[1])
                 d = distances(x, pivots)
                 own = d.argmin(axis=1)
-                added = [pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(x)), own]), pa.array(np.sqrt(np.square(x).sum(axis=1)))]
+                added = [pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(x)), own]), pa.array(lengths(x))]
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("vector"), *added], names=["vec_id", "vector", "pivot", "far", "norm"])
 
     return keyed
@@ -165,7 +175,7 @@ def _next(shared, shards, visited: int, more: int):
                 part = batch.slice(i, step)
                 q = _matrix(part.column("vector"), pivots.shape[1])
                 least = part.column("least").to_numpy(zero_copy_only=False)
-                bound = upper_bounds(distances(q, pivots)[:, pivot], np.sqrt(np.square(q).sum(axis=1)), low, high, longest)
+                bound = upper_bounds(distances(q, pivots)[:, pivot], lengths(q), low, high, longest)
                 order = np.argsort(-bound, axis=1, kind="stable")[:, visited : visited + more]
                 row, col = np.nonzero(np.take_along_axis(bound, order, 1) >= least[:, None])
                 take = pa.array(row)

@@ -91,3 +91,23 @@ def test_mixing_takes_each_sources_target(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mixing_shares_copies_among_repeated_rows(spark):
+    """Rows of one id, source and text that differ elsewhere: equal parts, and what is left one each."""
+    text = "one two three"
+    rows = [(1, text, "en", "a", i) for i in range(3)] + [(1, text, "xx", "a", 7)] * 2 + [(2, "four five", "en", "b", 1)] * 3 + [(3, "six", "en", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    from testimony.llm import mixing
+
+    planned = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        planned[r.doc_id] += r.copies
+    got = Counter(tuple(r) for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF).collect())
+    given = Counter(rows)
+    assert Counter({i: sum(n for r, n in got.items() if r[0] == i) for i in planned}) == planned
+    for i, n in planned.items():
+        k = sum(c for r, c in given.items() if r[0] == i)
+        for r, c in given.items():
+            if r[0] == i:
+                assert c * (n // k) <= got[r] <= c * (n // k + 1)
