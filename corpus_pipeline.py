@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from testimony.llm import decontamination, minhash, mixing, quality, sharding
 from testimony.llm.common import broadcast_if_small, fresh, settle, table
+from testimony.operators.beats import numbered
 
 
 #: Rows of one Arrow batch in the pipeline's session.
@@ -71,21 +72,25 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents by source weight, in as many copies as the mix takes.
 
     Null is a source of its own. Documents without words, and those of which less than half is taken, come in no copy. Repeated rows count
-    each; where their copies differ, one of them has all that go beyond equal parts. Very long texts count
+    each: copies go to them in equal parts, and one more to each of the first of them in the order of the MD5 of their JSON until none is left. Very long texts count
     whole. No documents: none. Columns keep their values, whatever their names.
     """
-    id_, source, key, copies, rows, own, each, copy = fresh(docs, *(f"_m_{n}" for n in ("id", "source", "key", "copies", "rows", "own", "each", "copy")))
+    names = ("id", "source", "key", "copies", "rows", "own", "each", "copy", "digest", "group", "number", "start", "least")
+    id_, source, key, copies, rows, own, each, copy, digest, group, number, start, least = fresh(docs, *(f"_m_{n}" for n in names))
     plan = mixing.mix_sources(docs).select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("text_key").alias(key), F.col("copies").alias(copies))
     # Repeated rows have plans of their own; they are paired off with the rows by their number in the table.
     plan = settle(plan.groupBy(id_, source, key).agg(F.sum(copies).alias(copies), F.count("*").alias(rows)))
     keyed = docs.withColumn(own, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(key))
     taken = keyed.join(broadcast_if_small(plan.where(F.col(copies) > 0)), same)
-    # Equal rows share their copies: if these are not a multiple of the rows, one row has them all.
-    alike = (F.col(rows) == 1) | (F.col(copies) % F.col(rows) == 0)
-    even = taken.where(alike).withColumn(each, F.floor(F.col(copies) / F.col(rows)).cast("int"))
-    odd = taken.where(~alike).dropDuplicates([id_, source, own]).withColumn(each, F.col(copies).cast("int"))
-    repeated = even.unionByName(odd).where(F.col(each) > 0)
+    # What goes beyond equal parts: rows of one id, source and text are numbered by ranges of an order, however many they are.
+    left = F.col(copies) % F.col(rows)
+    even = taken.withColumn(each, F.floor(F.col(copies) / F.col(rows)).cast("int"))
+    more = taken.where((F.col(rows) > 1) & (left > 0)).withColumn(digest, F.md5(F.to_json(F.struct(*[docs[c] for c in docs.columns])).cast("binary")))
+    more = settle(numbered(more.withColumn(group, F.struct(id_, source, own)), [group, digest], number))
+    starts = more.groupBy(F.col(group).alias(start)).agg(F.min(number).alias(least))
+    more = more.join(broadcast_if_small(starts), F.col(group).eqNullSafe(F.col(start))).where(F.col(number) - F.col(least) < left).withColumn(each, F.lit(1))
+    repeated = even.where(F.col(each) > 0).select(*docs.columns, each).unionByName(more.select(*docs.columns, each))
     return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*docs.columns)
 
 
