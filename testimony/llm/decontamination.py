@@ -1,8 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 The automaton holds every window of the normalised test items as a sequence of word numbers, so it has at most as many
-nodes as windows have words. A text is normalised once and
-scanned once; a match's place among the normalised words maps to character offsets of the original.
+nodes as windows have words. Texts are normalised and their words numbered in bulk; the automaton runs over stretches of items' words only, and
+over each once; a match's place among the normalised words maps to character offsets of the original.
 Nothing is shuffled: the scan runs where the texts are read.
 """
 
@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm.common import fresh, settle, text_slices, utf8
+from testimony.llm.common import Vocabulary, fresh, runs_of, settle, split_words, stop_bytes, text_slices, utf8
 
 #: Most nodes of one automaton, about 100 MB in each Python worker. More items make further automata, each scanning once.
 NODES_PER_AUTOMATON = 2_000_000
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 #: Bytes to normalised bytes: A-Z to a-z, then separators to spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 32 if b in _SEPARATORS else b for b in range(256))
+_STOPS = stop_bytes((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _built: dict[str, object] = {}
@@ -42,7 +43,7 @@ def windows_of(text: str | None, n: int) -> set[str]:
 
 
 class Windows:
-    """Numbers of the items' words, and the automaton of their windows."""
+    """Numbers of the items' words, and the automaton of their windows. ``shortest`` is the least window's number of words."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
         import ahocorasick
@@ -51,18 +52,26 @@ class Windows:
         for item, text in items:
             for w in windows_of(text, n):
                 owners[w].append(item)
-        self.number: dict[bytes, int] = {}
         self.made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        number: dict[bytes, int] = {}
+        self.shortest = n
         for w, who in owners.items():
-            key = tuple(self.number.setdefault(x, len(self.number) + 1) for x in w.encode("utf-8", "surrogatepass").split())
+            key = tuple(number.setdefault(x, len(number)) for x in w.encode("utf-8", "surrogatepass").split())
+            self.shortest = min(self.shortest, len(key))
             self.made.add_word(key, (len(key), tuple(sorted(set(who)))))
         self.made.make_automaton()
+        self.known = Vocabulary(list(number), _STOPS)
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
-        """(first word, words, items) of the windows that occur in ``words``."""
-        get = self.number.get
-        for end, (size, who) in self.made.iter(tuple([get(w, 0) for w in words])) if self.number else ():
-            yield end - size + 1, size, who
+    def find(self, number: np.ndarray) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(first word, words, items) of the windows that occur in a text, given the number of each of its words, -1 for words of no item.
+
+        A window has known words only, so the automaton runs over stretches of them that are long enough.
+        """
+        edge = np.flatnonzero(np.diff(number >= 0, prepend=False, append=False))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= self.shortest:
+                for end, (size, who) in self.made.iter(tuple(number[a:b].tolist())):
+                    yield a + end - size + 1, size, who
 
 
 def _windows(items: list[tuple[str, str | None]], n: int, key: str) -> Windows:
@@ -72,18 +81,23 @@ def _windows(items: list[tuple[str, str | None]], n: int, key: str) -> Windows:
     return _built[key]
 
 
-def scan(text: bytes | None, windows: Windows) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Number of words, merged half-open ranges of hit words, and the items hit."""
-    words = (text or b"").translate(NORMAL).split()
-    spans: list[list[int]] = []
-    items: set[str] = set()
-    for at, size, who in sorted(windows.find(words)):
-        items.update(who)
-        if spans and at <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], at + size)
-        else:
-            spans.append([at, at + size])
-    return len(words), [tuple(s) for s in spans], sorted(items)
+def scan(texts: list[bytes | None], windows: Windows) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+    """Of each text the number of words, merged half-open ranges of hit words, and the items hit."""
+    texts = [t or b"" for t in texts]
+    for i, j in runs_of(texts):
+        found = split_words(texts[i:j], _STOPS, fold=True)
+        number, at = windows.known.number(found), 0
+        for upto in found.ends.tolist():
+            spans: list[list[int]] = []
+            items: set[str] = set()
+            for first, size, who in sorted(windows.find(number[at:upto])):
+                items.update(who)
+                if spans and first <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], first + size)
+                else:
+                    spans.append([first, first + size])
+            yield upto - at, [tuple(s) for s in spans], sorted(items)
+            at = upto
 
 
 def _scanner(shared, window: int, key: str):
@@ -91,7 +105,7 @@ def _scanner(shared, window: int, key: str):
     def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _windows(shared.value, window, key)
         for column in texts:
-            rows = (scan(t, known) for part in text_slices(column) for t in part)
+            rows = (row for part in text_slices(column) for row in scan(part, known))
             yield pa.array([{"n_words": n, "spans": [{"first": a, "last": b} for a, b in spans], "items": items} for n, spans, items in rows], _FOUND)
 
     return look
