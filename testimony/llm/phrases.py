@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from testimony.llm.common import Bitmap, bitmap_of, broadcast_if_small, mix, settle, split_words, stop_bytes, text_slices, word_hashes
 
 #: Bytes of the texts of one index, about; a longer text is an index of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Bits of a bitmap at most: 64 MB.
 MAP_BITS = 29
 #: Languages are ranked in so many parts before they are ranked whole.
 _PARTS = 256
 _BREAKS = stop_bytes((0x0A, 0x0D), *((b, b) for b in b".,;:!?"))
 _STOPS = _BREAKS | stop_bytes((0x20, 0x20), (0x09, 0x09))
-_INDEX = "lang string, clash boolean, hashes binary, names array<binary>, forward binary, backward binary"
-_SCHEMA = pa.schema([("lang", pa.string()), ("clash", pa.bool_()), ("hashes", pa.binary()), ("names", pa.list_(pa.binary())), ("forward", pa.binary()), ("backward", pa.binary())])
+_INDEX = "lang string, clash boolean, hashes binary, names array<binary>, size int, forward binary, backward binary"
+_SCHEMA = pa.schema([("lang", pa.string()), ("clash", pa.bool_()), ("hashes", pa.binary()), ("names", pa.list_(pa.binary())), ("size", pa.int32()), ("forward", pa.binary()), ("backward", pa.binary())])
 
 
 # --- indexes --------------------------------------------------------------------------------------
@@ -71,6 +71,14 @@ def spread(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(symbols: np.ndarray) -> bytes:
+    return pa.compress(symbols.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: pa.Buffer, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd"), np.int32)
+
+
 def index(lang: str, texts: list[bytes], seed: int, depth: int) -> pa.RecordBatch | None:
     """The index of some texts of one language; none if they have no words."""
     words = split_words(texts, _STOPS, fold=True, glue=b"\n")
@@ -84,7 +92,7 @@ def index(lang: str, texts: list[bytes], seed: int, depth: int) -> pa.RecordBatc
     # 0 stands between pieces, at the start and at the end.
     text = np.zeros(len(number) + int(new.sum()) + 1, np.int32)
     text[np.arange(len(number)) + np.cumsum(new)] = number + 1
-    row = [lang, clash, distinct.tobytes(), [words.bytes_of(i) for i in first.tolist()], transform(text, depth).tobytes(), transform(text[::-1], depth).tobytes()]
+    row = [lang, clash, distinct.tobytes(), [words.bytes_of(i) for i in first.tolist()], len(text), packed(transform(text, depth)), packed(transform(text[::-1], depth))]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -140,9 +148,9 @@ class Phrases:
 class Shard:
     """An index in both directions. Words have numbers from 1; 0 stands between pieces."""
 
-    def __init__(self, hashes: pa.Buffer, forward: pa.Buffer, backward: pa.Buffer):
-        self.hashes = np.append(np.uint64(0), np.frombuffer(hashes, np.uint64))
-        self.forward, self.backward = (Direction(np.frombuffer(x, np.int32), len(self.hashes)) for x in (forward, backward))
+    def __init__(self, row: dict[str, pa.Scalar]):
+        self.hashes = np.append(np.uint64(0), np.frombuffer(row["hashes"].as_buffer(), np.uint64))
+        self.forward, self.backward = (Direction(unpacked(row[c].as_buffer(), row["size"].as_py()), len(self.hashes)) for c in ("forward", "backward"))
 
     def words(self) -> Phrases:
         number = np.arange(1, len(self.hashes))
@@ -188,7 +196,7 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for i, lang in enumerate(batch.column("lang").to_pylist()):
             word = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.int64)
-            n = np.bincount(np.frombuffer(batch.column("forward")[i].as_buffer(), np.int32), minlength=len(word) + 1)[1:]
+            n = np.bincount(unpacked(batch.column("forward")[i].as_buffer(), batch.column("size")[i].as_py()), minlength=len(word) + 1)[1:]
             columns = [pa.array([lang] * len(word), pa.string()), pa.array(word), batch.column("names")[i].values.cast(pa.string()), pa.array(n)]
             yield from _in_parts(columns, ["lang", "w1", "word", "f"])
 
@@ -207,7 +215,7 @@ def _counted(maps: list[Bitmap]):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                shard = Shard(*(batch.column(c)[i].as_buffer() for c in ("hashes", "forward", "backward")))
+                shard = Shard({c: batch.column(c)[i] for c in ("hashes", "size", "forward", "backward")})
                 found = frequent_phrases(shard, maps)
                 columns = [pa.array(shard.hashes[w].view(np.int64)) for w in found.words]
                 columns.append(pa.array(found.count))
@@ -239,7 +247,7 @@ def mine_phrases(
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     while True:
         shards = settle(texts.mapInArrow(_indexed(seed, longest, shard_bytes), _INDEX))
-        every = settle(shards.select("lang", "hashes", "names", "forward").mapInArrow(_counted_words, "lang string, w1 long, word string, f long").groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")))
+        every = settle(shards.select("lang", "hashes", "names", "size", "forward").mapInArrow(_counted_words, "lang string, w1 long, word string, f long").groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")))
         alike = every.groupBy("w1").count().where("count > 1")
         if shards.where("clash").isEmpty() and alike.isEmpty():
             break
@@ -252,7 +260,7 @@ def mine_phrases(
         known = tables[-1].select(_spread_col(names[:-1]).alias("h"))
         maps.append(bitmap_of(known, "h", MAP_BITS))
         schema = ", ".join(f"{n} long" for n in [*names, "f"])
-        found = shards.select("hashes", "forward", "backward").mapInArrow(_counted(list(maps)), schema).groupBy(*names).agg(F.sum("f").alias("f"))
+        found = shards.select("hashes", "size", "forward", "backward").mapInArrow(_counted(list(maps)), schema).groupBy(*names).agg(F.sum("f").alias("f"))
         tables.append(settle(found.where(F.col("f") >= least)))
     phrases = None
     for size, found in enumerate(tables, 1):
