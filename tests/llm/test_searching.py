@@ -159,7 +159,7 @@ def test_indexes_widen_in_both_directions():
         texts = [" ".join(rng.choice(list("abcd"), n).tolist()) + ". " + " ".join(rng.choice(list("ab"), n).tolist())]
         row = phrases.index("en", [t.encode() for t in texts], 0, 4)
         names = [None, *row.column("names")[0].as_py()]
-        shard = phrases.Shard(*(row.column(c)[0].as_buffer() for c in ("hashes", "forward", "backward")))
+        shard = phrases.Shard({c: row.column(c)[0] for c in row.schema.names})
         for depth in (1, 2, 3, 4):
             found = phrases.frequent_phrases(shard, [All()] * (depth - 1))
             got = {tuple(names[w[i]].decode() for w in found.words): int(c) for i, c in enumerate(found.count)}
