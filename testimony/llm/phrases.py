@@ -7,6 +7,7 @@ across shards after each step, and only phrases whose parts are frequent over al
 those that it lets through are dropped by their sums.
 
 Words are 64-bit hashes of language and word, which are checked to be unlike for all words of the corpus; if two are alike, all is done with others.
+The most frequent words, a bounded number, go by their ranks instead, which are below all hashes in use and take few bytes where phrases are shuffled.
 """
 
 from __future__ import annotations
@@ -20,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from testimony.llm.common import Bitmap, bitmap_of, broadcast_if_small, mix, settle, split_words, stop_bytes, text_slices, word_hashes
+from testimony.llm.common import Bitmap, Words, bitmap_of, broadcast_if_small, mix, settle, split_words, stop_bytes, text_slices, word_hashes
 
 #: Bytes of the texts of one index, about; a longer text is an index of its own.
 SHARD_BYTES = 1 << 20
 #: Bits of a bitmap at most: 64 MB.
 MAP_BITS = 29
+#: So many words at most go by their ranks: 2 MB.
+RANKED = 1 << 18
 #: Languages are ranked in so many parts before they are ranked whole.
 _PARTS = 256
 _BREAKS = stop_bytes((0x0A, 0x0D), *((b, b) for b in b".,;:!?"))
 _STOPS = _BREAKS | stop_bytes((0x20, 0x20), (0x09, 0x09))
-_INDEX = "lang string, clash boolean, hashes binary, names array<binary>, size int, forward binary, backward binary"
-_SCHEMA = pa.schema([("lang", pa.string()), ("clash", pa.bool_()), ("hashes", pa.binary()), ("names", pa.list_(pa.binary())), ("size", pa.int32()), ("forward", pa.binary()), ("backward", pa.binary())])
+_INDEX = "lang string, clash boolean, salt long, names array<binary>, size int, forward binary, backward binary"
+_SCHEMA = pa.schema([("lang", pa.string()), ("clash", pa.bool_()), ("salt", pa.int64()), ("names", pa.list_(pa.binary())), ("size", pa.int32()), ("forward", pa.binary()), ("backward", pa.binary())])
 
 
 # --- indexes --------------------------------------------------------------------------------------
@@ -72,11 +75,36 @@ def spread(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(symbols: np.ndarray) -> bytes:
-    return pa.compress(symbols.tobytes(), codec="zstd", asbytes=True)
+    """Compressed whole numbers of 32 bits: their first bytes, then their second bytes, and so on."""
+    return pa.compress(np.ascontiguousarray(symbols.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: pa.Buffer, size: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd"), np.int32)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd"), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view(np.int32).reshape(size)
+
+
+class Ranks:
+    """Ranks of the most frequent words; ``data`` is a broadcast variable of their hashes, sorted, and the rank of each."""
+
+    def __init__(self, data):
+        self.data = data
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The rank of each hash, and hashes without a rank as they are."""
+        ranked, ranks = self.data.value
+        if not len(ranked):
+            return hashes
+        at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
+        return np.where(ranked[at] == hashes, ranks[at], hashes)
+
+
+def hashes_of(names: pa.ListScalar, salt: pa.Scalar) -> np.ndarray:
+    """Hashes of the words of an index, which are hashed where they lie."""
+    held = names.values.cast(pa.large_binary())
+    ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    joined = np.append(np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.zeros(9, np.uint8))
+    return word_hashes(Words(joined, ends[:-1] - ends[0], np.diff(ends), np.zeros(0, np.int64)), salt.as_py())
 
 
 def index(lang: str, texts: list[bytes], seed: int, depth: int) -> pa.RecordBatch | None:
@@ -85,14 +113,19 @@ def index(lang: str, texts: list[bytes], seed: int, depth: int) -> pa.RecordBatc
     if not len(words.starts):
         return None
     salt = int.from_bytes(hashlib.blake2b(f"{seed} {lang}".encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
-    distinct, first, number = np.unique(word_hashes(words, salt), return_index=True, return_inverse=True)
+    _, first, number, often = np.unique(word_hashes(words, salt), return_index=True, return_inverse=True, return_counts=True)
+    # Frequent words have small numbers, which compress well.
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first, number = first[order], rank[number]
     clash = not words.same(np.arange(len(number)), words, first[number]).all()
     breaks = np.cumsum(_BREAKS[words.joined], dtype=np.int32)
     new = np.append(True, breaks[words.starts[1:]] != breaks[words.starts[:-1]])
     # 0 stands between pieces, at the start and at the end.
     text = np.zeros(len(number) + int(new.sum()) + 1, np.int32)
     text[np.arange(len(number)) + np.cumsum(new)] = number + 1
-    row = [lang, clash, distinct.tobytes(), [words.bytes_of(i) for i in first.tolist()], len(text), packed(transform(text, depth)), packed(transform(text[::-1], depth))]
+    row = [lang, clash, salt, [words.bytes_of(i) for i in first.tolist()], len(text), packed(transform(text, depth)), packed(transform(text[::-1], depth))]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -148,12 +181,13 @@ class Phrases:
 class Shard:
     """An index in both directions. Words have numbers from 1; 0 stands between pieces."""
 
-    def __init__(self, row: dict[str, pa.Scalar]):
-        self.hashes = np.append(np.uint64(0), np.frombuffer(row["hashes"].as_buffer(), np.uint64))
-        self.forward, self.backward = (Direction(unpacked(row[c].as_buffer(), row["size"].as_py()), len(self.hashes)) for c in ("forward", "backward"))
+    def __init__(self, row: dict[str, pa.Scalar], ranks: Ranks | None = None):
+        hashes = hashes_of(row["names"], row["salt"])
+        self.codes = np.append(np.uint64(0), ranks.codes(hashes) if ranks else hashes)
+        self.forward, self.backward = (Direction(unpacked(row[c].as_buffer(), row["size"].as_py()), len(self.codes)) for c in ("forward", "backward"))
 
     def words(self) -> Phrases:
-        number = np.arange(1, len(self.hashes))
+        number = np.arange(1, len(self.codes))
         starts = self.forward.starts
         return Phrases([number], starts[number], starts[number], starts[number + 1] - starts[number])
 
@@ -176,7 +210,7 @@ class Shard:
         real = np.flatnonzero(word > 0)
         kept = [w[owner[real]] for w in phrases.words]
         kept = [*kept, word[real]] if right else [word[real], *kept]
-        ok = known.has(spread([self.hashes[w] for w in (kept[1:] if right else kept[:-1])]))
+        ok = known.has(spread([self.codes[w] for w in (kept[1:] if right else kept[:-1])]))
         real, kept = real[ok], [w[ok] for w in kept]
         mine, its = index.longer[first[real]], other[owner[real]] + at[real] - begin[owner[real]]
         return Phrases(kept, *((its, mine) if right else (mine, its)), count[real])
@@ -187,7 +221,7 @@ def frequent_phrases(shard: Shard, maps: list[Bitmap]) -> Phrases:
     found = shard.words()
     for n, known in enumerate(maps, 1):
         # Parts of n words of phrases one longer: the phrase itself, and the one without its far word.
-        found = found.only(known.has(spread([shard.hashes[w] for w in found.words])))
+        found = found.only(known.has(spread([shard.codes[w] for w in found.words])))
         found = shard.widen(found, n % 2 == 1, known)
     return found
 
@@ -195,7 +229,7 @@ def frequent_phrases(shard: Shard, maps: list[Bitmap]) -> Phrases:
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, lang in enumerate(batch.column("lang").to_pylist()):
-            word = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.int64)
+            word = hashes_of(batch.column("names")[i], batch.column("salt")[i]).view(np.int64)
             n = np.bincount(unpacked(batch.column("forward")[i].as_buffer(), batch.column("size")[i].as_py()), minlength=len(word) + 1)[1:]
             columns = [pa.array([lang] * len(word), pa.string()), pa.array(word), batch.column("names")[i].values.cast(pa.string()), pa.array(n)]
             yield from _in_parts(columns, ["lang", "w1", "word", "f"])
@@ -211,13 +245,13 @@ def _in_parts(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBa
         yield whole.slice(i, _SENT_ROWS)
 
 
-def _counted(maps: list[Bitmap]):
+def _counted(maps: list[Bitmap], ranks: Ranks):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                shard = Shard({c: batch.column(c)[i] for c in ("hashes", "size", "forward", "backward")})
+                shard = Shard({c: batch.column(c)[i] for c in ("salt", "names", "size", "forward", "backward")}, ranks)
                 found = frequent_phrases(shard, maps)
-                columns = [pa.array(shard.hashes[w].view(np.int64)) for w in found.words]
+                columns = [pa.array(shard.codes[w].view(np.int64)) for w in found.words]
                 columns.append(pa.array(found.count))
                 del shard, found
                 yield from _in_parts(columns, [*[f"w{k + 1}" for k in range(len(columns) - 1)], "f"])
@@ -233,6 +267,14 @@ def _spread_col(names: list[str]):
     return of(*names)
 
 
+def _coded(ranks: Ranks, name: str) -> Column:
+    @F.arrow_udf("long")
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array(ranks.codes(column.to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64))
+
+    return of(name)
+
+
 # --- the operator ---------------------------------------------------------------------------------
 
 
@@ -241,26 +283,31 @@ def mine_phrases(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, totals) of all texts.
 
-    words: lang, w1, word, f of every word with f >= least. phrases: size, key (its words' w1 in order) and f of every phrase of 1 to ``longest`` words of one piece that occurs
+    words: lang, w1 (its code), word, f of every word with f >= least. phrases: size, key (its words' w1 in order) and f of every phrase of 1 to ``longest`` words of one piece that occurs
     ``least`` times or more in a language; occurrences may overlap. totals: lang and n, all its words. Null languages are 'und'.
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     while True:
         shards = settle(texts.mapInArrow(_indexed(seed, longest, shard_bytes), _INDEX))
-        every = settle(shards.select("lang", "hashes", "names", "size", "forward").mapInArrow(_counted_words, "lang string, w1 long, word string, f long").groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")))
+        every = settle(shards.select("lang", "salt", "names", "size", "forward").mapInArrow(_counted_words, "lang string, w1 long, word string, f long").groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")))
         alike = every.groupBy("w1").count().where("count > 1")
-        if shards.where("clash").isEmpty() and alike.isEmpty():
+        # No hash may be alike to a rank.
+        if shards.where("clash").isEmpty() and alike.isEmpty() and every.where(F.col("w1").between(0, RANKED - 1)).isEmpty():
             break
         seed += 1
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     words = settle(every.where(F.col("f") >= least))
+    most = words.orderBy(F.desc("f"), "w1").limit(RANKED).select("w1").toArrow().column(0).to_numpy().view(np.uint64)
+    order = np.argsort(most)
+    ranks = Ranks(docs.sparkSession.sparkContext.broadcast((most[order], order.astype(np.uint64))))
+    words = settle(words.withColumn("w1", _coded(ranks, "w1")))
     tables, maps = [words.select("w1", "f")], []
     for size in range(2, longest + 1):
         names = [f"w{i + 1}" for i in range(size)]
         known = tables[-1].select(_spread_col(names[:-1]).alias("h"))
         maps.append(bitmap_of(known, "h", MAP_BITS))
         schema = ", ".join(f"{n} long" for n in [*names, "f"])
-        found = shards.select("hashes", "size", "forward", "backward").mapInArrow(_counted(list(maps)), schema).groupBy(*names).agg(F.sum("f").alias("f"))
+        found = shards.select("salt", "names", "size", "forward", "backward").mapInArrow(_counted(list(maps), ranks), schema).groupBy(*names).agg(F.sum("f").alias("f"))
         tables.append(settle(found.where(F.col("f") >= least)))
     phrases = None
     for size, found in enumerate(tables, 1):
