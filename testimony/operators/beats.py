@@ -47,10 +47,11 @@ def beat_order(claims: DataFrame, links: DataFrame, closure: DataFrame, root) ->
 
     The anchor is the deepest linked place in the subtree; the first by place id on ties.
     """
-    depths = closure.groupBy(F.col("descendant").alias("id")).agg(F.max("depth").alias("depth"))
-    inside = links.join(trees.subtree(closure, root).withColumnRenamed("id", "place_id"), "place_id", "left_semi")
-    anchors = trees.deepest(inside.select("claim_id", "place_id").distinct(), depths, "claim_id", "place_id", "place_id")
-    placed = settle(claims.join(anchors.select("claim_id", F.col("place_id").alias("anchor")), "claim_id"))
+    # Below one root, the depths under it are in the order of depths in the whole tree.
+    below = closure.where(F.col("ancestor") == F.lit(root)).select(F.col("descendant").alias("place_id"), "depth")
+    inside = links.select("claim_id", "place_id").join(below, "place_id")
+    anchors = inside.groupBy("claim_id").agg(F.min(F.struct(-F.col("depth"), "place_id"))["place_id"].alias("anchor"))
+    placed = settle(claims.join(anchors, "claim_id"))
     firsts = placed.groupBy("anchor").agg(F.min(F.struct("first_seen_at", "claim_id")).alias("_first")).withColumnRenamed("anchor", "_anchor")
     rows = placed.join(broadcast_if_small(firsts), F.col("anchor") == F.col("_anchor")).drop("_anchor")
     return numbered(rows, ["_first", "anchor", "first_seen_at", "claim_id"], "position").drop("_first")

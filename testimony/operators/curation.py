@@ -105,11 +105,15 @@ def audit_residue(entries: DataFrame, verdicts: DataFrame, themes: DataFrame) ->
     return rows.select(*entries.columns, F.when(covered, "covered").otherwise("real").alias("outcome"), F.when(covered, F.col("_name")).alias("theme"), F.col("_read").isNull().alias("unaudited"))
 
 
-def score_adjudicated(rulings: DataFrame, verdicts: DataFrame, by: list[str]) -> DataFrame:
-    """Per stratum: ruled claims, how many verdicts agree with the ruling, and the sorted misses."""
-    met = rulings.join(verdicts.select("claim_id", F.col("verdict").alias("_said")), "claim_id", "left")
-    right = F.coalesce(F.col("_said") == F.col("verdict"), F.lit(False))
-    return met.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(right).alias("right"), F.array_sort(F.collect_list(F.when(~right, F.col("claim_id")))).alias("misses"))
+def score_adjudicated(rulings: DataFrame, verdicts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(totals, misses): per stratum the ruled claims and how many verdicts agree with the ruling; and the claims whose verdict does not, a row each.
+
+    misses: ``by``, claim_id, ruled, said. A claim without a verdict, or with a null one on either side, is a miss.
+    """
+    met = rulings.join(verdicts.select("claim_id", F.col("verdict").alias("said")), "claim_id", "left").withColumnRenamed("verdict", "ruled")
+    right = F.coalesce(F.col("said") == F.col("ruled"), F.lit(False))
+    totals = met.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(right).alias("right"))
+    return totals, met.where(~right).select(*by, "claim_id", "ruled", "said")
 
 
 # --- merges ---------------------------------------------------------------------------------------

@@ -123,10 +123,29 @@ def person_name_edges(persons: DataFrame, event: str = "event_id") -> DataFrame:
     return both.withColumn("score", S.word_recall(F.col("wa"), F.col("wb"))).where(F.col("score") >= PERSON_BAR).select("a", "b", "score")
 
 
+#: People of a claim who are held against as many others of it in one task, about.
+BESIDE_BLOCK = 256
+
+
+def beside_pairs(claim_persons: DataFrame) -> DataFrame:
+    """(person, other, claims): in how many claims two persons are both named, each pair in both orders.
+
+    The people of a claim are dealt into blocks of about BESIDE_BLOCK by hash, and blocks meet one by one, so a claim that names very many
+    is not one key. Pairs are rows, counted in parts before they are shuffled. Repeated rows count once; null claims and persons are nobody's.
+    """
+    named = settle(claim_persons.select("claim_id", F.col("person_id").alias("person")).where("claim_id is not null and person is not null").distinct())
+    many = named.groupBy("claim_id").agg(F.ceil(F.count("*") / BESIDE_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    dealt = named.join(broadcast_if_small(settle(many)), "claim_id", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("person"), "_blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    one = dealt.select("claim_id", "person", own.alias("_i"), every.alias("_j"))
+    two = dealt.select("claim_id", F.col("person").alias("other"), own.alias("_j"), every.alias("_i"))
+    met = one.join(two, ["claim_id", "_i", "_j"]).where("person <> other")
+    return met.groupBy("person", "other").agg(F.count("*").alias("claims"))
+
+
 def beside(claim_persons: DataFrame) -> DataFrame:
-    """(person, others): persons named in the same claim."""
-    one, other = claim_persons.select("claim_id", F.col("person_id").alias("person")), claim_persons.select("claim_id", F.col("person_id").alias("other"))
-    return one.join(other, "claim_id").where("person <> other").groupBy("person").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    """(person, others): persons named in the same claim, as sorted lists; ``beside_pairs`` gives rows."""
+    return beside_pairs(claim_persons).groupBy("person").agg(F.array_sort(F.collect_list("other")).alias("others"))
 
 
 def person_context_edges(persons: DataFrame, arcs: DataFrame, claim_places: DataFrame) -> DataFrame:

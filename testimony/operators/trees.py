@@ -14,28 +14,29 @@ from testimony.operators.durable import settle
 def tree_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(ancestor, descendant, depth), each node with itself at depth 0, to any depth.
 
-    Parents that are not nodes are ignored. Parents that form a cycle raise: some node would be above itself.
+    Parents that are not nodes are ignored. Parents that form a cycle raise: some node would be above itself. A round is a write and a count
+    of what it wrote.
     """
     own = nodes.select(F.col(id_col).alias("n"), F.col(parent_col).alias("p"))
     up = own.where("p is not null").join(own.select(F.col("n").alias("p")), "p", "left_semi")
-    known = settle(up.select(F.col("p").alias("ancestor"), F.col("n").alias("descendant"), F.lit(1).alias("depth")))
-    parts, reach = [known], 1
+    # ``more`` tells that there is something above the ancestor.
+    top = up.select(F.col("n").alias("p"), F.lit(True).alias("more")).distinct()
+    every = settle(up.join(top, "p", "left").select(F.col("p").alias("ancestor"), F.col("n").alias("descendant"), F.lit(1).alias("depth"), F.coalesce("more", F.lit(False)).alias("more")))
+    part, reach = every, 1
     while True:
-        # Ancestors ``reach`` up, and those up to as far above them.
-        last = parts[-1].where(F.col("depth") == reach).select(F.col("ancestor").alias("_mid"), "descendant")
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        above = every.select("ancestor", F.col("descendant").alias("_mid"), (F.col("depth") + reach).alias("depth"))
-        if every.where("ancestor = descendant").limit(1).count():
+        loops, open_ = part.agg(F.count_if(F.col("ancestor") == F.col("descendant")), F.count_if((F.col("depth") == reach) & F.col("more"))).first()
+        if loops:
             raise ValueError("parents form a cycle")
-        further = settle(last.join(above, "_mid").select("ancestor", "descendant", "depth"))
-        if further.isEmpty():
+        if not open_:
             break
-        parts.append(further)
+        # Ancestors ``reach`` up, and those up to as far above them.
+        last = part.where((F.col("depth") == reach) & F.col("more")).select(F.col("ancestor").alias("_mid"), "descendant")
+        above = every.select("ancestor", F.col("descendant").alias("_mid"), (F.col("depth") + reach).alias("depth"), "more")
+        part = settle(last.join(above, "_mid").select("ancestor", "descendant", "depth", "more"))
+        every = every.unionByName(part)
         reach *= 2
     self_ = own.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("depth"))
-    return self_.unionByName(every)
+    return self_.unionByName(every.drop("more"))
 
 
 def ancestors(closure: DataFrame) -> DataFrame:

@@ -217,12 +217,26 @@ c as (select x.id as other_id, y.id as place_id, greatest(jaro_similarity(x.r, y
 select place_id, other_id, 'candidate' as certainty, round(score, 6) as score from c where score >= 0.92 and (place_id, other_id) not in (select id, spot from up) and (other_id, place_id) not in (select id, spot from up)
 union all select x.id, y.id, 'certain', 1.0 from up join p x on x.id = up.id join p y on y.id = up.spot where x.r = y.r""")
 def duplicate_places(spark, sf):
+    return _duplicate_places(spark, sf, F.lit(None).cast("string"))
+
+
+def _duplicate_places(spark, sf, kind):
     i = F.col("p_partkey")
     up = F.floor(i / 10)
-    places = World(spark, sf).part.select(i.alias("id"), F.when(up > 0, up).alias("parent_id"), F.col("p_brand").alias("event_id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("type"), (i % 7).alias("inserted_at"), F.lit("active").alias("lifecycle"))
+    places = World(spark, sf).part.select(i.alias("id"), F.when(up > 0, up).alias("parent_id"), F.col("p_brand").alias("event_id"), F.col("p_name").alias("name"), kind.alias("type"), (i % 7).alias("inserted_at"), F.lit("active").alias("lifecycle"))
     return duplicates.duplicate_places(places, trees.tree_closure(places)).withColumn("score", F.round("score", 6))
 
 
+_ROADS = "case p_size % 5 when 1 then 'road' when 2 then 'area' when 3 then 'road' end as kind"
+
+
+@query(SQL["duplicate_places"].replace("p_partkey % 7 as at", f"p_partkey % 7 as at, {_ROADS}").replace("and (x.at, x.id) < (y.at, y.id)", "and (x.at, x.id) < (y.at, y.id) and coalesce(x.kind = y.kind, true)"))
+def duplicate_places_by_kind(spark, sf):
+    """Places of kinds, some unknown: a road and a quarter of one name are two."""
+    n = F.col("p_size") % 5
+    return _duplicate_places(spark, sf, F.when(n == 1, "Calle").when(n == 2, " BARRIO").when(n == 3, "avenida").when(n == 4, "isla"))
+
+
 @query("""with c as (select c_custkey as id, c_nationkey as event_id, c_mktsegment as k, case when c_custkey % 2 = 0 then 'casa ' || c_custkey % 20 else 'calle ' || lower(c_mktsegment) end as s, c_custkey % 2 = 0 as marked, c_custkey * 3600 as t, c_custkey % 6 as place,
   case c_custkey % 3 when 0 then 'ana' when 1 then 'luis' end as who from customer)
 select x.id as elder_id, y.id as younger_id, case when x.marked then 'mark' else 'generic' end as basis, round(jaro_similarity(x.s, y.s), 6) as score from c x join c y on x.event_id = y.event_id and x.marked = y.marked and x.t < y.t
@@ -307,6 +321,26 @@ def first_mention(spark, sf):
     return beats.first_mention(clauses).select("position", "phrase")
 
 
+@query("""with each as (select distinct l_orderkey as position, l_suppkey as who from lineitem where l_suppkey is not null), told as (select *, row_number() over (partition by who order by position) as k from each),
+c as (select position, max(k) as k, list('Ana' || who || ' P.' order by who::varchar) as h, min(who) as who from told group by 1)
+select position, case when len(h) > 1 then array_to_string(h[:-2], ', ') || ' y ' || h[-1] when k > 1 then 'Ana' || who else h[1] || ', vecina' end as phrase from c""")
+def mentions_of_several(spark, sf):
+    """Clauses that name one person or several; to have been named among several is to have been named."""
+    who = F.col("l_suppkey").cast("string")
+    named = World(spark, sf).lineitem.where("l_suppkey is not null").select(F.col("l_orderkey").alias("position"), F.struct(who.alias("id"), F.concat(F.lit("Ana"), who, F.lit(" P.")).alias("handle")).alias("p"))
+    clauses = named.groupBy("position").agg(F.array_sort(F.collect_set("p")).alias("persons")).withColumn("subject", F.lit("vecina"))
+    return beats.first_mention(clauses).select("position", "phrase")
+
+
+@query("""select case when o_orderstatus = 'O' then 'not_a_string' when o_custkey % 3 = 0 then 'has_particle' else 'too_few_tokens' end as reason, count(*) as n
+from orders where o_orderstatus = 'O' or o_custkey % 3 < 2 group by 1""")
+def refusal_reasons(spark, sf):
+    """Why no handle can be made: no name, one word, or a particle in it."""
+    k = F.col("o_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Ana De "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit(" Ana"), k.cast("string"))).otherwise("Ana Luz Mata")
+    return report.refusal_groups(World(spark, sf).orders.select(F.when(F.col("o_orderstatus") != "O", name).alias("name")), "name")
+
+
 @query("""with n as (select distinct l_suppkey, l_partkey::varchar as name from lineitem) select l_suppkey, name, ((row_number() over (partition by l_suppkey order by name) - 1) // greatest((22 - (l_suppkey % 9 + 2) + 1) // 2, 1))::int as chunk from n""")
 def name_chunks(spark, sf):
     names = World(spark, sf).lineitem.select("l_suppkey", F.col("l_partkey").cast("string").alias("name"))

@@ -123,6 +123,18 @@ def person_current(spark, sf):
     return trees.follow_redirects(World(spark, sf).customer.select(i.alias("id"), F.when(i % 4 > 0, i - 1).alias("next_id")))
 
 
+@query("select o_orderkey as id, min(o_orderkey) over (partition by o_custkey) as final, false as loops from orders")
+def long_redirects(spark, sf):
+    """Each order gives way to the one before it of the same customer: chains as long as customers have orders."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return trees.follow_redirects(World(spark, sf).orders.select(F.col("o_orderkey").alias("id"), before.alias("next_id")))
+
+
+@query("""select x.l_suppkey as person, y.l_suppkey as other, count(distinct x.l_orderkey) as claims from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_suppkey <> y.l_suppkey group by 1, 2""")
+def beside_pairs(spark, sf):
+    return duplicates.beside_pairs(World(spark, sf).lineitem.select(F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("person_id")))
+
+
 @query("select distinct x.l_suppkey as person, string_agg(distinct y.l_suppkey::varchar, ',' order by y.l_suppkey::varchar) as others from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_suppkey <> y.l_suppkey group by x.l_suppkey")
 def beside(spark, sf):
     named = World(spark, sf).lineitem.select(F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").cast("string").alias("person_id")).distinct()
@@ -225,10 +237,22 @@ def accepted_verdicts(spark, sf):
 @query("""select l.quality as stratum, count(*) as total, count(*) filter (toxic = 0 and d.lang = 'en') as "right", coalesce(string_agg(l.doc_id::varchar, ',' order by l.doc_id) filter (not coalesce(toxic = 0 and d.lang = 'en', false)), '') as misses
 from labels l left join documents d on d.doc_id = l.doc_id group by l.quality""")
 def score_adjudicated(spark, sf):
+    totals, misses = _adjudicated(spark, sf)
+    listed = misses.groupBy("stratum").agg(F.array_join(F.array_sort(F.collect_list("claim_id")), ",").alias("misses"))
+    listed = listed.withColumnRenamed("stratum", "_s")
+    return totals.join(listed, F.col("stratum").eqNullSafe(F.col("_s")), "left").select("stratum", "total", "right", F.coalesce("misses", F.lit("")).alias("misses"))
+
+
+def _adjudicated(spark, sf):
     w = World(spark, sf)
     rulings = w.labels.select(F.col("doc_id").alias("claim_id"), F.col("quality").alias("stratum"), F.when(F.col("toxic") == 0, "en").alias("verdict"))
-    scored = curation.score_adjudicated(rulings, w.documents.select(F.col("doc_id").alias("claim_id"), F.col("lang").alias("verdict")), ["stratum"])
-    return scored.withColumn("misses", F.array_join("misses", ","))
+    return curation.score_adjudicated(rulings, w.documents.select(F.col("doc_id").alias("claim_id"), F.col("lang").alias("verdict")), ["stratum"])
+
+
+@query("""select l.quality as stratum, l.doc_id as claim_id, case when toxic = 0 then 'en' end as ruled, d.lang as said
+from labels l left join documents d on d.doc_id = l.doc_id where not coalesce(toxic = 0 and d.lang = 'en', false)""")
+def adjudicated_misses(spark, sf):
+    return _adjudicated(spark, sf)[1]
 
 
 @query("select 'too_few_tokens' as reason, count(*) as n from customer where c_name is not null having count(*) > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from testimony.functions import similarity as S
 from testimony.functions import text as T
-from testimony.operators import acquisition, answers, beats, duplicates, graphs, names
+from testimony.operators import acquisition, answers, beats, curation, duplicates, graphs, names
 from testimony.streaming import streams
 
 SYLLABLES = "ma ri jo se lu is pe dro ca ro li na an to nio vi cen te gar cia lo pez dri guez her nan dez".split()
@@ -182,6 +182,35 @@ def test_beats_of_many_places(spark):
     assert {(r.beat, r.clauses, r.prose) for r in beats.render_beats(clauses, ["beat"]).collect()} == {("all", 6, "En A, k0[1][2]; k3[3]; k2[4]. En B, k1; k5. K4."), ("b", 3, "En B, k1; k2[1]; k5.")}
 
 
+def test_people_of_a_claim_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BESIDE_BLOCK", 4)
+    rng = random.Random(5)
+    rows = [(c, p) for c, n in ((1, 60), (2, 5), (3, 1), (4, 30)) for p in rng.sample(range(80), n)]
+    rows += [*rows[:9], (None, 1), (5, None), (5, 2), (6, 90), (6, 91)]
+    of = defaultdict(set)
+    for c, p in rows:
+        if c is not None and p is not None:
+            of[c].add(p)
+    want = defaultdict(int)
+    for people in of.values():
+        for a in people:
+            for b in people - {a}:
+                want[a, b] += 1
+    table = spark.createDataFrame(rows, "claim_id int, person_id int").withColumn("other", F.lit(1))
+    got = [tuple(r) for r in duplicates.beside_pairs(table).collect()]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+    assert {r.person: r.others for r in duplicates.beside(table).collect()} == {a: sorted(b for x, b in want if x == a) for a, _ in want}
+    assert duplicates.beside_pairs(table.limit(0)).collect() == []
+
+
+def test_misses_are_rows(spark):
+    rulings = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, "x"), (4, "a", None), (5, "a", "y")], "claim_id int, verdict string, stratum string")
+    verdicts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a"), (9, "a")], "claim_id int, verdict string")
+    totals, misses = curation.score_adjudicated(rulings, verdicts, ["stratum"])
+    assert {tuple(r) for r in totals.collect()} == {("x", 3, 1), (None, 1, 1), ("y", 1, 0)}
+    assert {tuple(r) for r in misses.collect()} == {("x", 2, "b", "a"), ("x", 3, None, "a"), ("y", 5, "a", None)}
+
+
 def test_note_language_counts_markers(spark):
     texts = spark.createDataFrame([("the claim says it was not in the post",), ("el reclamo dice que no está en la publicación",), ("",)], "t string")
     assert [r.l for r in texts.select(T.note_language(F.col("t")).alias("l")).collect()] == ["en", "es", "es"]
