@@ -244,3 +244,26 @@ def text_slices(column: pa.Array) -> Iterator[list[bytes | None]]:
     """The texts of an Arrow column as UTF-8, ROWS_AT_ONCE at a time; nothing is decoded and the batch is not copied."""
     for i in range(0, len(column), ROWS_AT_ONCE):
         yield column.slice(i, ROWS_AT_ONCE).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+
+
+def map_slices(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInPandas(fn, schema)`` for tables with texts: ``fn`` gets ROWS_AT_ONCE rows of a batch at a time.
+
+    So a worker's memory does not depend on the session's size of batches. Whole numbers stay whole where others are null.
+    The schema's types are those of ``_ARROW``.
+    """
+    made = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+    def small(batch: pa.RecordBatch) -> pd.DataFrame:
+        whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+        return pd.DataFrame({n: c.to_pandas(types_mapper=whole.get if c.null_count else None) for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE))
+        for pdf in fn(small(p) for p in parts):
+            yield pa.RecordBatch.from_pandas(pdf, schema=made, preserve_index=False)
+
+    return df.mapInArrow(sliced, schema)

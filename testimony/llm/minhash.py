@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from testimony.llm.common import broadcast_if_small, components, fresh, hashed_words, mix, runs_of, settle, utf8, whole_groups
+from testimony.llm.common import broadcast_if_small, components, fresh, hashed_words, map_slices, mix, runs_of, settle, utf8, whole_groups
 
 BANDS, ROWS, BITS = 40, 5, 2
 #: Members of a family or bucket that meet in one block.
@@ -305,7 +305,7 @@ def near_duplicates(
     n = bands * rows
     key = F.xxhash64(F.col(text_col))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("text_key"))
-    signed = settle(plain.mapInPandas(_sign(shingle, bands, rows, bits), "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, bands array<long>"))
+    signed = settle(map_slices(plain, _sign(shingle, bands, rows, bits), "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, bands array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_key"))
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(first.alias("f"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     # Numbers that are unique, as no hash is; they are written with the classes, so they stay.
@@ -358,7 +358,7 @@ def _links(plain: DataFrame, classes: DataFrame, families: DataFrame, shingle: i
     own = F.array(F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     every = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
     dealt = texts.withColumn("block", F.explode(every)).drop("least").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
-    found = settle(dealt.mapInPandas(_confirm_block(shingle, percent), "bucket long, a long, b long"))
+    found = settle(map_slices(dealt, _confirm_block(shingle, percent), "bucket long, a long, b long"))
     links, open_ = found.where("b is not null").select("a", "b"), found.where("b is null").select("bucket", F.col("a").alias("node"))
     if open_.isEmpty():
         return links
@@ -366,7 +366,7 @@ def _links(plain: DataFrame, classes: DataFrame, families: DataFrame, shingle: i
     members = texts.join(flags, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_n")), "left")
     met = in_blocks(opened(members.select("bucket", "node", "text", F.coalesce("_is", F.lit(False)).alias("open"))), block)
     met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", F.col("block") != F.col("bi"), "node")
-    return settle(links.union(met.mapInPandas(_confirm(shingle, percent), "a long, b long")).distinct())
+    return settle(links.union(map_slices(met, _confirm(shingle, percent), "a long, b long")).distinct())
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

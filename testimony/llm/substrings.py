@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm.common import Bitmap, bitmap_of, hashed_words, mix, runs_of, settle, utf8, whole_groups
+from testimony.llm.common import Bitmap, bitmap_of, hashed_words, map_slices, mix, runs_of, settle, utf8, whole_groups
 
 #: The loop starts at the least length of at least so many words that doubles up to the wanted one.
 LEAST_LEVEL = 5
@@ -156,7 +156,7 @@ def repeated(texts: DataFrame, length: int, part: int, seed: int, seen) -> DataF
     Values are dealt by range, packed, and counted once in each task before they are sent.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.select("text").mapInPandas(_packed(length, part, seed, seen, 16 * parts), "bucket int, values binary, counts binary")
+    dealt = map_slices(texts.select("text"), _packed(length, part, seed, seen, 16 * parts), "bucket int, values binary, counts binary")
     return settle(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_repeated, "value long, n long"))
 
 
@@ -360,7 +360,7 @@ def _late(spark: SparkSession, texts: DataFrame, length: int, seed: int, bitmap_
         found = repeated(texts, length, part, seed, None)
         seen = (part, bitmap_of(found, "value", bitmap_bits))
     hot = bitmap_of(found.where(F.col("n") > hot_pieces), "value", bitmap_bits)
-    met = texts.mapInPandas(_windows(length, part, seed, seen[1], hot, remembered), _PIECE)
+    met = map_slices(texts, _windows(length, part, seed, seen[1], hot, remembered), _PIECE)
     met = met.repartition("key").sortWithinPartitions("key", "ord", "text_key", "first").mapInPandas(_meet, _RUN)
     return settle(met.repartition("ord", "text_key").sortWithinPartitions("ord", "text_key", "first").mapInPandas(_merge, _RUN))
 
@@ -392,7 +392,7 @@ def remove_repeats(
         of = late.select(*src, "n").distinct().select(src[0].alias("ord"), src[1].alias("text_key"), F.struct(src[2].alias("first"), "n", F.lit(False).alias("late"), *src).alias("ask"))
         asks = settle(own.union(of).groupBy("ord", "text_key").agg(F.collect_set("ask").alias("asks")))
         wanted = bitmap_of(asks.select("ord", "text_key").mapInPandas(_hashed_docs, "h long"), "h", bitmap_bits)
-        texts = plain.mapInPandas(_asked(wanted), "doc_id long, ord long, text_key long, n_words long, sha256 string, data binary")
+        texts = map_slices(plain, _asked(wanted), "doc_id long, ord long, text_key long, n_words long, sha256 string, data binary")
         joined = texts.join(asks, ["ord", "text_key"], "left").select("doc_id", "n_words", "sha256", "data", "asks")
         out = settle(joined.mapInPandas(_cut(length), f"{_DONE}, {_CHECK}"))
         said = out.select(F.explode("checks").alias("c")).select("c.*").groupBy("src_ord", "src_key", "src_first", "n")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from testimony.llm import decontamination, embeddings, licences, minhash, mixing, queries, quality, sharding, substrings, urls, warc
-from testimony.llm.common import components, hashed_words
+from testimony.llm.common import ROWS_AT_ONCE, components, hashed_words, map_slices
 
 SF = "/root/testdata/sf0.001"
 WS = " \t\n\x0b\f\r"
@@ -111,6 +111,23 @@ def test_word_hashes():
     assert folded[0] == folded[2]
 
 
+def test_texts_go_to_workers_in_slices(spark):
+    """Whatever the session's batches: few rows at once, whole numbers beyond 2^53 beside nulls, empty tables."""
+
+    def sized(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "text": pdf["text"], "rows": len(pdf), "ids": [[1, 2]] * len(pdf)})
+
+    schema = "id long, text string, rows int, ids array<long>"
+    far = (1 << 62) + 1
+    rows = [(far + i if i % 3 else None, None if i % 5 == 0 else "é" * (i % 7)) for i in range(3 * ROWS_AT_ONCE + 1)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = map_slices(docs, sized, schema).collect()
+    assert [(r.id, r.text) for r in got] == rows
+    assert max(r.rows for r in got) <= ROWS_AT_ONCE and all(r.ids == [1, 2] for r in got)
+    assert map_slices(docs.where("false"), sized, schema).collect() == []
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10] + [(100, 3), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
