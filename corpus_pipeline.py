@@ -14,20 +14,6 @@ from testimony.llm.common import broadcast_if_small, fresh, settle, table
 from testimony.operators.beats import numbered
 
 
-#: Rows of one Arrow batch in the pipeline's session.
-BATCH_ROWS = 500
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Set up the session that runs the pipeline: texts go to Python workers in small batches, as executors live through all stages.
-
-    A smaller setting stays. The operators themselves leave settings alone.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def _prefix(docs: DataFrame, prefix: str) -> str:
     """``prefix`` with underscores in front until no column of ``docs`` starts with it."""
     while any(c.lower().startswith(prefix) for c in docs.columns):
@@ -41,7 +27,6 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null, empty and very long texts are scored like others, and so are rows of a null id. Equal texts have equal scores. No documents: none.
     Columns keep their values, whatever their names.
     """
-    _small_batches(spark)
     p = _prefix(docs, "_q_")
     judged = quality.score_quality(docs, table(spark, sf_dir, "labels"), prefix=p)
     return judged.where(F.col(f"{p}predicted") == 1).select(*docs.columns)
@@ -53,7 +38,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words, null or empty, link with nothing and all stay. Repeated rows are copies, so one stays. Null ids come last.
     Very long texts are compared whole. No documents: none. Columns keep their values, whatever their names.
     """
-    _small_batches(spark)
     return minhash.keep_first(docs)
 
 
@@ -62,7 +46,6 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts are clean; very long ones are scanned whole. No documents: none. Columns keep their values, whatever their names.
     """
-    _small_batches(spark)
     p = _prefix(docs, "_d_")
     judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), prefix=p)
     return judged.where(~F.col(f"{p}contaminated")).select(*docs.columns)
