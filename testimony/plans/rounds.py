@@ -111,20 +111,20 @@ met as (select x.block, x.id as a, y.id as b, case when len(x.rest) <= len(y.res
 settled as (select block, a, b from met where list_min([list_max([jaro_similarity(u, v) for v in l]) for u in s]) >= 0.9 or jaro_similarity(array_to_string(s, ''), array_to_string(l, '')) >= 0.9)"""
 
 
-def _settled(w: World):
+def _blocks(w: World):
     i = F.col("p_partkey")
     people = w.part.select(i.alias("id"), F.concat("p_name", F.when(i % 3 == 0, "").when(i % 3 == 1, " Solís").otherwise(" Mata")).alias("full_name"))
-    return duplicates.position_blocks(w.part.select(F.col("p_size").cast("long").alias("block"), i.alias("id")), people)
+    return w.part.select(F.col("p_size").cast("long").alias("block"), i.alias("id")), people
 
 
 @query(f"{_NAMED} select block::bigint as block, a, b from settled")
 def position_matches(spark, sf):
-    return _settled(World(spark, sf))[0]
+    return duplicates.position_blocks(*_blocks(World(spark, sf)))[0]
 
 
 @query(f"{_NAMED} select block::bigint as block, id from people where (block, id) not in (select block, a from settled union select block, b from settled)")
 def position_residue(spark, sf):
-    return _settled(World(spark, sf))[1]
+    return duplicates.position_residue(*_blocks(World(spark, sf)))
 
 
 # --- posts for good -------------------------------------------------------------------------------------

@@ -67,3 +67,15 @@ def test_claims_meet_as_classes(spark):
     assert {(r.elder_id, r.younger_id) for r in got} == want and len(got) == len(want) > 100
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan.split("Union")[1].split("Exchange")[0].split("RepartitionBy")[0].split("Scan")[0]
+
+
+def test_position_residue_makes_no_pair(spark):
+    names = ["Ana Mata", "Ana Matta", "Luz Gil", "Rosa", None, "Eva Sol"]
+    people = spark.createDataFrame([(i, names[i % 5] if i < 50 else "Eva Sol") for i in range(51)], "id long, full_name string")
+    blocks = spark.createDataFrame([(i % 2, i) for i in range(51)], "block int, id long")
+    settled, residue = duplicates.position_blocks(blocks, people)
+    paired = {(r.block, i) for r in settled.collect() for i in (r.a, r.b)}
+    want = {(i % 2, i) for i in range(51)} - paired
+    alone = duplicates.position_residue(blocks, people)
+    assert {(r.block, r.id) for r in residue.collect()} == {(r.block, r.id) for r in alone.collect()} == want and (0, 50) in want
+    assert "explode" not in alone._jdf.queryExecution().optimizedPlan().toString()
