@@ -79,3 +79,33 @@ def test_position_residue_makes_no_pair(spark):
     alone = duplicates.position_residue(blocks, people)
     assert {(r.block, r.id) for r in residue.collect()} == {(r.block, r.id) for r in alone.collect()} == want and (0, 50) in want
     assert "explode" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """What one task holds does not grow with the tables, though shuffle partitions stay."""
+    monkeypatch.setattr(duplicates, "_BESIDE_A_TASK", 100)
+    monkeypatch.setattr(trees, "_ROWS_A_TASK", 20)
+    named = spark.createDataFrame([(i // 5, i % 37) for i in range(1000)], "claim_id long, person_id long")
+    of = {}
+    for i in range(1000):
+        of.setdefault(i // 5, set()).add(i % 37)
+    want = {(a, b) for c in of.values() for a in c for b in c if a != b}
+    pairs = duplicates.beside_pairs(named)
+    assert {(r.person, r.other) for r in pairs.collect()} == want and pairs.rdd.getNumPartitions() == 50
+    assert {r.person: r.others for r in duplicates.beside(named).collect()} == {a: sorted(b for x, b in want if x == a) for a, _ in want}
+    nodes = spark.range(200).selectExpr("id", "case when id >= 10 then id div 10 end as parent_id")
+    moves = spark.range(200).selectExpr("id", "id * 3 % 200 as new_parent_id")
+    guarded = trees.cycle_guard(moves, trees.tree_closure(nodes))
+    over = lambda a, d: a == d or (d >= 10 and over(a, d // 10))
+    assert {(r.id, r.refused) for r in guarded.collect()} == {(i, over(i, i * 3 % 200)) for i in range(200)} and guarded.rdd.getNumPartitions() > 4
+
+
+def test_one_position_of_many_lists_is_divided(spark):
+    ids = spark.range(4000).selectExpr("array(named_struct('k', id, 'c', 1)) as ids")
+    rows = spark.range(4000).selectExpr("named_struct('k', id, 'c', 1) as id", "id as v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = trees.order_by_ids(rows, ids).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(parts) == 4000 and max(parts) < 2500
