@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from testimony.operators.durable import settle
 
+#: Rows of a closure that one task of a join holds, about, which bounds its memory.
+_ROWS_A_TASK = 1 << 20
+
 
 def tree_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(ancestor, descendant, depth), each node with itself at depth 0, to any depth.
@@ -51,13 +54,15 @@ def subtree(closure: DataFrame, root) -> DataFrame:
 def order_by_ids(rows: DataFrame, ids: DataFrame, id_col: str = "id", list_col: str = "ids") -> DataFrame:
     """``rows`` with their position in a given id list; ids without a row drop out."""
     at = ids.select(F.posexplode(list_col).alias("position", id_col))
-    return rows.join(at, id_col).orderBy("position")
+    # Ids divide what has one position in many lists, which else is one task of the sort.
+    return rows.join(at, id_col).orderBy("position", id_col)
 
 
 def cycle_guard(moves: DataFrame, closure: DataFrame, id_col: str = "id", parent_col: str = "new_parent_id") -> DataFrame:
     """Proposed moves with ``refused``: the new parent is the node itself or beneath it."""
+    tasks = max(1, closure.count() // _ROWS_A_TASK)
     bad = closure.select(F.col("ancestor").alias(id_col), F.col("descendant").alias(parent_col), F.lit(True).alias("_bad"))
-    return moves.join(bad, [id_col, parent_col], "left").withColumn("refused", F.coalesce("_bad", F.lit(False))).drop("_bad")
+    return moves.repartition(tasks, id_col, parent_col).join(bad.repartition(tasks, id_col, parent_col), [id_col, parent_col], "left").withColumn("refused", F.coalesce("_bad", F.lit(False))).drop("_bad")
 
 
 def deepest(links: DataFrame, depths: DataFrame, by: str, place_col: str, order_col: str) -> DataFrame:
