@@ -23,23 +23,31 @@ def claims_in_scope(claims: DataFrame, links: DataFrame, closure: DataFrame, roo
 
 
 def _in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows``, settled, with ``_range``: consecutive ranges of the order, none of which shares a key with another."""
+    """``rows``, settled, with ``_range``: consecutive ranges of the order, none of which shares a key with another, and ``_at``, the row's number in its range."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return settle(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    # Ids rise by one within a task and begin at its number times 2^33.
+    return settle(sorted_.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("long"), 33) + 1))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows with their number in the order: that within their range, after the counts of the ranges before.
+def numbered(rows: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+    """Rows with their number in the order: that within their range, after the counts of the ranges before. With ``by``, the first columns of the order, numbers begin anew for each of its values.
 
-    Only ranges, as many as shuffle partitions, pass through one task.
+    Rows are sorted once, where they are written. Only ranges, as many as shuffle partitions, pass through one task.
     """
     ranged = _in_ranges(rows, order)
     before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_least"))
-    starts = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    joined = inner.join(F.broadcast(starts), F.col("_range") == F.col("_r"))
-    return joined.withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_r", "_start")
+    parts = ranged.groupBy("_range", *(by or [])).agg(F.count("*").alias("_n"), F.min("_at").alias("_first_at"), F.min(F.struct(*order)).alias("_least"))
+    counts = parts.groupBy("_range").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    starts = settle(counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    joined = ranged.join(F.broadcast(starts), F.col("_range") == F.col("_r")).withColumn(name, F.col("_at") + F.col("_start"))
+    if by:
+        begins = parts.join(F.broadcast(starts), F.col("_range") == F.col("_r")).groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min(F.col("_start") + F.col("_first_at")).alias("_begin"))
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+        joined = joined.join(broadcast_if_small(settle(begins)), same).withColumn(name, F.col(name) - F.col("_begin") + 1).drop(*[f"_by{i}" for i in range(len(by))], "_begin")
+    return joined.drop("_range", "_at", "_r", "_start")
 
 
 def beat_order(claims: DataFrame, links: DataFrame, closure: DataFrame, root) -> DataFrame:
@@ -100,7 +108,7 @@ def clause_runs(ordered: DataFrame, by: list[str], place: str, position: str = "
     for i, c in enumerate(by):
         on &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
     joined = rows.join(broadcast_if_small(starts), on).withColumn("run", F.col("run") + F.col("_start"))
-    return joined.drop("_c", "_range", *starts.columns)
+    return joined.drop("_c", "_range", "_at", *starts.columns)
 
 
 def order_beats(claims: DataFrame, links: DataFrame, closure: DataFrame, asked: DataFrame) -> DataFrame:
@@ -118,20 +126,13 @@ def order_beats(claims: DataFrame, links: DataFrame, closure: DataFrame, asked:
     placed = settle(claims.join(anchors, "claim_id").join(wanted.select("beat", "start", "end"), "beat").where(when).drop("start", "end"))
     firsts = placed.groupBy("beat", "anchor").agg(F.min(F.struct("first_seen_at", "claim_id")).alias("_first"))
     rows = placed.join(broadcast_if_small(firsts), ["beat", "anchor"])
-    return _from_one(numbered(rows, ["beat", "_first", "anchor", "first_seen_at", "claim_id"], "position"), ["beat"], "position").drop("_first")
-
-
-def _from_one(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``rows`` with the running number ``name`` begun anew for each ``by``."""
-    rows = settle(rows)
-    starts = rows.groupBy(*by).agg(F.min(name).alias("_least"))
-    return rows.join(broadcast_if_small(starts), by).withColumn(name, F.col(name) - F.col("_least") + 1).drop("_least")
+    return numbered(rows, ["beat", "_first", "anchor", "first_seen_at", "claim_id"], "position", ["beat"]).drop("_first")
 
 
 def beat_sources(ordered: DataFrame, citations: DataFrame) -> DataFrame:
     """(beat, claim_id, post_id, ord, n): citations (claim_id, post_id, ord) of each beat numbered from 1 in the order of its claims; a post cited by two claims has two numbers."""
     cited = ordered.select("beat", "claim_id", "position").join(citations.select("claim_id", "post_id", "ord"), "claim_id")
-    return _from_one(numbered(cited, ["beat", "position", "ord", "post_id"], "n"), ["beat"], "n").select("beat", "claim_id", "post_id", "ord", "n")
+    return numbered(cited, ["beat", "position", "ord", "post_id"], "n", ["beat"]).select("beat", "claim_id", "post_id", "ord", "n")
 
 
 def beat_sentences(clauses: DataFrame, by: list[str]) -> DataFrame:

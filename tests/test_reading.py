@@ -90,3 +90,15 @@ def test_orders_are_numbered_without_one_task_for_all(spark):
                 last = r
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_numbers_begin_anew_in_one_sort(spark):
+    """Numbers by beat need one shuffle of the rows, null beats too, and no window over them."""
+    rows = spark.range(500).selectExpr("nullif(id % 3, 2) as beat", "id * 7919 % 500 as at")
+    numbers = beats.numbered(rows, ["beat", "at"], "n", ["beat"])
+    got = sorted((r.beat is None, r.beat or 0, r.at, r.n) for r in numbers.collect())
+    want = []
+    for beat in (0, 1, None):
+        mine = sorted(i * 7919 % 500 for i in range(500) if (None if i % 3 == 2 else i % 3) == beat)
+        want += [(beat is None, beat or 0, at, k + 1) for k, at in enumerate(mine)]
+    assert got == sorted(want) and "Window" not in numbers._jdf.queryExecution().optimizedPlan().toString()
