@@ -36,24 +36,30 @@ def stream_density(rows: DataFrame, at: str, width: str = "1 hour", slide: str |
 def stream_first_query(appearances: DataFrame, at: str, post: str, query: str, id_col: str) -> DataFrame:
     """(post, query, at, version): the first query of each post by (time, id), after each batch that changes it; the highest version holds.
 
-    State is the earliest appearance of each post, for good: an appearance that comes late but was earlier takes its place.
+    State is the earliest appearance of each post, for good: an appearance that comes late but was earlier takes its place. Tasks send on the
+    earliest of each post among the rows that they read at once, and no row is looked at by itself.
     """
 
+    def earliest(batches):
+        for pdf in batches:
+            yield pdf.sort_values(["at", "id"], kind="stable").drop_duplicates("post")
+
     def step(key, frames, state):
         version, held = state.get if state.exists else (0, None)
         best = json.loads(held) if held else None
         was = best
         for pdf in frames:
-            for when, i, q in zip(pdf["at"], pdf["id"], pdf["query"], strict=True):
-                seen = [int(when.value), int(i), q]
-                if best is None or seen[:2] < best[:2]:
-                    best = seen
+            when, i, q = pdf.sort_values(["at", "id"], kind="stable").iloc[0][["at", "id", "query"]]
+            seen = [int(when.value), int(i), q]
+            if best is None or seen[:2] < best[:2]:
+                best = seen
         if best != was:
             state.update((version + 1, json.dumps(best)))
             yield pd.DataFrame({"post": [key[0]], "query": [best[2]], "at": [pd.Timestamp(best[0])], "version": [version + 1]})
 
     rows = appearances.select(F.col(post).cast("string").alias("post"), F.col(query).cast("string").alias("query"), F.col(at).alias("at"), F.col(id_col).cast("long").alias("id"))
-    return rows.groupBy("post").applyInPandasWithState(step, "post string, query string, at timestamp, version long", "version long, held string", "append", "NoTimeout")
+    first = rows.mapInPandas(earliest, "post string, query string, at timestamp, id long")
+    return first.groupBy("post").applyInPandasWithState(step, "post string, query string, at timestamp, version long", "version long, held string", "append", "NoTimeout")
 
 
 def late_posts(rows: DataFrame, at: str, keep: str, late: str, delay_seconds: int = 600) -> None:

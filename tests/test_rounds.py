@@ -214,3 +214,18 @@ def test_misses_are_rows(spark):
 def test_note_language_counts_markers(spark):
     texts = spark.createDataFrame([("the claim says it was not in the post",), ("el reclamo dice que no está en la publicación",), ("",)], "t string")
     assert [r.l for r in texts.select(T.note_language(F.col("t")).alias("l")).collect()] == ["en", "es", "es"]
+
+
+def test_first_query_sends_the_earliest_on(spark, tmp_path):
+    """Rows are thinned where they are read; ties of time go to the lesser id, and later batches may bring earlier rows."""
+    from testimony.streaming import streams
+
+    path, rows = str(tmp_path / "in"), [(i, i % 3, f"q{i}", 50 - i // 6) for i in range(60)]
+    spark.createDataFrame(rows, "i long, post int, q string, s long").selectExpr("i", "post", "q", "timestamp_seconds(s) as at").repartition(3, "i").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    told = streams.stream_first_query(stream, "at", "post", "q", "i")
+    assert "MapInPandas" in told._jdf.queryExecution().logical().toString()
+    best = {}
+    for r in sorted(streams.settle_stream(told).collect(), key=lambda r: r.version):
+        best[r.post] = r.query
+    assert best == {str(p): min((s, i, q) for i, post, q, s in rows if post == p)[2] for p in range(3)}
