@@ -160,3 +160,40 @@ def test_context_edges_of_places_of_many(spark, monkeypatch):
         found = duplicates.person_context_edges(persons, arcs, places)
         got = [tuple(r) for r in found.collect()]
         assert set(got) == want and len(got) == len(want) > 5
+
+
+def test_neighbourhoods_are_intervals(spark, monkeypatch):
+    """Neighbourhoods by name are intervals of classes, so no name edge is made; names that recall one another one way alone, of one word, and null too."""
+    import random
+    from datetime import datetime, timedelta
+
+    names = ["red rod", "red anvil", "hot rod", "Red  Rod", "red", "large bolt", "larje bolt", None, "hot red rod"]
+    rng = random.Random(5)
+    people = [(i, rng.choice([1, 1, 2, None]), names[rng.randrange(9)], i % 3, 1 if i % 11 == 0 else None) for i in range(150)]
+    start = datetime(2024, 1, 1)
+    arcs = [(rng.randrange(150), c, start + timedelta(hours=rng.randrange(2000))) for c in range(500)]
+    persons = spark.createDataFrame(people, "id long, event_id int, full_name string, inserted_at int, merged_into_id int")
+    told, places = spark.createDataFrame(arcs, "person_id long, claim_id int, at timestamp"), spark.createDataFrame([(c, rng.randrange(90)) for c in range(500)], "claim_id int, place_id int")
+    live = persons.where("merged_into_id is null")
+    edges = {(r.a, r.b) for r in duplicates.person_name_edges(live).collect()} | {(r.a, r.b) for r in duplicates.person_context_edges(live, told, places).collect()}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    sets = {frozenset(s) for s in near.values()}
+    large = [s for s in sets if not any(s < x for x in sets)]
+    of = {s: min(i for i in near if near[i] == s) for s in large}
+    name = {i: n for i, _, n, _, _ in people}
+    want = {(of[s], len(s), tuple(sorted((name[i], i) for i in s))) for s in large}
+
+    def refused(*_, **__):
+        raise AssertionError("name edges are made")
+
+    monkeypatch.setattr(duplicates, "person_name_edges", refused)
+    monkeypatch.setattr(duplicates, "_PAIRS_A_TASK", 200)
+    monkeypatch.setattr(duplicates.intervals, "SET_BLOCK", 8)
+    monkeypatch.setattr(duplicates.intervals, "_MEMBERS_AT_ONCE", 50)
+    got = duplicates.duplicate_persons(persons, told, places).collect()
+    assert {(r.block, r.size, tuple(tuple(m) for m in r.members)) for r in got} == want and len(got) == len(want) > 3
+    assert [r.place for r in sorted(got, key=lambda r: (-r.size, r.block))] == list(range(1, len(got) + 1))
+    assert any(s < x for s in sets for x in sets)
